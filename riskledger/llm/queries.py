@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from riskledger.llm.langid import op10_language_id
 from riskledger.llm.mixing import op3_mixing
+from riskledger.llm.token_output import op8_token_output
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op8_token_output": op8_token_output,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
