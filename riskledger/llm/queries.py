@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from riskledger.llm.decontaminate import op1_decontamination
 from riskledger.llm.langid import op10_language_id
 from riskledger.llm.mixing import op3_mixing
 from riskledger.llm.ngram_join import op9_ngram_jaccard_join
 from riskledger.llm.token_output import op8_token_output
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_mixing": op3_mixing,
     "op8_token_output": op8_token_output,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
