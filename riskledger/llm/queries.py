@@ -7,13 +7,17 @@ from riskledger.llm.langid import op10_language_id
 from riskledger.llm.mixing import op3_mixing
 from riskledger.llm.ngram_join import op9_ngram_jaccard_join
 from riskledger.llm.token_output import op8_token_output
+from riskledger.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_mixing": op3_mixing,
+    "op7_warc": op7_warc,
     "op8_token_output": op8_token_output,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": OP7_SQL,
+}
