@@ -6,12 +6,16 @@ from riskledger.llm.decontaminate import op1_decontamination
 from riskledger.llm.langid import op10_language_id
 from riskledger.llm.mixing import op3_mixing
 from riskledger.llm.ngram_join import op9_ngram_jaccard_join
+from riskledger.llm.pii import op2_pii
 from riskledger.llm.token_output import op8_token_output
 from riskledger.llm.warc import OP7_SQL, op7_warc
+from riskledger.llm.winnow import op4_fingerprints
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op4_fingerprints": op4_fingerprints,
     "op7_warc": op7_warc,
     "op8_token_output": op8_token_output,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,

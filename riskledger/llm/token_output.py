@@ -29,45 +29,42 @@ ORC = {
     "orc.bloom.filter.fpp": "0.01",
 }
 SCHEMA = "part int, start_in_part long, doc_id long, n_tokens long, ids array<int>"
-#: Spaces at which a text may be cut: no pre-token has a space after another character.
-_CUT = re.compile(r"(?<=\S) ")
-_UNCUT = re.compile(r"(?:^|\s) ")
-_encoders: dict[tuple[str, int], Encoder] = {}
+#: White space before a space or a line end. Where a text has none, each space and line end
+#: follows a visible character, and there a byte-level BPE always cuts.
+_RUN = re.compile(r"\s[ \n]")
+_CUT = re.compile(r"(?<=\S) (?!\n)")
+_encoders: dict[tuple[str, int], Pieces] = {}
 
 
-class Encoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library. Such a
-    tokenizer cuts a text before each space that follows a visible character, so
-    pieces between those spaces are encoded once and their ids joined; up to
-    cache_pieces short ones are remembered over a worker's life."""
+class Pieces(dict):
+    """Ids, as little-endian 32-bit integers, of a piece of text with the space
+    before it; of a piece that starts with a line end, without. The tokenizers library encodes a
+    piece when it is first seen; short pieces are kept over a worker's life, at most so many."""
 
-    def __init__(self, path: str, cache_pieces: int):
+    def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache_pieces = Tokenizer.from_file(path), cache_pieces
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cut = [_CUT.split(t) if _UNCUT.search(t) else t.split(" ") for t in texts]
-        heads, tails = {p[0] for p in cut}, set()
-        for p in cut:
-            p[0], head = "", p[0]
-            tails.update(p)
-            p[0] = head
-        heads, tails = [p for p in heads if p not in self.first], [p for p in tails if p not in self.later]
-        got = self.tokenizer.encode_batch_fast([*heads, *[" " + p for p in tails]], add_special_tokens=False)
-        coded = [array("I", e.ids).tobytes() for e in got]
-        self.first.update(zip(heads, coded))
-        self.later.update(zip(tails, coded[len(heads) :]))
-        out = [self.first[p[0]] + b"".join(map(self.later.__getitem__, p[1:])) for p in cut]
-        self.first.clear()
-        full = len(self.later) > self.cache_pieces
-        for p in tails:
-            if full or len(p) > 40:
-                del self.later[p]
-        return out
+        self.encode_batch, self.most = Tokenizer.from_file(path).encode_batch_fast, most
+        self.ends = {c: self.coded(c) for c in ".,"}
+
+    def coded(self, text: str) -> bytes:
+        return array("I", self.encode_batch([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[-1:] in self.ends and piece[-2:-1].isalpha():
+            ids = self[piece[:-1]] + self.ends[piece[-1]]  # a letter and a mark are never in one token
+        else:
+            ids = self.coded(piece if piece[:1] == "\n" else " " + piece)
+        if len(self) < self.most and len(piece) <= 40:
+            self[piece] = ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        pieces = _CUT.split(text) if _RUN.search(text) else text.replace("\n", " \n").split(" ")
+        first = pieces[0]
+        pieces[0] = self.coded(first) if first else b""
+        pieces[1:] = map(self.__getitem__, pieces[1:])
+        return b"".join(pieces)
 
 
 def encode_partition(path: str, end_id: int, cache_pieces: int, texts_at_once: int = 256):
@@ -76,13 +73,13 @@ def encode_partition(path: str, end_id: int, cache_pieces: int, texts_at_once: i
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if (path, cache_pieces) not in _encoders:
-            _encoders[path, cache_pieces] = Encoder(path, cache_pieces)
+            _encoders[path, cache_pieces] = Pieces(path, cache_pieces)
         encoder = _encoders[path, cache_pieces]
         start, end = 0, np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, texts_at_once):
                 batch = whole.slice(at, texts_at_once)
-                coded = encoder.encode([t or "" for t in batch["text"].to_pylist()])
+                coded = [encoder.text(t or "") for t in batch["text"].to_pylist()]
                 sizes = np.array([len(c) // 4 + 1 for c in coded], np.int64)
                 ends = np.cumsum(sizes)
                 ids = np.frombuffer(b"".join(x for c in coded for x in (c, end)), "<i4")
@@ -93,7 +90,7 @@ def encode_partition(path: str, end_id: int, cache_pieces: int, texts_at_once: i
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, cache_pieces: int = 600_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, cache_pieces: int = 800_000) -> None:
     """Encode docs (doc_id, text; other columns are not read) and write them.
 
     Each file holds a range of doc_id in ascending order (null ids first, equal
