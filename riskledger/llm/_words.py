@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,15 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """The hash base to the powers 0 to n - 1, modulo 2^64."""
+    return _power(_P, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _power(_INV, n)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about most_bytes of text each; a longer text is alone."""
     if not batch.num_rows:
@@ -47,12 +57,23 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> I
         start = end
 
 
-def word_hashes(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words (ASCII lower-cased; null texts have none): 64-bit hash, row, and size in bytes."""
-    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+@dataclass
+class Words:
+    """The words of a batch in order: 64-bit hash (ASCII lower-cased), row, first byte and byte after the last, in raw."""
+
+    hash: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    raw: np.ndarray
+
+
+def word_hashes(text: pa.StringArray) -> Words:
+    """All words of the texts; null texts have none."""
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
     none = np.zeros(0, np.int64)
-    if not len(text) or offsets[-1] == offsets[0]:
-        return none.astype(np.uint64), none, none
+    if offsets[-1] == offsets[0]:
+        return Words(none.astype(np.uint64), none, none, none, none.astype(np.uint8))
     raw = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     space = _SPACE[raw]
@@ -62,15 +83,16 @@ def word_hashes(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]
     after = np.concatenate([space[1:], [True]]) | edge[1:]
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _power(_P, n), dtype=np.uint64)])
-    h = mix((total[end] - total[start]) * _power(_INV, n)[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(offsets, start, "right") - 1, end - start
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers(n), dtype=np.uint64)])
+    h = mix((total[end] - total[start]) * inverse_powers(n)[start] + (end - start).astype(np.uint64))
+    return Words(h, np.searchsorted(offsets, start, "right") - 1, start, end, raw)
 
 
 def shingle_hashes(text: pa.StringArray, k: int) -> Iterator[np.ndarray]:
     """For each row its sorted distinct k-word shingles as hashes; a text with fewer
     words has its whole sequence as one, a text without words none."""
-    h, row, _ = word_hashes(text)
+    w = word_hashes(text)
+    h, row = w.hash, w.row
     count = np.bincount(row, minlength=len(text)) if row.size else np.zeros(len(text), np.int64)
     ends = np.cumsum(count)
     a = np.uint64(0xD6E8FEB86659FD93)

@@ -132,29 +132,34 @@ def fragment_pass(k: int, shared):
         levels, cuts = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, frags, parts = [], [], []
+                ids, sizes, frags, parts = [], [], [], []
                 for doc, s in zip(batch["doc_id"].to_pylist(), shingle_hashes(batch["text"], k)):
                     o = ordered(s, levels)
                     at = [0, *np.searchsorted(o, cuts), o.size]
                     for f, (a, b) in enumerate(zip(at, at[1:])):
                         if b > a:
                             ids.append(doc)
+                            sizes.append(s.size)
                             frags.append(f)
                             parts.append(o[a:b].astype(np.int64))
                 if ids:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([p.size for p in parts])]).astype(np.int32)), pa.array(np.concatenate(parts)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), lists], ["rep", "fragment", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(frags, pa.int32()), lists], ["rep", "n", "fragment", "part"])
 
     return run
 
 
-def links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose overlap, summed over fragments, is enough."""
-    one = parts.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("__pa"))
-    two = parts.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("__pb"))
-    partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("__pa", "__pb")).alias("__x"))
+def links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """The pairs (a, b, na, nb) whose overlap, summed over fragments, is enough. Only the
+    documents in pairs are cut into fragments; where a doc_id has several texts of one size, the best counts."""
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    parts = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(fragment_pass(k, shared), "rep long, n long, fragment int, part array<long>"), "jaccard-parts")
+    one = parts.select(F.col("rep").alias("a"), F.col("n").alias("na"), "fragment", F.col("part").alias("__pa"))
+    two = parts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "fragment", F.col("part").alias("__pb"))
+    partial = pairs.join(one, ["a", "na"]).join(two, ["b", "nb", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("__pa", "__pb")).alias("__x"))
     x = F.sum("__x")
-    total = partial.groupBy("a", "b", "na", "nb").agg(x.alias("__x"))
+    total = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("__x").alias("__x")).groupBy("a", "b", "na", "nb").agg(x.alias("__x"))
     return total.filter(100 * F.col("__x") >= percent * (F.col("na") + F.col("nb") - F.col("__x"))).select("a", "b")
 
 
@@ -194,31 +199,29 @@ def with_components(docs: DataFrame, *, k: int = 4, percent: int = 85, fragments
     # a band holds sizes that could link; the first rows of a head suffice for the smaller set of a pair
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     first = F.col("n") - F.ceil(F.col("n") * (2.0 * percent / (100 + percent)) - 1e-9) + 1
-    rows = heads.select("rep", "n", band.alias("band"), first.alias("first"), F.posexplode("head").alias("at", "token"))
+    need = lambda m, n: F.ceil((m + n) * (percent / (100.0 + percent)) - 1e-9)
+    near = lambda m, i, n, j: (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.least(i, j) + F.least(m - i, n - j) >= need(m, n))
     w, v = Window.partitionBy("token"), Window.partitionBy("token", "band")
-    rows = rows.select("*", (F.col("at") < F.col("first")).alias("short"), F.count(F.lit(1)).over(w).alias("c")).filter("c > 1")
-    rows = cut(rows.withColumn("leader", F.min(F.when(F.col("short"), F.struct("rep", "n"))).over(v)).drop("c", "first"), "jaccard-heads")
-    ids = rows.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    cuts = spark.sparkContext.broadcast((levels, pivots(mass, fragments)))
-    parts = cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(fragment_pass(k, cuts), "rep long, fragment int, part array<long>"), "jaccard-parts")
-    near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (a > 0)
-    stars = rows.filter(F.col("leader.rep") < F.col("rep")).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb"))
-    stars = stars.filter(near(F.col("na"), F.col("nb"))).distinct()
-    edges = cut(links(cut(stars, "jaccard-stars"), parts, percent), "jaccard-links")
+    # one shuffle of the heads: token, document, and size with place in one number
+    rows = heads.select("rep", "n", F.posexplode("head").alias("at", "token")).select("token", "rep", (F.shiftleft("n", 31) + F.col("at")).alias("__na"))
+    rows = rows.withColumn("c", F.count(F.lit(1)).over(w)).filter("c > 1").select("token", "rep", F.shiftright("__na", 31).alias("n"), F.col("__na").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("at"))
+    rows = rows.withColumn("band", band).withColumn("short", F.col("at") < first)
+    rows = cut(rows.withColumn("leader", F.min(F.when(F.col("short"), F.struct("rep", "n", "at"))).over(v)), "jaccard-heads")
+    shared = spark.sparkContext.broadcast((levels, pivots(mass, fragments)))
+    stars = rows.filter((F.col("leader.rep") < F.col("rep")) & near(F.col("leader.n"), F.col("leader.at"), F.col("n"), F.col("at")))
+    stars = stars.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb")).distinct()
+    edges = cut(links(cut(stars, "jaccard-stars"), docs, k, percent, shared), "jaccard-links")
     label = components(edges, "jaccard")
     # what is left: pairs of different components at one head shingle
     rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = rows.withColumn("__lo", F.min("component").over(w)).withColumn("__hi", F.max("component").over(w)).filter("__lo != __hi")
     mixed = cut(mixed.select("token", "rep", "n", "at", "short", "component"), "jaccard-mixed")
     a, b = mixed.filter("short").alias("x"), mixed.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * (percent / (100.0 + percent)) - 1e-9)
-    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") != F.col("y.rep")))
-    pairs = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & order & (100 * F.col("x.n") >= percent * F.col("y.n")) & (F.least("x.at", "y.at") + rest >= need))
+    pairs = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & order & near(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
     low = F.col("x.rep") < F.col("y.rep")
     pairs = pairs.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(o) for p, q, o in (("x.rep", "y.rep", "a"), ("y.rep", "x.rep", "b"), ("x.n", "y.n", "na"), ("y.n", "x.n", "nb"))]).distinct()
-    more = cut(links(cut(pairs, "jaccard-pairs"), parts, percent), "jaccard-links")
+    more = cut(links(cut(pairs, "jaccard-pairs"), docs, k, percent, shared), "jaccard-links")
     if not more.isEmpty():
         label = components(edges.union(more), "jaccard")
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"), "__n")

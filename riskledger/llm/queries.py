@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskledger.llm.decontaminate import op1_decontamination
 from riskledger.llm.langid import op10_language_id
+from riskledger.llm.line_dedup import op6_line_dedup
 from riskledger.llm.mixing import op3_mixing
 from riskledger.llm.ngram_join import op9_ngram_jaccard_join
 from riskledger.llm.pii import op2_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
+    "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op8_token_output": op8_token_output,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
