@@ -8,6 +8,7 @@ from riskledger.llm.line_dedup import op6_line_dedup
 from riskledger.llm.mixing import op3_mixing
 from riskledger.llm.ngram_join import op9_ngram_jaccard_join
 from riskledger.llm.pii import op2_pii
+from riskledger.llm.pitman_yor import op5_pitman_yor
 from riskledger.llm.token_output import op8_token_output
 from riskledger.llm.warc import OP7_SQL, op7_warc
 from riskledger.llm.winnow import op4_fingerprints
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op8_token_output": op8_token_output,
