@@ -199,13 +199,13 @@ def fit(rows: list[tuple[str, str]]) -> Models:
 
 
 def calibrate(models: Models, own: dict[str, list[str]]) -> None:
-    """Where a language ends: three quarters of the way from the highest entropy
-    that its own held-back texts have to that of random letters. There the score is a half."""
+    """Where a language ends: three quarters of the way from the entropy that nine of
+    ten of its own held-back texts stay under to that of random letters. There the score is a half."""
     for j, lang in enumerate(models.languages):
         held = [t for i, t in enumerate(own[lang]) if i % 5 == 0]
         h, size = models.entropies(held)
         h = h[size >= 20, j] if (size >= 20).any() else h[:, j]
-        top, noise = float(np.max(h)), -float(models.unseen[j])
+        top, noise = float(np.quantile(h, 0.9)), -float(models.unseen[j])
         models.limit[j] = top + 0.75 * max(noise - top, 1.0)
         models.scale[j] = max(noise - top, 1.0) / 12
 

@@ -39,8 +39,11 @@ def apportion(df: DataFrame, groups: list[str], weight: str, seats: str, key: li
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("__short") == 0, 0).otherwise(F.col("__most")).cast("long")))
     plus = F.col("__short") > 0
     quotient = F.when(plus, F.col("__w") / (2 * (F.col("__base") + F.col("__k")) + 1)).otherwise(F.try_divide(F.col("__w"), 2 * (F.col("__base") - F.col("__k")) - 1))
-    order = [F.when(plus, -F.col("__q")).otherwise(F.col("__q")).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in key]]
-    moved = (F.col("__short") != 0) & (F.row_number().over(w.orderBy(*order)) <= F.abs("__short")) & (F.col("__w") > 0)
+    # of equal quotients the smaller key wins: it gains first and loses last
+    gains = [F.col("__q").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in key]]
+    losses = [F.col("__q").asc_nulls_last(), *[F.col(c).desc_nulls_first() for c in key]]
+    place = F.when(plus, F.row_number().over(w.orderBy(*gains))).otherwise(F.row_number().over(w.orderBy(*losses)))
+    moved = (F.col("__short") != 0) & (place <= F.abs("__short")) & (F.col("__w") > 0)
     return (
         df.withColumn("__k", k)
         .withColumn("__q", F.when(plus | (F.col("__base") - F.col("__k") >= 1), quotient))

@@ -133,7 +133,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         files, path = filesystem(partition.path)
         raw = io.BufferedReader(files.open_input_file(path), 1 << 20)
         plain = not path.endswith(".gz")
@@ -194,7 +196,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                     names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
-                    out, size = io.BufferedWriter(files.open_output_stream(f"{root}/{names[-1]}"), 1 << 20), 0
+                    out, size = io.BufferedWriter(files.open_output_stream(f"{root}/{names[-1]}", compression=None), 1 << 20), 0
                 out.write(data)
                 size += len(data)
         if out is not None:
