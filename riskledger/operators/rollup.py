@@ -41,13 +41,13 @@ def warnings(companies: DataFrame, sites: DataFrame, keys: list[str]) -> DataFra
 
 def peer_bullets(sites: DataFrame, stats: DataFrame) -> DataFrame:
     """up to four comparisons with industry means, for z of 0.3 and differences of 10 % or more."""
-    s = F.broadcast(stats)  # at most 11,100 prefix groups
-    joined = sites.join(s, sites["stats_group"] == s["grp"], "left")
+    s = F.broadcast(stats.select(F.col("grp").alias("__grp"), F.struct(*stats.columns).alias("__s")))  # at most 11,100 prefix groups
+    joined = sites.join(s, F.col("stats_group") == F.col("__grp"), "left")
     kinds = [("relative_violation_rate", "violation_rate", "violation rate"), ("relative_penalty", "penalty", "average penalty"), ("relative_serious_ratio", "serious_ratio", "serious violation ratio"), ("relative_willful_repeat", "willful_repeat", "willful/repeat rate")]
     def bullet(z: str, stat: str, name: str) -> Column:
-        mean, std = F.col(f"avg_{stat}"), F.col(f"std_{stat}")
+        mean, std = F.col(f"__s.avg_{stat}"), F.col(f"__s.std_{stat}")
         percent = F.abs(F.try_divide(F.col(z) * std, F.abs(mean))) * 100
         text = F.concat(F.bround(percent, 0).cast("int").cast("string"), F.lit("% "), F.when(F.col(z) > 0, "higher ").otherwise("lower "), F.lit(name))
         return F.when((F.abs(z) >= 0.3) & (mean != 0) & (percent >= 10), text)
     bullets = F.filter(F.array(*[bullet(*k) for k in kinds]), lambda x: x.isNotNull())
-    return joined.withColumn("bullets", F.slice(bullets, 1, 4)).withColumn("industry_percentile", F.coalesce(normal_percentile(F.col("relative_violation_rate")), F.lit(50.0))).drop(*stats.columns)
+    return joined.withColumn("bullets", F.slice(bullets, 1, 4)).withColumn("industry_percentile", F.coalesce(normal_percentile(F.col("relative_violation_rate")), F.lit(50.0))).drop("__grp", "__s")
