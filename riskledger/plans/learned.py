@@ -72,6 +72,22 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return read_csv_folder(t.spark, path, ["P_PARTKEY", "RAW_NAME"]).select(F.col("p_partkey").cast("long").alias("p_partkey"), "raw_name")
 
 
+#: How drivers are called in texts; other names lose their underscores.
+DRIVER_LABELS = {
+    "n_inspections": "inspection frequency", "n_violations": "violation volume", "serious_rate": "serious violations", "willful_rate": "willful violations", "repeat_rate": "repeat violations", "total_penalty": "total penalties",
+    "avg_penalty": "average penalty per violation", "max_penalty": "largest single penalty", "recent_ratio": "recent activity concentration", "severe_rate": "severe workplace incidents", "accident_rate": "linked accidents",
+    "fatality_rate": "fatalities", "injury_rate": "reported injuries", "avg_gravity": "average violation gravity", "penalty_per_inspection": "penalties per inspection", "clean_ratio": "clean inspection ratio",
+    "relative_violation_rate": "violation rate relative to industry peers", "relative_penalty": "penalty level relative to industry peers", "relative_serious_ratio": "serious violation ratio relative to peers", "relative_willful_repeat": "willful and repeat rate relative to peers",
+}
+
+
+def rebuilt(t: Tables, *, max_age_days: int = 7, least: int = 5) -> DataFrame:
+    """Fresh scores if the last build is too old and there are enough establishments; else the stored ones."""
+    facts = t.history.agg(F.count("*").alias("n")).crossJoin(t.inspections.agg(F.datediff(F.lit(AS_OF), F.max("open_date")).alias("age"))).first()
+    rebuild = facts["n"] >= least and facts["age"] >= max_age_days
+    return (learned(t) if rebuild else t.history).select("estab", "score", F.lit(rebuild).alias("rebuilt"))
+
+
 def driver_names(t: Tables) -> DataFrame:
     rows, model = scorer(t)
     return M.importances(model, t.spark).select("feature", F.regexp_replace("feature", "_", " ").alias("label"), "importance")
@@ -95,6 +111,8 @@ many({
     "E15": (multi_cutoff, f"{O.WITH_FACTS}, h AS (SELECT cutoff, estab, count(*) AS n, sum(penalty) AS p FROM facts, (VALUES (DATE '1998-01-01'), (DATE '1999-01-01'), (DATE '2000-01-01')) c(cutoff) WHERE open_date < cutoff GROUP BY 1, 2) SELECT cutoff, count(*) AS estabs, avg(n) AS mean_n, avg(p) AS mean_penalty FROM h GROUP BY 1"),
     "E21": (drift, None),
     "E23": (lambda t: driver_names(t).withColumn("share", F.col("importance") / F.sum("importance").over(Window.partitionBy(F.lit(0)))).orderBy(F.desc("importance"), "feature").limit(10), None),
+    "M11": (rebuilt, None),
+    "H17": (lambda t: driver_names(t).select("feature", F.coalesce(F.create_map(*[F.lit(x) for kv in DRIVER_LABELS.items() for x in kv])[F.col("feature")], F.regexp_replace("feature", "_", " ")).alias("label"), "importance"), None),
     "M2": (lambda t: M.hash_split(t.features.select("estab", "n_inspections"), "estab"), None),
     "M3": (learned, None),
     "M4": (lambda t: learned(t).groupBy("train").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("score") - F.col("label"))).alias("mae")), None),
