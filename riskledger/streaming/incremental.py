@@ -27,6 +27,8 @@ def load_new(spark: SparkSession, landing: str, schema: str, table: str, checkpo
         batch.dropDuplicates(key).write.mode("append").saveAsTable(table)
 
     fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if spark.catalog.tableExists(table):
+        spark.catalog.refreshTable(table)  # the batches were written by the stream's own session
 
 
 def latest(stored: DataFrame, late: DataFrame, key: list[str], version: list[str]) -> DataFrame:
