@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,42 +30,64 @@ ORC = {
     "orc.bloom.filter.fpp": "0.01",
 }
 SCHEMA = "part int, start_in_part long, doc_id long, n_tokens long, ids array<int>"
-#: White space before a space or a line end. Where a text has none, each space and line end
-#: follows a visible character, and there a byte-level BPE always cuts.
-_RUN = re.compile(r"\s[ \n]")
+#: Texts with white space before a space or line end, or at their end. In all others each space and
+#: line end follows a visible character, and there a byte-level BPE always cuts.
+_RUN = re.compile(r"\s[ \n]|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?!\n)")
 _encoders: dict[tuple[str, int], Pieces] = {}
 
 
-class Pieces(dict):
-    """Ids, as little-endian 32-bit integers, of a piece of text with the space
-    before it; of a piece that starts with a line end, without. The tokenizers library encodes a
-    piece when it is first seen; short pieces are kept over a worker's life, at most so many."""
+class Pieces:
+    """Encodes texts by their pieces: a piece is cut before each space or line end
+    that follows a visible character, and its ids never depend on its neighbours. Of a batch, the pieces
+    that are not known are encoded in one call, joined: the ids of each begin at a token that begins with
+    a space or line end. The first pieces become known, later those that a batch holds twice, about so many over a worker's life."""
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
-        self.encode_batch, self.most = Tokenizer.from_file(path).encode_batch_fast, most
-        self.ends = {c: self.coded(c) for c in ".,"}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch, self.most = tokenizer.encode_batch_fast, most
+        self.known: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True  # how byte-level vocabularies write the two
 
-    def coded(self, text: str) -> bytes:
+    def alone(self, text: str) -> bytes:
         return array("I", self.encode_batch([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if piece[-1:] in self.ends and piece[-2:-1].isalpha():
-            ids = self[piece[:-1]] + self.ends[piece[-1]]  # a letter and a mark are never in one token
-        else:
-            ids = self.coded(piece if piece[:1] == "\n" else " " + piece)
-        if len(self) < self.most and len(piece) <= 40:
-            self[piece] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        pieces = _CUT.split(text) if _RUN.search(text) else text.replace("\n", " \n").split(" ")
-        first = pieces[0]
-        pieces[0] = self.coded(first) if first else b""
-        pieces[1:] = map(self.__getitem__, pieces[1:])
-        return b"".join(pieces)
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        text = "".join([p if p[0] == "\n" else " " + p for p in pieces])
+        ids = np.array(self.encode_batch([text], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(pieces):
+            return [self.alone(p if p[0] == "\n" else " " + p) for p in pieces]
+        raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * ids.size]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        heads, pieces, ends = [], [], []
+        for t in texts:
+            if _RUN.search(t):
+                first, *rest = _CUT.split(t)
+                heads.append(self.alone(first) + b"".join([self.known.get(p) or self.alone(" " + p) for p in rest]))
+            else:
+                first, *rest = t.replace("\n", " \n").split(" ")
+                heads.append(self.alone(first) if first else b"")
+                pieces += rest
+            ends.append(len(pieces))
+        ids = list(map(self.known.get, pieces))
+        missing = [p for p, i in zip(pieces, ids) if i is None]
+        if missing:
+            counts = Counter(missing)
+            found = dict(zip(counts, self.joined(list(counts))))
+            filled = map(found.__getitem__, missing)
+            ids = [next(filled) if i is None else i for i in ids]
+            if len(self.known) < self.most // 2:
+                self.known.update(found)
+            elif len(self.known) < self.most:
+                self.known.update([(p, found[p]) for p, n in counts.items() if n > 1 and len(p) <= 40])
+        return [h + b"".join(ids[a:b]) for h, a, b in zip(heads, [0, *ends], ends)]
 
 
 def encode_partition(path: str, end_id: int, cache_pieces: int, texts_at_once: int = 256):
@@ -79,7 +102,7 @@ def encode_partition(path: str, end_id: int, cache_pieces: int, texts_at_once: i
         for whole in batches:
             for at in range(0, whole.num_rows, texts_at_once):
                 batch = whole.slice(at, texts_at_once)
-                coded = [encoder.text(t or "") for t in batch["text"].to_pylist()]
+                coded = encoder.texts([t or "" for t in batch["text"].to_pylist()])
                 sizes = np.array([len(c) // 4 + 1 for c in coded], np.int64)
                 ends = np.cumsum(sizes)
                 ids = np.frombuffer(b"".join(x for c in coded for x in (c, end)), "<i4")
@@ -90,7 +113,7 @@ def encode_partition(path: str, end_id: int, cache_pieces: int, texts_at_once: i
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, cache_pieces: int = 800_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, cache_pieces: int = 1_000_000) -> None:
     """Encode docs (doc_id, text; other columns are not read) and write them.
 
     Each file holds a range of doc_id in ascending order (null ids first, equal
