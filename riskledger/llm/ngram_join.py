@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskledger.llm._common import cut, lookup, table
@@ -25,6 +25,7 @@ from riskledger.llm._words import shingle_hashes, slices
 
 #: Size of the table of shingle counts (by hash), in bits; the table is summed in SLICES.
 COUNT_BITS, SLICES = 20, 64
+PARITY_WORDS = 16
 #: Ids up to this many are broadcast (8 MB) to pick documents; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -53,6 +54,13 @@ def signature(hashes: np.ndarray) -> str:
         return f"{int(np.add.reduce(a ^ (a >> np.uint64(31)))):016x}{int(np.add.reduce(b ^ (b >> np.uint64(30)))):016x}"
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS * 64 bits: whether an odd number of the set's hashes fall on each.
+    Bits in which two sets differ are at most the shingles that only one of them has."""
+    bits = np.bincount((hashes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def count_pass(k: int):
     """Per document its id, set size and signature; per task the counts of its shingles."""
 
@@ -114,13 +122,15 @@ def head_pass(k: int, percent: int, shared):
         levels = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                sizes, signs, heads = [], [], []
+                sizes, signs, heads, bits = [], [], [], []
                 for s in shingle_hashes(batch["text"], k):
                     sizes.append(s.size)
+                    bits.append(parity(s))
                     signs.append(signature(s) if s.size else None)
                     heads.append(ordered(s, levels)[: s.size - least_overlap(s.size, percent) + 1].astype(np.int64) if s.size else np.zeros(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([h.size for h in heads])]).astype(np.int32)), pa.array(np.concatenate(heads)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(signs, pa.string()), pa.array(sizes, pa.int64()), lists], ["doc_id", "sign", "n", "head"])
+                ends = pa.array(np.arange(0, PARITY_WORDS * (len(bits) + 1), PARITY_WORDS).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(signs, pa.string()), pa.array(sizes, pa.int64()), lists, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits)))], ["doc_id", "sign", "n", "head", "parity"])
 
     return run
 
@@ -194,31 +204,60 @@ def with_components(docs: DataFrame, *, k: int = 4, percent: int = 85, fragments
     classes = cut(member.filter("sign is not null and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("__n")), "jaccard-classes")
     levels, mass = levels_of(counted)
     shared = spark.sparkContext.broadcast(levels)
-    heads = docs.filter("doc_id is not null").mapInArrow(head_pass(k, percent, shared), "doc_id long, sign string, n long, head array<long>")
-    heads = heads.filter("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
+    heads = docs.filter("doc_id is not null").mapInArrow(head_pass(k, percent, shared), "doc_id long, sign string, n long, head array<long>, parity array<long>")
+    heads = heads.filter("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("parity").alias("parity"))
+    heads = cut(heads.drop("sign"), "jaccard-heads")
     # a band holds sizes that could link; the first rows of a head suffice for the smaller set of a pair
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     first = F.col("n") - F.ceil(F.col("n") * (2.0 * percent / (100 + percent)) - 1e-9) + 1
     need = lambda m, n: F.ceil((m + n) * (percent / (100.0 + percent)) - 1e-9)
-    near = lambda m, i, n, j: (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.least(i, j) + F.least(m - i, n - j) >= need(m, n))
-    w, v = Window.partitionBy("token"), Window.partitionBy("token", "band")
+    w = Window.partitionBy("token")
     # one shuffle of the heads: token, document, and size with place in one number
     rows = heads.select("rep", "n", F.posexplode("head").alias("at", "token")).select("token", "rep", (F.shiftleft("n", 31) + F.col("at")).alias("__na"))
     rows = rows.withColumn("c", F.count(F.lit(1)).over(w)).filter("c > 1").select("token", "rep", F.shiftright("__na", 31).alias("n"), F.col("__na").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("at"))
+    rows = cut(rows, "jaccard-rows")
+    # lead: how many shingles a document has before the first that another head holds too
+    lead = rows.groupBy(F.col("rep").alias("__rep"), F.col("n").alias("__n")).agg(F.min("at").alias("lead"))
+    rows = rows.join(lead, (F.col("rep") == F.col("__rep")) & (F.col("n") == F.col("__n"))).drop("__rep", "__n")
     rows = rows.withColumn("band", band).withColumn("short", F.col("at") < first)
-    rows = cut(rows.withColumn("leader", F.min(F.when(F.col("short"), F.struct("rep", "n", "at"))).over(v)), "jaccard-heads")
+    rows = cut(rows.withColumn("leader", F.min(F.when(F.col("short"), F.struct("lead", "rep", "n", "at"))).over(Window.partitionBy("token", "band"))), "jaccard-rows")
+
+    def near(m: Column, i: Column, p: Column, n: Column, j: Column, q: Column) -> Column:
+        """Whether sets of sizes m and n with a common shingle at i and j, and leads p and q, could link.
+
+        A shingle of the one's lead is in the other only behind its head; then all of that
+        head but the few places before it are lost. Where sizes are near, that is more than a
+        link can lose, so such a lead is lost as a whole.
+        """
+        lost = lambda a, lead, b: (lead > a - need(m, n)) & (a - need(m, n) <= need(m, n) - F.ceil(b * (percent / 100.0) - 1e-9))
+        sizes = 100 * F.least(m, n) >= percent * F.greatest(m, n)
+        return sizes & (F.least(i, j) + F.least(m - i, n - j) >= need(m, n)) & ~lost(m, p, n) & ~lost(n, q, m)
+
     shared = spark.sparkContext.broadcast((levels, pivots(mass, fragments)))
-    stars = rows.filter((F.col("leader.rep") < F.col("rep")) & near(F.col("leader.n"), F.col("leader.at"), F.col("n"), F.col("at")))
-    stars = stars.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb")).distinct()
+    x = lambda c: F.col(f"leader.{c}")
+    stars = rows.filter((x("rep") != F.col("rep")) & near(x("n"), x("at"), x("lead"), F.col("n"), F.col("at"), F.col("lead")))
+    stars = stars.select(x("rep").alias("a"), F.col("rep").alias("b"), x("n").alias("na"), F.col("n").alias("nb")).distinct()
+    # where a doc_id has several texts of one size, their bits are not known
+    bits = heads.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("__c"), F.first("parity").alias("parity")).select("rep", "n", F.when(F.col("__c") == 1, F.col("parity")).alias("parity"))
+    bits = cut(bits, "jaccard-bits")
+
+    def could(p: Column, q: Column, m: Column, n: Column) -> Column:
+        """Whether few enough bits differ for a link (true where bits are not known)."""
+        differ = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return F.coalesce(differ <= m + n - 2 * need(m, n), F.lit(True))
+
+    first_bits = bits.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    second_bits = bits.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    stars = stars.join(first_bits, ["a", "na"]).join(second_bits, ["b", "nb"]).filter(could(*[F.col(c) for c in ("pa", "pb", "na", "nb")])).select("a", "b", "na", "nb")
     edges = cut(links(cut(stars, "jaccard-stars"), docs, k, percent, shared), "jaccard-links")
     label = components(edges, "jaccard")
     # what is left: pairs of different components at one head shingle
     rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = rows.withColumn("__lo", F.min("component").over(w)).withColumn("__hi", F.max("component").over(w)).filter("__lo != __hi")
-    mixed = cut(mixed.select("token", "rep", "n", "at", "short", "component"), "jaccard-mixed")
+    mixed = cut(mixed.select("token", "rep", "n", "at", "lead", "short", "component").join(bits, ["rep", "n"]), "jaccard-mixed")
     a, b = mixed.filter("short").alias("x"), mixed.alias("y")
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") != F.col("y.rep")))
-    pairs = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & order & near(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    pairs = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & order & near(*[F.col(c) for c in ("x.n", "x.at", "x.lead", "y.n", "y.at", "y.lead")]) & could(*[F.col(c) for c in ("x.parity", "y.parity", "x.n", "y.n")]))
     low = F.col("x.rep") < F.col("y.rep")
     pairs = pairs.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(o) for p, q, o in (("x.rep", "y.rep", "a"), ("y.rep", "x.rep", "b"), ("x.n", "y.n", "na"), ("y.n", "x.n", "nb"))]).distinct()
     more = cut(links(cut(pairs, "jaccard-pairs"), docs, k, percent, shared), "jaccard-links")
@@ -242,3 +281,15 @@ def keep_one_each(docs: DataFrame, **options) -> DataFrame:
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_components(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END AS shingles FROM w),
+s AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM l),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x, any_value(a.n) AS na, any_value(b.n) AS nb FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p WHERE 100 * x >= 85 * (na + nb - x)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id FROM l JOIN c USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from riskledger.llm.decontaminate import op1_decontamination
 from riskledger.llm.langid import op10_language_id
 from riskledger.llm.line_dedup import op6_line_dedup
 from riskledger.llm.mixing import op3_mixing
-from riskledger.llm.ngram_join import op9_ngram_jaccard_join
+from riskledger.llm.ngram_join import OP9_SQL, op9_ngram_jaccard_join
 from riskledger.llm.pii import op2_pii
 from riskledger.llm.pitman_yor import op5_pitman_yor
 from riskledger.llm.token_output import op8_token_output
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
+    "op9_ngram_jaccard_join": OP9_SQL,
 }
