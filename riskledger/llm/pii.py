@@ -20,12 +20,12 @@ ROUNDS = 4
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "password": r"\b(?:password|passwd|pwd|secret|api_key|token)=[A-Za-z0-9]{6,}",
+    "password": r"(?i:\b(?:password|passwd|pwd|secret|api_key|token))(?:=[A-Za-z0-9]{6,}|[ \t]*=[ \t]*(?:[\"'][^\s\"']{6,}|(?=[A-Za-z]*\d)[A-Za-z0-9]{6,}))",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}[/.]\d{2}[/.]\d{4}\b",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"(?<![\d-])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -172,7 +172,7 @@ def email(m: Column, key: str) -> Column:
 
 
 CHANGES: dict[str, Callable[[Column, str], Column]] = {
-    "email": email, "access_key": tail("^AKIA|^ASIA", "access_key"), "password": tail("^[a-z_]+=", "password"), "iban": iban,
+    "email": email, "access_key": tail("^AKIA|^ASIA", "access_key"), "password": tail(r"^[A-Za-z_]+[ \t]*=[ \t]*[\"']?", "password"), "iban": iban,
     "date": date, "card": card, "phone": phone, "ssn": ssn, "ipv4": ipv4,
 }
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from riskledger.llm import line_dedup
+from riskledger.llm import line_dedup, pii
 from riskledger.plans import catalog, learned
 from tests.llm.test_operators import docs, words
 
@@ -47,3 +47,12 @@ def test_registered_models_have_full_size(spark, monkeypatch, name):
     with pytest.raises(Reached):
         catalog.QUERIES[name](None, "")
     assert seen == ({"trees": 100, "depth": 3, "rate": 0.1} if name == "M4" else {"trees": 500, "depth": 5, "rate": 0.05})
+
+
+def test_neighbouring_numbers_and_quoted_secrets_get_pseudonyms(spark):
+    ssn, secret = "123-45-6789", "0a1b2c3d" * 5
+    cases = [(f"{ssn} 987-65-4321", [ssn], "987-65-4321"), (f"{ssn} 555-123-4567", [ssn, "555-123-4567"], ""), (f'token = "{secret}"', [secret], "token = "), (f'TOKEN = "{secret}"', [secret], "TOKEN = ")]
+    got = {x.doc_id: x.text for x in pii.pseudonymise(docs(spark, [*[c for c, _, _ in cases], "token = tokenizer(x)"]), key="k").collect()}
+    for i, (text, gone, kept) in enumerate(cases):
+        assert len(got[i]) == len(text) and kept in got[i] and not any(g in got[i] for g in gone)
+    assert got[len(cases)] == "token = tokenizer(x)"
