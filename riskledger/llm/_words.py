@@ -13,8 +13,8 @@ _INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, list[np.ndarray]] = {}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[32, 9, 10, 11, 12, 13]] = True
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,7 +76,7 @@ def word_hashes(text: pa.StringArray) -> Words:
         return Words(none.astype(np.uint64), none, none, none, none.astype(np.uint8))
     raw = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    space = _SPACE[raw]
+    space = SPACES[raw]
     n = raw.size
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
