@@ -166,12 +166,36 @@ def test_token_files(spark, odd, empty):
 
 
 def test_pieces_equal_whole_texts():
+    """Ids by pieces equal ids of whole texts, also while known pieces are dropped, and next to all kinds of white space."""
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    whole, pieces = Tokenizer.from_file(token_output.default_tokenizer()), token_output.Pieces(token_output.default_tokenizer(), 100)
-    texts = ["a\n\n\nb  c \n d", " x", "\n", "a ", "a  ", "a\r\nb \t c", "<|endoftext|> a<|endoftext|>b", "é, ç. ’s it's 'll", "x.\n y,\n", "1. ²,", "a\x1c b", "a \nb", "　b", "Ġ a Ċ b", LONG[:3000]]
-    for _ in range(3):
-        assert [np.frombuffer(b, "<u4").tolist() for b in pieces.texts(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    whole, pieces = Tokenizer.from_file(token_output.default_tokenizer()), token_output.Pieces(token_output.default_tokenizer(), 40)
+    texts = ["a\n\n\nb  c \n d", " x", "\n", "a ", "a  ", "a\r\nb \t c", "<|endoftext|> a<|endoftext|>b", "é, ç. ’s it's 'll", "x.\n y,\n", "1. ²,", "a\x1c b", "a \nb", "　b", "Ġ a Ċ b", "x" * 500, "a" + "." * 90, LONG[:3000], None]
+    bits = ["a", "the", " ", "  ", "\n", ".", ",", "'s", "'", "é", "ç.", "12", "½", "<|endoftext|>", "\t", "\r\n", "?!", "漢", "\u0301", "_", "\x1c", "\u2003", "\u3000", "\u00a0", "Ġ", "Ċ", "ß", "%%%", "x1"]
+    r = random.Random(4)
+    for _ in range(40):
+        ids, count = pieces.texts(pa.array(texts, pa.string()))
+        ends = np.cumsum(count)
+        assert [ids[e - c : e].tolist() for e, c in zip(ends, count)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        texts = ["".join(r.choices(bits, k=r.randint(0, 14))) for _ in range(60)]
+
+
+def test_lookups_skip_row_groups(spark):
+    """A doc_id lookup reads only the row groups and stripes that may hold it, by statistics and Bloom filter."""
+    n = 20_000
+    path = scratch(spark, "t")
+    few = spark.range(n).selectExpr("id * 2 as doc_id", "concat('text ', id) as text")
+    token_output.write_tokens(few, path, token_output.default_tokenizer())
+    for wanted, found in ((4002, 1), (4003, 0)):
+        hit = token_output.read_tokens(spark, path).filter(token_output.F.col("doc_id") == wanted)
+        rows = hit.collect()
+        assert [x.doc_id for x in rows] == [wanted] * found and all(x.start > 0 for x in rows)
+        scan = spark.read.schema(token_output.SCHEMA).orc(path).filter(token_output.F.col("doc_id") == wanted)
+        plan = scan._jdf.queryExecution().executedPlan()
+        scan._jdf.queryExecution().toRdd().count()
+        leaf = plan.collectLeaves().head()
+        assert found <= leaf.metrics().apply("numOutputRows").value() <= 1000 < n
 
 
 def test_language_id(spark, odd, empty):
@@ -188,12 +212,64 @@ def test_language_id(spark, odd, empty):
     kept = langid.keep_identified(d)
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == set(range(160))
     assert langid.keep_identified(empty).count() == 0 and langid.identify(odd, models).count() == odd.count()
+    # random letters of a learned script, and a language that nobody labelled, go
+    noise = ["".join(r.choice("abcdefghiklmoprstu ") for _ in range(200)) for _ in range(20)] + [make(["zqo", "wri", "jul", "fnd"], 60) for _ in range(5)]
+    kept = langid.keep_identified(docs(spark, [*texts, *noise], {i: "xx" if i < 80 else "yy" for i in range(160)} | {160 + i: None for i in range(len(noise))}))
+    assert {x.doc_id for x in kept.collect()} == set(range(160))
+    # without any label, and from an empty table, nothing is kept; columns may have the operator's names
+    assert langid.keep_identified(docs(spark, texts[:3], {i: None for i in range(3)})).count() == 0
+    clash = langid.keep_identified(d.withColumn("__language", langid.F.lit(7)).withColumn("row", langid.F.lit(8)))
+    assert {(x["__language"], x.row) for x in clash.collect()} == {(7, 8)} and clash.count() == 160
+    twice = langid.keep_identified(d.union(d.filter("doc_id = 3")))
+    assert [x.doc_id for x in twice.collect()].count(3) == 2
     # probabilities of the next symbol sum to one in a seen and an unseen context
     m = langid.fit([("xx", t) for t in texts[:80]])
     alphabet = sorted({c for t in texts[:80] for c in langid.encode(t).tolist()})
     for context in ("kat", "zzz"):
-        streams = [np.array([*map(ord, context), c], np.uint32) for c in [*alphabet, 0x4E00]]
-        assert sum(2.0 ** m.logs(s, np.array([3]))[0, 0] for s in streams) == pytest.approx(1, abs=1e-3)
+        p = [2.0 ** m.logs(np.array([*map(ord, context), c], np.uint32), np.array([3]))[0, 0] for c in [*alphabet, 0x4E00]]
+        assert sum(p[:-1]) + (langid.n_symbols() - len(alphabet)) * p[-1] == pytest.approx(1, abs=1e-3)
+
+
+def test_kneser_ney_against_plain_counts():
+    """Bits of texts by two languages' models, against interpolated Kneser-Ney written with dictionaries."""
+    r = random.Random(6)
+    make = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
+    own = {"a": [make(["ka", "to", "mi"], 30) for _ in range(12)], "b": [make(["tö", "mi", "sch"], 30) for _ in range(9)]}
+    models = langid.fit([(lang, t) for lang, texts in own.items() for t in texts])
+    asked = [make(["ka", "tö", "sch", "x"], 20) for _ in range(6)]
+    bits, size = models.entropies(asked)
+
+    def stream(t):
+        letters = "".join(c.lower() if c.isalpha() else " " for c in t)
+        return ["^"] * 3 + list(" ".join(letters.split()) if not letters.startswith(" ") else letters)
+
+    for j, (lang, texts) in enumerate(own.items()):
+        learn = [stream(t) for i, t in enumerate(texts) if i % 5]
+        top = collections.Counter(tuple(s[i - 3 : i + 1]) for s in learn for i in range(3, len(s)))
+        counts = {4: top}
+        for n in (3, 2, 1):
+            counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+        below = {}
+        for n, c in counts.items():
+            n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            total, kinds = collections.Counter(), collections.Counter()
+            for g, v in c.items():
+                total[g[:-1]] += v
+                kinds[g[:-1]] += 1
+            below[n] = (c, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, total, kinds)
+
+        def p(g):
+            if not g:
+                return 1 / langid.n_symbols()
+            c, d, total, kinds = below[len(g)]
+            if not total[g[:-1]]:
+                return p(g[1:])
+            return max(c[g] - d, 0) / total[g[:-1]] + d * kinds[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+        for i, t in enumerate(asked):
+            s = stream(t)
+            expected = [-np.log2(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))]
+            assert size[i] == len(expected) and bits[i, j] == pytest.approx(np.mean(expected), rel=1e-4)
 
 
 def test_warc_round_trip(spark, empty):
