@@ -40,7 +40,18 @@ def cut(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote. Only for those whose every use was itself written
+    by a finished job: then nothing that is lost later is computed from them again."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

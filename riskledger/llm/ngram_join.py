@@ -17,15 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskledger.llm._common import cut, lookup, table
+from riskledger.llm._common import cut, discard, lookup, table
 from riskledger.llm._words import shingle_hashes, slices
 
 #: Size of the table of shingle counts (by hash), in bits; the table is summed in SLICES.
-COUNT_BITS, SLICES = 20, 64
+COUNT_BITS, SLICES = 22, 64
+#: Least 64-bit words of parity bits of a set; a larger set has a bit or more for each shingle.
 PARITY_WORDS = 16
+#: A window may hold the rows of one shingle whose slot of the count table shows at most so many.
+WINDOW_ROWS = 50_000
 #: Ids up to this many are broadcast (8 MB) to pick documents; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -55,10 +59,24 @@ def signature(hashes: np.ndarray) -> str:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """PARITY_WORDS * 64 bits: whether an odd number of the set's hashes fall on each.
-    Bits in which two sets differ are at most the shingles that only one of them has."""
-    bits = np.bincount((hashes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+    """Whether an odd number of the set's hashes fall on each of 64 * PARITY_WORDS bits, doubled
+    until they are as many as the hashes. Bits in which two sets differ are at most the shingles that only
+    one of them has; the halves of a longer array, combined by XOR, are the shorter one."""
+    bits = 64 * PARITY_WORDS
+    while bits < hashes.size:
+        bits *= 2
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts (32 bits) compressed, byte plane by byte plane: most are small."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def count_pass(k: int):
@@ -74,21 +92,37 @@ def count_pass(k: int):
                     sizes.append(s.size)
                     signs.append(signature(s) if s.size else None)
                     at.append(s >> np.uint64(64 - COUNT_BITS))
-                counts += np.bincount(np.concatenate(at).astype(np.int64), minlength=counts.size).astype(np.uint32)
+                np.add.at(counts, np.concatenate(at).astype(np.int64), np.uint32(1))
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([False] * n), batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(signs, pa.string()), none(n, pa.int32()), none(n, pa.binary())], names)
         parts = np.split(counts, SLICES)
-        yield pa.RecordBatch.from_arrays([pa.array([True] * SLICES), none(SLICES, pa.int64()), none(SLICES, pa.int64()), none(SLICES, pa.string()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([True] * SLICES), none(SLICES, pa.int64()), none(SLICES, pa.int64()), none(SLICES, pa.string()), pa.array(range(SLICES), pa.int32()), pa.array([packed(p) for p in parts], pa.binary())], names)
 
     names = ["counts", "doc_id", "n", "sign", "slice", "sums"]
     return run
 
 
+def total(sums) -> np.ndarray:
+    """Counts added up, at most 32 bits each."""
+    out = np.zeros((1 << COUNT_BITS) // SLICES, np.uint64)
+    for data in sums:
+        out += unpacked(data)
+    return np.minimum(out, 0xFFFFFFFF)
+
+
 def add_up(pdf):
     import pandas as pd
 
-    total = sum((np.frombuffer(b, np.uint32).astype(np.uint64) for b in pdf["sums"]), np.zeros((1 << COUNT_BITS) // SLICES, np.uint64))
-    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "sums": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "sums": [packed(total(pdf["sums"]))]})
+
+
+def finish(pdf):
+    """Levels of a slice of the table, and the shingles of each level."""
+    import pandas as pd
+
+    counts = total(pdf["sums"])
+    levels = orders(counts)
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "levels": [levels.tobytes()], "mass": [np.bincount(levels, counts, 256)]})
 
 
 def levels_of(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +130,10 @@ def levels_of(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     summed in groups of about 64 tasks, then the groups' sums; 4 MB reach the driver."""
     tables = counted.filter("counts").select("slice", "sums").withColumn("__g", (F.rand(0) * F.lit(max(counted.rdd.getNumPartitions() // 16, 1))).cast("int"))
     once = tables.groupBy("slice", "__g").applyInPandas(add_up, "slice int, sums binary")
-    rows = once.groupBy("slice").applyInPandas(add_up, "slice int, sums binary").collect()
-    counts = np.concatenate([np.frombuffer(bytes(r["sums"]), np.uint32) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else np.zeros(1 << COUNT_BITS, np.uint32)
-    levels = orders(counts)
-    return levels, np.bincount(levels, counts, 256)
+    rows = sorted(once.groupBy("slice").applyInPandas(finish, "slice int, levels binary, mass array<double>").collect(), key=lambda r: r["slice"])
+    if not rows:
+        return np.zeros(1 << COUNT_BITS, np.uint8), np.zeros(256)
+    return np.concatenate([np.frombuffer(bytes(r["levels"]), np.uint8) for r in rows]), np.sum([r["mass"] for r in rows], axis=0)
 
 
 def pivots(mass: np.ndarray, fragments: int) -> np.ndarray:
@@ -129,7 +163,7 @@ def head_pass(k: int, percent: int, shared):
                     signs.append(signature(s) if s.size else None)
                     heads.append(ordered(s, levels)[: s.size - least_overlap(s.size, percent) + 1].astype(np.int64) if s.size else np.zeros(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([h.size for h in heads])]).astype(np.int32)), pa.array(np.concatenate(heads)))
-                ends = pa.array(np.arange(0, PARITY_WORDS * (len(bits) + 1), PARITY_WORDS).astype(np.int32))
+                ends = pa.array(np.concatenate([[0], np.cumsum([b.size for b in bits])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(signs, pa.string()), pa.array(sizes, pa.int64()), lists, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits)))], ["doc_id", "sign", "n", "head", "parity"])
 
     return run
@@ -160,17 +194,32 @@ def fragment_pass(k: int, shared):
 
 
 def links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
-    """The pairs (a, b, na, nb) whose overlap, summed over fragments, is enough. Only the
-    documents in pairs are cut into fragments; where a doc_id has several texts of one size, the best counts."""
+    """The pairs (a, b, na, nb) whose overlap, summed over fragments, is enough, as a written
+    table. Only the documents in pairs are cut into fragments; where a doc_id has several texts of one size, the best counts."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    parts = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(fragment_pass(k, shared), "rep long, n long, fragment int, part array<long>"), "jaccard-parts")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    parts = cut(docs.join(some, "doc_id", "left_semi").mapInArrow(fragment_pass(k, shared), "rep long, n long, fragment int, part array<long>"), "jaccard-parts")
     one = parts.select(F.col("rep").alias("a"), F.col("n").alias("na"), "fragment", F.col("part").alias("__pa"))
     two = parts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "fragment", F.col("part").alias("__pb"))
     partial = pairs.join(one, ["a", "na"]).join(two, ["b", "nb", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("__pa", "__pb")).alias("__x"))
     x = F.sum("__x")
-    total = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("__x").alias("__x")).groupBy("a", "b", "na", "nb").agg(x.alias("__x"))
-    return total.filter(100 * F.col("__x") >= percent * (F.col("na") + F.col("nb") - F.col("__x"))).select("a", "b")
+    whole = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("__x").alias("__x")).groupBy("a", "b", "na", "nb").agg(x.alias("__x"))
+    out = cut(whole.filter(100 * F.col("__x") >= percent * (F.col("na") + F.col("nb") - F.col("__x"))).select("a", "b"), "jaccard-links")
+    discard(ids, parts)
+    return out
+
+
+def shared_tokens(rows: DataFrame, levels: np.ndarray) -> DataFrame:
+    """rows without those whose token no other row has. A window holds the rows of one token;
+    tokens that may have more than WINDOW_ROWS are counted before they are shuffled instead."""
+    most = int(orders(np.array([WINDOW_ROWS]))[0])
+    light = rows if levels.max(initial=0) <= most else rows.filter(F.shiftright("token", 55) <= most)
+    out = light.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("__c > 1")
+    if light is rows:
+        return out
+    heavy = rows.filter(F.shiftright("token", 55) > most)
+    counts = cut(heavy.groupBy("token").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"), "jaccard-heavy")
+    return out.unionByName(lookup(heavy, counts, "token", "__c").filter("__c > 1"))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -211,16 +260,19 @@ def with_components(docs: DataFrame, *, k: int = 4, percent: int = 85, fragments
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     first = F.col("n") - F.ceil(F.col("n") * (2.0 * percent / (100 + percent)) - 1e-9) + 1
     need = lambda m, n: F.ceil((m + n) * (percent / (100.0 + percent)) - 1e-9)
-    w = Window.partitionBy("token")
     # one shuffle of the heads: token, document, and size with place in one number
     rows = heads.select("rep", "n", F.posexplode("head").alias("at", "token")).select("token", "rep", (F.shiftleft("n", 31) + F.col("at")).alias("__na"))
-    rows = rows.withColumn("c", F.count(F.lit(1)).over(w)).filter("c > 1").select("token", "rep", F.shiftright("__na", 31).alias("n"), F.col("__na").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("at"))
-    rows = cut(rows, "jaccard-rows")
+    rows = shared_tokens(rows, levels).select("token", "rep", F.shiftright("__na", 31).alias("n"), F.col("__na").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("at"))
+    found = cut(rows, "jaccard-rows")
     # lead: how many shingles a document has before the first that another head holds too
-    lead = rows.groupBy(F.col("rep").alias("__rep"), F.col("n").alias("__n")).agg(F.min("at").alias("lead"))
-    rows = rows.join(lead, (F.col("rep") == F.col("__rep")) & (F.col("n") == F.col("__n"))).drop("__rep", "__n")
-    rows = rows.withColumn("band", band).withColumn("short", F.col("at") < first)
-    rows = cut(rows.withColumn("leader", F.min(F.when(F.col("short"), F.struct("lead", "rep", "n", "at"))).over(Window.partitionBy("token", "band"))), "jaccard-rows")
+    lead = found.groupBy(F.col("rep").alias("__rep"), F.col("n").alias("__n")).agg(F.min("at").alias("lead"))
+    rows = found.join(lead, (F.col("rep") == F.col("__rep")) & (F.col("n") == F.col("__n"))).drop("__rep", "__n")
+    rows = cut(rows.withColumn("band", band).withColumn("short", F.col("at") < first), "jaccard-rows")
+    # of each token and band one leader; a token has at most as many bands as sizes have powers
+    leader = rows.groupBy("token", "band").agg(F.min(F.when(F.col("short"), F.struct("lead", "rep", "n", "at"))).alias("leader"), F.count(F.lit(1)).alias("__n"))
+    leader = leader.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "leader"))).alias("leaders"), F.sum("__n").alias("__n"))
+    leader = cut(leader, "jaccard-leaders")
+    led = lookup(rows, leader, "token", "__n", total=rows.count()).withColumn("leader", F.element_at("leaders", F.col("band")))
 
     def near(m: Column, i: Column, p: Column, n: Column, j: Column, q: Column) -> Column:
         """Whether sets of sizes m and n with a common shingle at i and j, and leads p and q, could link.
@@ -235,32 +287,46 @@ def with_components(docs: DataFrame, *, k: int = 4, percent: int = 85, fragments
 
     shared = spark.sparkContext.broadcast((levels, pivots(mass, fragments)))
     x = lambda c: F.col(f"leader.{c}")
-    stars = rows.filter((x("rep") != F.col("rep")) & near(x("n"), x("at"), x("lead"), F.col("n"), F.col("at"), F.col("lead")))
+    stars = led.filter((x("rep") != F.col("rep")) & near(x("n"), x("at"), x("lead"), F.col("n"), F.col("at"), F.col("lead")))
     stars = stars.select(x("rep").alias("a"), F.col("rep").alias("b"), x("n").alias("na"), F.col("n").alias("nb")).distinct()
     # where a doc_id has several texts of one size, their bits are not known
     bits = heads.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("__c"), F.first("parity").alias("parity")).select("rep", "n", F.when(F.col("__c") == 1, F.col("parity")).alias("parity"))
     bits = cut(bits, "jaccard-bits")
+    discard(found, heads)
 
     def could(p: Column, q: Column, m: Column, n: Column) -> Column:
         """Whether few enough bits differ for a link (true where bits are not known)."""
         differ = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return F.coalesce(differ <= m + n - 2 * need(m, n), F.lit(True))
 
-    first_bits = bits.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    second_bits = bits.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    stars = stars.join(first_bits, ["a", "na"]).join(second_bits, ["b", "nb"]).filter(could(*[F.col(c) for c in ("pa", "pb", "na", "nb")])).select("a", "b", "na", "nb")
-    edges = cut(links(cut(stars, "jaccard-stars"), docs, k, percent, shared), "jaccard-links")
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose bits allow a link. Sizes are near, so the one array is at most twice as long as the other."""
+        pairs = pairs.join(bits.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), ["a", "na"])
+        pairs = pairs.join(bits.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), ["b", "nb"])
+        half = lambda p: F.zip_with(F.slice(p, F.lit(1), (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, F.size(p)), lambda x, y: x.bitwiseXOR(y))
+        p, q = (F.when(F.size(one) > F.size(other), half(F.col(one))).otherwise(F.col(one)) for one, other in (("pa", "pb"), ("pb", "pa")))
+        return pairs.filter(could(p, q, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
+
+    stars = cut(possible(stars), "jaccard-stars")
+    edges = links(stars, docs, k, percent, shared)
     label = components(edges, "jaccard")
     # what is left: pairs of different components at one head shingle
-    rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = rows.withColumn("__lo", F.min("component").over(w)).withColumn("__hi", F.max("component").over(w)).filter("__lo != __hi")
-    mixed = cut(mixed.select("token", "rep", "n", "at", "lead", "short", "component").join(bits, ["rep", "n"]), "jaccard-mixed")
+    own = cut(rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "jaccard-own")
+    several = own.groupBy("token").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi"), F.count(F.lit(1)).alias("__n")).filter("__lo != __hi")
+    several = cut(several.select("token", F.lit(True).alias("__several"), "__n"), "jaccard-several")
+    mixed = lookup(own, several, "token", "__n").filter("__several").select("token", "rep", "n", "at", "lead", "short", "component")
+    # the bits of small sets decide in the join itself, those of large ones (null here) pair by pair
+    little = bits.select("rep", "n", F.when(F.size("parity") == PARITY_WORDS, F.col("parity")).alias("parity"))
+    mixed = cut(mixed.join(little, ["rep", "n"]), "jaccard-mixed")
+    discard(rows, leader, own, several)
     a, b = mixed.filter("short").alias("x"), mixed.alias("y")
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") != F.col("y.rep")))
     pairs = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & order & near(*[F.col(c) for c in ("x.n", "x.at", "x.lead", "y.n", "y.at", "y.lead")]) & could(*[F.col(c) for c in ("x.parity", "y.parity", "x.n", "y.n")]))
     low = F.col("x.rep") < F.col("y.rep")
     pairs = pairs.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(o) for p, q, o in (("x.rep", "y.rep", "a"), ("y.rep", "x.rep", "b"), ("x.n", "y.n", "na"), ("y.n", "x.n", "nb"))]).distinct()
-    more = cut(links(cut(pairs, "jaccard-pairs"), docs, k, percent, shared), "jaccard-links")
+    pairs = cut(possible(pairs), "jaccard-pairs")
+    more = links(pairs, docs, k, percent, shared)
+    discard(mixed, bits, stars, pairs)
     if not more.isEmpty():
         label = components(edges.union(more), "jaccard")
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"), "__n")
