@@ -70,10 +70,10 @@ def tier(score: Column) -> Column:
     return F.when(score < 30, "Low").when(score < 60, "Medium").otherwise("High")
 
 
-def z_score(x: Column, mean: Column, std: Column) -> Column:
-    """Clipped to -3..3; null without statistics."""
+def z_score(x: Column, mean: Column, std: Column, clip: float | None = 3.0) -> Column:
+    """Clipped to -clip..clip, if that is given; null without statistics."""
     z = (x - mean) / F.greatest(F.abs(std), F.lit(1e-6))
-    return F.when(mean.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z)))
+    return F.when(mean.isNotNull(), z if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))
 
 
 def erf(x: Column) -> Column:

@@ -6,11 +6,13 @@ global_rank, which numbers ranges in parallel; fractions and edges are small lit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskledger.functions.scores import adverse_outcome, tier
-from riskledger.operators.features import global_rank
+from riskledger.operators.ranking import average_ranks, global_rank, grouped_rank, percentiles, running_totals, written
 
 
 def future_outcomes(history: DataFrame, future_facts: DataFrame, key: str = "estab") -> DataFrame:
@@ -43,8 +45,10 @@ def decile_bins(df: DataFrame, *, bins: int = 10, key: str = "estab", score: str
 
 def decile_summary(df: DataFrame, outcome: str = "adverse", **options) -> DataFrame:
     """E1."""
-    rows = total(decile_bins(df, **options), F.avg(outcome).alias("__mean"))
-    out = rows.groupBy("decile").agg(F.min("score").alias("score_lo"), F.max("score").alias("score_hi"), F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean_outcome"), F.median(outcome).alias("median_outcome"), F.first("__mean").alias("__mean"))
+    binned = written(decile_bins(df, **options), "deciles")
+    out = binned.groupBy("decile").agg(F.min("score").alias("score_lo"), F.max("score").alias("score_hi"), F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean_outcome"))
+    middle = percentiles(binned, ["decile"], outcome, {"median_outcome": 0.5}).drop("n")
+    out = total(out.join(middle, "decile", "left"), *[F.try_divide(F.sum(F.col("mean_outcome") * F.col("n")), F.sum("n")).alias("__mean")])
     return out.withColumn("lift", F.try_divide("mean_outcome", "__mean")).drop("__mean")
 
 
@@ -73,18 +77,6 @@ def capture(df: DataFrame, fractions: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2,
     return out.crossJoin(F.broadcast(base)).select("fraction", "n", F.try_divide("a", "ta").alias("adverse_captured"), F.try_divide("s", "ts").alias("swr_captured"), F.try_divide("am", "ma").alias("adverse_lift"), F.try_divide("sm", "ms").alias("swr_lift"))
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks of value from 1, equal values sharing their mean rank: running counts over the distinct values."""
-    counts = global_rank(df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c")), ["__v"], "__r")
-    parts = counts.withColumn("__b", F.floor((F.col("__r") - 1) / 10_000))
-    sums = parts.groupBy("__b").agg(F.sum("__c").alias("__s"))
-    before = F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__b", before.alias("__o"))
-    inside = F.coalesce(F.sum("__c").over(Window.partitionBy("__b").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = parts.withColumn("__i", inside).join(F.broadcast(sums), "__b").select("__v", (F.col("__o") + F.col("__i") + (F.col("__c") + 1) / 2).alias(out))
-    return df.join(ranks, df[value].eqNullSafe(ranks["__v"])).drop("__v")
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """E5: rank and plain correlation of two columns, one row."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -92,18 +84,52 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.corr("rx", "ry").alias("spearman"), F.corr("x", "y").alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
-def auroc(df: DataFrame, target: Column, *, least: int = 10, score: str = "score") -> DataFrame:
-    """By the sum of the positives' average ranks; null with fewer than least positives or negatives."""
-    ranked = average_ranks(df.select(F.col(score), target.cast("int").alias("__t")), score, "__rank")
-    out = ranked.agg(F.sum(F.when(F.col("__t") == 1, F.col("__rank"))).alias("r"), F.sum("__t").alias("pos"), F.sum(1 - F.col("__t")).alias("neg"))
-    area = (F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
-    return out.select("pos", "neg", F.when((F.col("pos") >= least) & (F.col("neg") >= least), area).alias("auroc"))
+def correlations(df: DataFrame, x: str, targets: list[str]) -> DataFrame:
+    """E5 for several targets, a row each."""
+    return union([spearman(df, x, y).select(F.lit(y).alias("target"), "spearman", "pearson", "n") for y in targets])
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    """All rows of a fixed, short list of frames."""
+    return reduce(DataFrame.unionByName, frames)
+
+
+def aurocs(df: DataFrame, targets: dict[str, Column], *, least: int = 10, score: str = "score", groups: list[str] | None = None) -> DataFrame:
+    """Of each target (name: boolean column) and group the area under the curve, by the sum
+    of the positives' average ranks; null with fewer than least positives or negatives."""
+    groups = groups or []
+    ranked = written(average_ranks(df, score, "__rank", groups), "areas")
+    out = []
+    for name, positive in targets.items():
+        hit = positive.cast("int")
+        one = ranked.groupBy(*groups).agg(F.sum(F.when(hit == 1, F.col("__rank"))).alias("__r"), F.coalesce(F.sum(hit), F.lit(0)).alias("pos"), F.coalesce(F.sum(1 - hit), F.lit(0)).alias("neg"))
+        area = (F.col("__r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
+        enough = (F.col("pos") >= least) & (F.col("neg") >= least)
+        out.append(one.select(F.lit(name).alias("target"), *groups, "pos", "neg", F.when(enough, area).alias("auroc")))
+    return union(out)
+
+
+def group_report(df: DataFrame, group: Column, name: str, *, least: int = 1) -> DataFrame:
+    """By group (of least rows or more) its size, rank correlation of score and
+    outcome, lift of its top decile, and means. Ranks are those inside the group."""
+    rows = written(df.select("estab", "score", "adverse", group.alias(name)), "groups")
+    ranked = average_ranks(average_ranks(rows, "score", "__a", [name]), "adverse", "__b", [name])
+    size = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg("adverse").alias("mean_adverse"))
+    placed = grouped_rank(rows, [name], [F.col("score").desc(), "estab"], "__place").join(size.select(name, "n"), name)
+    top = placed.filter(F.col("__place") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.1, 0))).groupBy(name).agg(F.avg("adverse").alias("__top"))
+    out = size.filter(F.col("n") >= least).join(ranked.groupBy(name).agg(F.corr("__a", "__b").alias("spearman")), name).join(top, name)
+    return out.select(name, "n", "spearman", F.try_divide("__top", "mean_adverse").alias("top_decile_lift"), "mean_score", "mean_adverse")
 
 
 def score_bands(df: DataFrame, width: int = 20) -> DataFrame:
     """E8."""
     band = F.least(F.floor(F.col("score") / width), F.lit(100 // width - 1)).cast("int")
-    return df.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg("adverse").alias("mean_adverse"), F.median("adverse").alias("median_adverse"), F.avg("swr").alias("swr_rate"), F.avg("fatality").alias("fatality_rate"), F.avg("violation_rate").alias("mean_rate"), F.avg("log_penalty").alias("mean_log_penalty"))
+    rows = df.withColumn("band", band)
+    out = rows.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("adverse").alias("mean_adverse"), F.avg("swr").alias("swr_rate"), F.avg("fatality").alias("fatality_rate"),
+        F.avg("violation_rate").alias("mean_rate"), F.avg("log_penalty").alias("mean_log_penalty"),
+    )
+    return out.join(percentiles(rows, ["band"], "adverse", {"median_adverse": 0.5}).drop("n"), "band", "left")
 
 
 def by_tier(df: DataFrame) -> DataFrame:
@@ -115,17 +141,7 @@ def bootstrap_spearman(df: DataFrame, *, key: str = "estab", resamples: int = 50
     """95 % interval of the rank correlation under seeded Poisson weights of each
     row and resample. Weighted moments of the ranks are summed in one pass; no row is repeated."""
     ranked = average_ranks(average_ranks(df.select(key, "score", "adverse"), "score", "x"), "adverse", "y")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col("b")), 11) / float(1 << 53)).alias("u")
-    rows = ranked.select(key, "x", "y", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select("x", "y", "b", u)
-    edges, p, cdf = [], 0.36787944117144233, 0.0
-    for k in range(8):  # Poisson(1) by its distribution function
-        cdf += p
-        edges.append(cdf)
-        p /= k + 1
-    w = F.lit(0)
-    for e in edges:
-        w = w + (F.col("u") > e).cast("int")
-    rows = rows.withColumn("w", w).filter("w > 0")
+    rows = ranked.select(key, "x", "y", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", poisson_weight(F.lit(seed), F.col(key), F.col("b"))).filter("w > 0")
     s = lambda c: F.sum(F.col("w") * c)
     m = rows.groupBy("b").agg(F.sum("w").alias("n"), s(F.col("x")).alias("sx"), s(F.col("y")).alias("sy"), s(F.col("x") * F.col("x")).alias("sxx"), s(F.col("y") * F.col("y")).alias("syy"), s(F.col("x") * F.col("y")).alias("sxy"))
     rho = F.expr("(n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))")
@@ -134,22 +150,130 @@ def bootstrap_spearman(df: DataFrame, *, key: str = "estab", resamples: int = 50
 
 def rolling_mean(df: DataFrame, *, key: str = "estab", share: float = 0.08, least: int = 50) -> DataFrame:
     """Centred mean of the outcome over score order; null where under a quarter of the
-    width is there. Each row's value is spread over the places it counts for only inside
-    its own bucket of ranks and the two beside it."""
-    ranked = global_rank(df.select(key, "score", "adverse"), ["score", key])
-    n = df.count()
+    width is there. A mean is the difference of two running sums, met by their ranks."""
+    rows = df.select(key, "score", "adverse", F.col("adverse").isNotNull().cast("long").alias("__one"))
+    ranked = written(running_totals(rows, ["score", key], {"__sum": "adverse", "__seen": "__one"}), "rolling")
+    n = ranked.count()
     width = max(least, int(share * n))
-    size = max(width, 1000)
-    home = F.floor(F.col("rank") / size)
-    spread = ranked.withColumn("bucket", F.explode(F.array(home - 1, home, home + 1)))
-    w = Window.partitionBy("bucket").orderBy("rank").rowsBetween(-(width // 2), (width - 1) // 2)
-    out = spread.withColumn("seen", F.count("adverse").over(w)).withColumn("smooth", F.when(F.col("seen") >= width // 4, F.avg("adverse").over(w)))
-    return out.filter(F.col("bucket") == home).select(key, "score", "smooth")
+    low, high = F.col("rank") - width // 2 - 1, F.least(F.col("rank") + (width - 1) // 2, F.lit(n))
+    edge = lambda s: ranked.select(F.col("rank").alias(f"__{s}"), F.col("__sum").alias(f"__sum_{s}"), F.col("__seen").alias(f"__seen_{s}"))
+    met = ranked.select(key, "score", low.alias("__lo"), high.alias("__hi")).join(edge("hi"), "__hi").join(edge("lo"), "__lo", "left")
+    seen = F.col("__seen_hi") - F.coalesce("__seen_lo", F.lit(0))
+    mean = (F.col("__sum_hi") - F.coalesce("__sum_lo", F.lit(0.0))) / seen
+    return met.select(key, "score", F.when((seen >= width // 4) & (seen > 0), mean).alias("smooth"))
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int = 40) -> DataFrame:
-    """Density of a column over equal bins."""
+    """Density of a column over equal bins: of all rows, and of the quarter with the worst outcomes."""
     width = (hi - lo) / bins
+    edge = percentiles(df, [], "adverse", {"__edge": 0.75}).select("__edge")
     b = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int")
-    out = df.filter(F.col(column).between(lo, hi)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return total(out, F.sum("n").alias("__t")).select("bin", "n", (F.col("n") / (F.col("__t") * width)).alias("density"))
+    rows = df.filter(F.col(column).between(lo, hi)).crossJoin(F.broadcast(edge)).withColumn("__worst", F.col("adverse") >= F.col("__edge"))
+    out = rows.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if("__worst").alias("n_worst"))
+    out = total(out, F.sum("n").alias("__t"), F.sum("n_worst").alias("__w"))
+    return out.select("bin", "n", "n_worst", (F.col("n") / (F.col("__t") * width)).alias("density"), (F.col("n_worst") / (F.col("__w") * width)).alias("density_worst"))
+
+
+def gains(df: DataFrame, *, key: str = "estab") -> DataFrame:
+    """Every row by descending score, with the share of all adverse outcomes and of all
+    serious ones that it and the rows before it hold."""
+    ranked = running_totals(df.select(key, "score", "adverse", "swr"), [F.col("score").desc(), key], {"adverse_so_far": "adverse", "swr_so_far": "swr"})
+    every = F.broadcast(df.agg(F.sum("adverse").alias("__a"), F.sum("swr").alias("__s")))  # one row
+    return ranked.crossJoin(every).select(key, "rank", "adverse_so_far", "swr_so_far", F.try_divide("adverse_so_far", "__a").alias("adverse_share"), F.try_divide("swr_so_far", "__s").alias("swr_share"))
+
+
+def bootstrap_means(df: DataFrame, *, bins: int = 8, key: str = "estab", resamples: int = 200, seed: int = 42) -> DataFrame:
+    """By bin of score between its quantiles the mean outcome and half the width of its 95 %
+    interval, under seeded Poisson weights of each row and resample."""
+    binned = quantile_bins(df.select(key, "score", "adverse"), "score", bins)
+    rows = binned.select("bin", "adverse", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"), key)
+    rows = rows.withColumn("w", poisson_weight(F.lit(seed), F.col(key), F.col("b")))
+    means = rows.groupBy("bin", "b").agg((F.sum(F.col("w") * F.col("adverse")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    spread = means.groupBy("bin").agg(((F.percentile("m", F.lit(0.975)) - F.percentile("m", F.lit(0.025))) / 2).alias("half_width"))  # resamples rows a bin
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("adverse").alias("mean")).join(spread, "bin")
+
+
+def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """df with bin (from 0): how many inner quantiles of column lie below its value."""
+    edges = percentiles(df, [], column, {f"__q{i}": i / bins for i in range(1, bins)}).drop("n")
+    out = df.crossJoin(F.broadcast(edges))  # one row
+    at = sum(((F.col(column) > F.col(f"__q{i}")).cast("int") for i in range(1, bins)), F.lit(0))
+    return out.withColumn("bin", at).drop(*[f"__q{i}" for i in range(1, bins)])
+
+
+def poisson_weight(*seeds: Column) -> Column:
+    """A seeded draw from Poisson(1), by its distribution function."""
+    u = F.shiftrightunsigned(F.xxhash64(*seeds), 11) / float(1 << 53)
+    edges, p, cdf = [], 0.36787944117144233, 0.0
+    for k in range(8):
+        cdf += p
+        edges.append(cdf)
+        p /= k + 1
+    return sum(((u > e).cast("int") for e in edges), F.lit(0))
+
+
+def diagnostics(df: DataFrame, thresholds: tuple[int, ...] = (20, 30, 40, 50, 60), *, common: int = 10) -> DataFrame:
+    """E13 as (measure, place, value): number of distinct scores, deviation, share of the largest
+    bunch of equal scores (to one decimal), shares at or over thresholds, and the commonest scores."""
+    bunches = df.groupBy(F.bround("score", 1).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    nothing = F.lit(None).cast("double")
+    row = lambda name, at, value: F.struct(F.lit(name).alias("measure"), at.cast("double").alias("place"), value.cast("double").alias("value"))
+    n = F.count(F.lit(1))
+    shares = [row("share_over", F.lit(t), F.count_if(F.col("score") >= t) / n) for t in thresholds]
+    whole = df.agg(F.array(row("unique", nothing, F.countDistinct("score")), row("deviation", nothing, F.stddev_pop("score")), *shares).alias("r"))
+    largest = bunches.agg(F.array(row("largest_bunch", nothing, F.max("n") / F.sum("n"))).alias("r"))
+    often = bunches.orderBy(F.desc("n"), "place").limit(common).select(F.lit("common").alias("measure"), F.col("place").cast("double").alias("place"), F.col("n").cast("double").alias("value"))
+    return union([whole.select(F.inline("r")), largest.select(F.inline("r")), often])
+
+
+def regression_quality(df: DataFrame, train: Column) -> DataFrame:
+    """Errors of score against outcome, R2, bias, correlation of residual and outcome, and how
+    much larger the mean error is outside the training rows."""
+    miss = F.col("score") - F.col("adverse")
+    inside, outside = F.avg(F.when(train, F.abs(miss))), F.avg(F.when(~train, F.abs(miss)))
+    return df.agg(
+        F.avg(F.abs(miss)).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse"), (1 - F.avg(miss * miss) / F.var_pop("adverse")).alias("r2"), F.avg(miss).alias("bias"),
+        F.corr(miss, F.col("adverse")).alias("residual_corr"), (outside - inside).alias("gap"),
+    )
+
+
+def tier_confusion(df: DataFrame) -> DataFrame:
+    """Rows by tier of score and tier of outcome, each with accuracy, recall of the high
+    tier, precision of the low one, and the share of misses by two tiers."""
+    a, b = tier(F.col("score")), tier(F.col("adverse"))
+    share = lambda hit, of: F.try_divide(F.count_if(hit & of), F.count_if(of))
+    every = F.lit(True)
+    apart = ((a == "Low") & (b == "High")) | ((a == "High") & (b == "Low"))
+    summary = df.agg(share(a == b, every).alias("accuracy"), share(a == "High", b == "High").alias("high_recall"), share(b == "Low", a == "Low").alias("low_precision"), share(apart, every).alias("two_apart"))
+    return df.groupBy(a.alias("tier_a"), b.alias("tier_b")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(summary))
+
+
+def end_overlaps(df: DataFrame, other: str, share: float = 0.1) -> DataFrame:
+    """How many of the top and of the bottom share by score are there by the other column, too."""
+    def both(end: str, direction) -> DataFrame:
+        top = lambda c: cut_off(global_rank(df.select("estab", c), [direction(F.col(c)), "estab"]), share).select("estab")
+        return top("score").intersect(top(other)).agg(F.count(F.lit(1)).alias("both")).select(F.lit(end).alias("end"), "both")
+
+    return union([both("top", lambda c: c.desc()), both("bottom", lambda c: c.asc())])
+
+
+def cut_off(ranked: DataFrame, share: float) -> DataFrame:
+    """The first max(1, round(n * share)) ranks."""
+    return total(ranked, F.count(F.lit(1)).alias("__n")).filter(F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("__n") * share, 0))).drop("__n")
+
+
+def quintiles(df: DataFrame) -> DataFrame:
+    """Mean outcome of fifths by score (a remainder is left out), and how often it falls from one to the next."""
+    ranked = total(global_rank(df, ["score", "estab"]), F.count(F.lit(1)).alias("__n"))
+    fifth = F.floor((F.col("rank") - 1) / F.floor(F.col("__n") / 5)).cast("int")
+    out = ranked.withColumn("quintile", fifth).filter("quintile < 5").groupBy("quintile").agg(F.count(F.lit(1)).alias("n"), F.avg("adverse").alias("mean"))
+    means = out.agg(F.array_sort(F.collect_list(F.struct("quintile", "mean"))).alias("__m"))  # five entries
+    falls = F.size(F.filter(F.sequence(F.lit(1), F.size("__m") - 1), lambda i: F.get("__m", i)["mean"] < F.get("__m", i - 1)["mean"]))
+    return out.crossJoin(F.broadcast(means.select(falls.cast("long").alias("inversions"))))
+
+
+def distribution(df: DataFrame) -> DataFrame:
+    """Percentiles, mean, deviation and range of the score, and its deviation by the outcome's."""
+    points = percentiles(df, [], "score", {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95)}).drop("n")
+    rest = df.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), (F.max("score") - F.min("score")).alias("score_range"), (F.stddev_pop("score") / F.stddev_pop("adverse")).alias("std_ratio"))
+    return points.crossJoin(rest)

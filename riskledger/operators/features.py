@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskledger.functions.scores import LOGGED, SECTORS, z_score
@@ -55,8 +55,8 @@ def industry_statistics(features: DataFrame, *, min_sample: int = 10) -> DataFra
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("count"), *[x for _, c, name in RATES for x in (F.avg(c).alias(f"avg_{name}"), std(c).alias(f"std_{name}"))]).filter(F.col("count") >= min_sample)
 
 
-def with_industry(features: DataFrame, stats: DataFrame) -> DataFrame:
-    """The longest prefix that has statistics (4, 3, 2 digits), and the clipped z-scores against it.
+def with_industry(features: DataFrame, stats: DataFrame, *, clip: float | None = 3.0) -> DataFrame:
+    """The longest prefix that has statistics (4, 3, 2 digits), and the z-scores against it, clipped unless clip is None.
 
     Prefix groups are at most 11,100 by their digits, which bounds the broadcast.
     """
@@ -65,7 +65,7 @@ def with_industry(features: DataFrame, stats: DataFrame) -> DataFrame:
         s = stats.select(F.col("grp").alias(f"__k{d}"), F.struct(*stats.columns).alias(f"__s{d}"))
         out = out.join(F.broadcast(s), F.substring("industry_group", 1, d) == F.col(f"__k{d}"), "left").drop(f"__k{d}")
     out = out.withColumn("__s", F.coalesce("__s4", "__s3", "__s2"))
-    z = {name: z_score(F.col(raw), F.col(f"__s.avg_{stat}"), F.col(f"__s.std_{stat}")) for name, raw, stat in RATES}
+    z = {name: z_score(F.col(raw), F.col(f"__s.avg_{stat}"), F.col(f"__s.std_{stat}"), clip) for name, raw, stat in RATES}
     return out.withColumns(z | {"stats_group": F.col("__s.grp"), "industry_mean_rate": F.col("__s.avg_violation_rate")}).drop("__s", "__s4", "__s3", "__s2")
 
 
@@ -102,16 +102,3 @@ def longest_prefix(codes: DataFrame, column: str, reference: DataFrame, out: str
         codes = codes.join(F.broadcast(r), fits == F.col(f"__c{d}"), "left").drop(f"__c{d}")
     titles = [f"__t{d}" for d in (6, 5, 4, 3, 2)]
     return codes.withColumn(out, F.coalesce(*titles, F.lit(default))).drop(*titles)
-
-
-def global_rank(df: DataFrame, order: list, out: str = "rank", *, buckets: int = 32) -> DataFrame:
-    """Rows numbered from 1 by order (columns, each ascending or a Column with its
-    direction) without gathering them in one task: rows are dealt by range, numbered inside
-    a range, and offset by the counts of the ranges before (one row per range)."""
-    ranged = df.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id())
-    w = Window.partitionBy("__part").orderBy(*order)
-    numbered = ranged.withColumn("__at", F.row_number().over(w))
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("__part").alias("__p"), before.alias("__before"))
-    return numbered.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn(out, F.col("__before") + F.col("__at")).drop("__part", "__p", "__at", "__before")

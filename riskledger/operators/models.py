@@ -2,35 +2,65 @@
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskledger.functions.labels import driver_label
 from riskledger.functions.scores import tail_weight
 from riskledger.operators.features import FEATURES
+from riskledger.operators.ranking import written
 
 
 def hash_split(df: DataFrame, key: str, share: int = 80) -> DataFrame:
-    """M2: train is true for about share % of keys, the same under any partitioning."""
-    return df.withColumn("train", F.pmod(F.xxhash64(F.lit(42), key), F.lit(100)) < share)
+    """M2: train is true for about share % of keys, by their MD5, so the same under any partitioning and in any engine."""
+    return df.withColumn("train", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100 < share)
 
 
-def train_scorer(frame: DataFrame, label: str, *, trees: int = 500, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, min_leaf: int = 3, seed: int = 42) -> PipelineModel:
+def train_scorer(frame: DataFrame, label: str, *, trees: int = 500, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, min_leaf: int = 3, seed: int = 42, rows_per_task: int = 100_000) -> PipelineModel:
     """M3 / M4: scaled features into boosted regression trees with tail weights (squared loss)."""
     stages = [
         VectorAssembler(inputCols=FEATURES, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True),
         GBTRegressor(featuresCol="scaled", labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(frame.withColumn("weight", tail_weight(F.col(label))))
+    few = max(1, min(frame.rdd.getNumPartitions(), -(-frame.count() // rows_per_task)))  # each tree is several jobs: small tables need few tasks
+    return Pipeline(stages=stages).fit(frame.coalesce(few).withColumn("weight", tail_weight(F.col(label))))
 
 
 def importances(model: PipelineModel, spark) -> DataFrame:
     """M9: importance by feature (46 rows)."""
-    return spark.createDataFrame(list(zip(FEATURES, map(float, model.stages[-1].featureImportances.toArray()))), "feature string, importance double")
+    return spark.createDataFrame(list(zip(FEATURES, map(float, model.stages[-1].featureImportances.toArray()))), "feature string, weight double")
+
+
+def correlation_weights(frame: DataFrame, label: str) -> DataFrame:
+    """Weights of the features without a model: how far each goes with the label, in one pass (46 rows)."""
+    one = frame.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.abs(F.corr(F.col(c), F.col(label))), F.lit(0.0)).alias("weight")) for c in FEATURES]).alias("w"))
+    return one.select(F.inline("w"))
+
+
+def top_weights(weights: DataFrame, most: int = 15, drivers: int = 3) -> DataFrame:
+    """K3: the largest weights (feature, weight; one row per feature), the first of them drivers, with
+    their share of the largest (W8) and what they are called (H17)."""
+    w = Window.orderBy(F.desc("weight"), "feature")
+    ranked = weights.withColumn("rank", F.row_number().over(w)).withColumn("share", F.try_divide("weight", F.max("weight").over(Window.partitionBy(F.lit(0)))))
+    return ranked.filter(F.col("rank") <= most).select("feature", driver_label(F.col("feature")).alias("label"), "weight", "share", "rank", (F.col("rank") <= drivers).alias("driver"))
+
+
+def weight_overlap(one: DataFrame, other: DataFrame, most: int = 10) -> DataFrame:
+    """Features among the most of both models, and the share of all weight that each model's first feature has."""
+    place = lambda df: df.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("weight"), "feature")))
+    a, b = place(one).filter(F.col("__r") <= most), place(other).filter(F.col("__r") <= most)
+    lead = lambda df, name: df.agg((F.max("weight") / F.sum("weight")).alias(name))
+    both = a.join(b, "feature").agg(F.count(F.lit(1)).alias("both"))
+    return both.crossJoin(lead(one, "dominance")).crossJoin(lead(other, "dominance_other"))
 
 
 def calibration_bins(pairs: DataFrame, *, width: float = 5.0, least: int = 3) -> DataFrame:
@@ -39,23 +69,35 @@ def calibration_bins(pairs: DataFrame, *, width: float = 5.0, least: int = 3) ->
     return pairs.groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("adverse").alias("mean")).filter(F.col("n") >= least).select("bin", "n", "mean", ((F.col("bin") + 0.5) * width).alias("mid"))
 
 
-def fit_calibrator(pairs: DataFrame):
-    """Isotonic model of outcome by score with its lowest and highest value; None with under 10 pairs or 3 bins."""
-    bins = calibration_bins(pairs).cache()
-    if pairs.count() < 10 or bins.count() < 3:
+@dataclass
+class Calibrator:
+    """Outcomes that rise with the score, and where they begin and end."""
+
+    bins: DataFrame
+    model: object
+    low: float
+    high: float
+
+
+def fit_calibrator(pairs: DataFrame, *, least_pairs: int = 10, least_bins: int = 3) -> Calibrator | None:
+    """M5: isotonic regression of mean outcomes on the middles of score bins; None with fewer
+    pairs or bins. M7 fits it on real outcomes and asks for 100 pairs."""
+    bins = written(calibration_bins(pairs), "bins")
+    if pairs.count() < least_pairs or bins.count() < least_bins:
         return None
     model = IsotonicRegression(featuresCol="mid", labelCol="mean", predictionCol="fitted").fit(bins)
-    lo, hi = model.transform(bins).agg(F.min("fitted"), F.max("fitted")).first()
-    return model, lo, hi
+    fitted = model.transform(bins)
+    low, high = fitted.agg(F.min("fitted"), F.max("fitted")).first()
+    return Calibrator(fitted, model, low, high)
 
 
-def calibrate(scored: DataFrame, calibrator) -> DataFrame:
+def calibrate(scored: DataFrame, calibrator: Calibrator | None, score: str = "score") -> DataFrame:
     """M6: calibrated 0 to 100; scores pass through without a calibrator or span."""
-    if calibrator is None or calibrator[2] - calibrator[1] < 1e-6:
-        return scored.withColumn("calibrated", F.col("score"))
-    model, lo, hi = calibrator
-    out = model.setFeaturesCol("score").setPredictionCol("__fit").transform(scored)
-    return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("__fit") - lo) / (hi - lo) * 100))).drop("__fit")
+    if calibrator is None or calibrator.high - calibrator.low < 1e-6:
+        return scored.withColumn("calibrated", F.col(score))
+    out = calibrator.model.setFeaturesCol(score).setPredictionCol("__fit").transform(scored)
+    part = (F.col("__fit") - calibrator.low) / (calibrator.high - calibrator.low) * 100
+    return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(100.0), part))).drop("__fit")
 
 
 def inspection_weights(frame: DataFrame, inspected: str, columns: list[str], *, floor: float = 0.05) -> DataFrame:
@@ -66,10 +108,61 @@ def inspection_weights(frame: DataFrame, inspected: str, columns: list[str], *,
     return model.transform(ready).withColumn("weight", 1 / F.greatest(p, F.lit(floor))).drop("__x", "__p", "__r", "__y")
 
 
-def probability_head(frame: DataFrame, target: str, *, trees: int = 20, depth: int = 3, seed: int = 42) -> DataFrame:
-    """Probability of a 0/1 target by boosted trees, calibrated isotonically on the held-out fifth."""
+def probability_head(frame: DataFrame, target: str, out: str = "probability", *, trees: int = 20, depth: int = 3, seed: int = 42) -> DataFrame:
+    """Probability of a 0/1 target by boosted trees, calibrated isotonically on the
+    held-out fifth. A target of one kind only is its own probability."""
     split = hash_split(VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(frame), frame.columns[0])
+    kinds = split.filter("train").agg(F.countDistinct(target)).first()[0]
+    if kinds < 2:
+        return split.withColumn(out, F.col(target).cast("double")).drop("__x")
     model = GBTClassifier(featuresCol="__x", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(split.filter("train"))
     scored = model.transform(split).withColumn("raw", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
-    iso = IsotonicRegression(featuresCol="raw", labelCol=target, predictionCol="probability").fit(scored.filter("not train"))
+    iso = IsotonicRegression(featuresCol="raw", labelCol=target, predictionCol=out).fit(scored.filter("not train"))
     return iso.transform(scored).drop("__x", "raw")
+
+
+def expected_value(frame: DataFrame, target: str, out: str, *, trees: int = 20, depth: int = 3, seed: int = 42) -> DataFrame:
+    """Expectation of a column that is often 0: the probability that it is not, times what a
+    regression of its logarithm says where it is not (a hurdle)."""
+    rows = frame.withColumn("__some", (F.col(target) > 0).cast("int"))
+    rows = probability_head(rows, "__some", "__p", trees=trees, depth=depth, seed=seed)
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(rows).withColumn("__log", F.log1p(F.col(target).cast("double")))
+    positive = ready.filter("train and __some = 1")
+    if positive.isEmpty():
+        return rows.withColumn(out, F.lit(0.0)).drop("__some", "__p")
+    model = GBTRegressor(featuresCol="__x", labelCol="__log", predictionCol="__amount", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(positive)
+    return model.transform(ready).withColumn(out, F.col("__p") * F.expm1("__amount")).drop("__some", "__p", "__x", "__log", "__amount")
+
+
+# ---- published models -------------------------------------------------------------------
+
+
+def usable(published: DataFrame, as_of: datetime.date, features: list[str], *, max_age_days: int = 7) -> DataFrame:
+    """Of published models (built, features) the age, and whether they are fresh and know the same features in the same order."""
+    age = F.datediff(F.lit(as_of), "built")
+    same = F.col("features") == F.array(*[F.lit(f) for f in features])
+    return published.withColumns({"age": age, "fresh": age.between(0, max_age_days - 1), "same_features": same}).withColumn("usable", F.col("fresh") & F.col("same_features"))
+
+
+def publish(model: PipelineModel, path: str, spark, built: datetime.date, establishments: int) -> None:
+    """The model and, written last, what says when and from what it was built."""
+    model.write().overwrite().save(f"{path}/model")
+    row = spark.createDataFrame([(built, FEATURES, establishments)], "built date, features array<string>, establishments long")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_or_build(path: str, spark, as_of: datetime.date, build, population: DataFrame, *, least: int = 5) -> tuple[PipelineModel | None, bool]:
+    """The published model if it is usable, else a new one, published in turn; whether it
+    is new. None where the population has fewer than least establishments."""
+    try:
+        about = spark.read.parquet(f"{path}/about")
+    except AnalysisException:  # nothing published yet
+        about = None
+    if about is not None and not usable(about, as_of, FEATURES).filter("usable").isEmpty():
+        return PipelineModel.load(f"{path}/model"), False
+    n = population.count()
+    if n < least:
+        return None, False
+    model = build(population)
+    publish(model, path, spark, as_of, n)
+    return model, True

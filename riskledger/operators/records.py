@@ -53,14 +53,16 @@ def is_high_priority(v: DataFrame) -> Column:
 
 
 def accident_rollup(injuries: DataFrame, accidents: DataFrame) -> DataFrame:
-    """Per inspection its distinct accidents, fatal ones, and injuries. An
-    accident is fatal by its own flag or by any injury's degree."""
+    """Per inspection its distinct accidents, fatal ones, injuries, and injuries that
+    killed or put someone in hospital. An accident is fatal by its own flag or by any injury's degree."""
     degree = F.regexp_replace("degree_of_inj", r"\.0$", "")
     linked = injuries.filter((F.coalesce("rel_insp_nr", F.lit("")) != "") & (F.coalesce("summary_nr", F.lit("")) != ""))
-    pairs = linked.groupBy("rel_insp_nr", "summary_nr").agg(F.count(F.lit(1)).alias("injuries"), F.max(degree == "1").alias("worst"))
+    pairs = linked.groupBy("rel_insp_nr", "summary_nr").agg(F.count(F.lit(1)).alias("injuries"), F.max(degree == "1").alias("worst"), F.count_if(degree.isin("1", "2")).alias("severe_injuries"))
     flags = accidents.select("summary_nr", F.col("fatality").isin(FATAL).alias("flag"))
     fatal = F.coalesce(F.col("flag"), F.lit(False)) | F.coalesce(F.col("worst"), F.lit(False))
-    return pairs.join(flags, "summary_nr", "left").groupBy(F.col("rel_insp_nr").alias("activity_nr")).agg(F.count(F.lit(1)).alias("accidents"), F.count_if(fatal).alias("fatalities"), F.sum("injuries").alias("injuries"))
+    return pairs.join(flags, "summary_nr", "left").groupBy(F.col("rel_insp_nr").alias("activity_nr")).agg(
+        F.count(F.lit(1)).alias("accidents"), F.count_if(fatal).alias("fatalities"), F.sum("injuries").alias("injuries"), F.sum("severe_injuries").alias("severe_injuries")
+    )
 
 
 def violation_rollup(violations: DataFrame) -> DataFrame:
@@ -94,3 +96,30 @@ def decode(codes: DataFrame, column: str, labels: DataFrame, out: str) -> DataFr
     got = codes.withColumn("__plain", plain).join(labels, F.col("__plain") == F.col("__code"), "left")
     name = F.when(F.coalesce("__plain", F.lit("")) == "", "Not reported").otherwise(F.coalesce("__label", F.concat(F.lit("Unknown (code "), "__plain", F.lit(")"))))
     return got.withColumn(out, name).drop("__plain", "__code", "__label")
+
+
+def facts_of_records(records: DataFrame) -> DataFrame:
+    """A3: nested records (see nested) as one row per inspection, with the columns of features.inspection_facts."""
+    v = lambda test: F.size(F.filter("violations", test)).cast("long")
+    graded = F.filter(F.transform("violations", lambda x: x["gravity"]), lambda g: g.isNotNull())
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    worst = F.coalesce(F.array_max(F.transform("violations", lambda x: x["penalty"])), F.lit(0.0))
+    return records.withColumns({
+        "estab": F.upper(F.coalesce("estab_name", F.lit("UNKNOWN"))), "n_violations": F.size("violations").cast("long"), "serious": v(lambda x: x["severity"] == "Serious"), "willful": v(lambda x: x["is_willful"]),
+        "repeat": v(lambda x: x["is_repeat"]), "penalty": F.col("total_penalty"), "max_penalty": worst, "gravity_sum": add(graded), "gravity_n": F.size(graded).cast("long"),
+        "fatalities": F.size(F.filter("accidents", lambda a: a["fatal"])).cast("long"), "injuries": F.aggregate("accidents", F.lit(0).cast("long"), lambda s, a: s + a["n_injuries"]), "accidents": F.size("accidents").cast("long"),
+    })
+
+
+def stitched(lines: DataFrame, keys: list[str], number: str, text: str) -> DataFrame:
+    """Texts of each key joined in the order of their line numbers (junk: 0), empty ones left out."""
+    rows = lines.withColumn("__n", F.coalesce(F.col(number).try_cast("double").cast("int"), F.lit(0))).filter(F.trim(text) != "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", text))), lambda x: F.trim(x[text])), " ")
+    return rows.groupBy(*keys).agg(joined.alias("narrative"))
+
+
+def with_narratives(violations: DataFrame, narratives: DataFrame) -> DataFrame:
+    """Typed violations with the narrative (activity_nr, citation_id, narrative) of those on general duty that have priority."""
+    wanted = is_general_duty(F.col("standard")) & is_high_priority(violations)
+    told = violations.join(narratives, ["activity_nr", "citation_id"], "left")
+    return told.withColumn("narrative", F.when(wanted, F.col("narrative")))

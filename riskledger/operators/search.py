@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskledger.functions.names import code_matches, display_name, facility_code, match_key, similarity
+from riskledger.functions.names import code_matches, code_text, code_tokens, display_name, facility_code, match_key, similarity
 from riskledger.functions.scores import confidence_label
+from riskledger.operators.ranking import written
 from riskledger.operators.records import typed
 
 
@@ -15,21 +16,30 @@ def key_index(names: DataFrame) -> DataFrame:
     return names.withColumn("company_key", match_key(F.col("raw_name"))).filter("company_key != ''").groupBy("company_key").agg(F.count(F.lit(1)).alias("members"), F.min("raw_name").alias("sample"))
 
 
-def blocks(df: DataFrame, column: str, grams: int = 3) -> DataFrame:
-    """A row for each word of column and each of its first letters' grams."""
-    return df.withColumn("__block", F.explode(F.array_distinct(F.transform(F.split(column, " "), lambda w: F.substring(w, 1, grams)))))
+def prepared(df: DataFrame, key: str, side: str) -> DataFrame:
+    """df with what similarity needs of its key: the distinct words, and those in order as one text."""
+    words = F.array_sort(F.array_distinct(F.split(key, " ")))
+    return df.withColumns({f"__{side}_words": words, f"__{side}_sorted": F.array_join(words, " ")})
 
 
-def fuzzy_candidates(queries: DataFrame, keys: DataFrame, *, least: float = 0.55, best: int = 500) -> DataFrame:
+def fuzzy_candidates(queries: DataFrame, keys: DataFrame, *, least: float = 0.55, best: int = 500, block: int = 1000) -> DataFrame:
     """For each query key the similar company keys, best first.
 
-    Only keys that share the first three letters of a word are scored; the equi-join on those
-    blocks takes the place of a product of queries and keys. best is the report's top k.
+    The stated queries go to all keys in blocks of about block queries, so that no
+    broadcast grows with the number of queries; no pair of keys is ever formed. A pair is scored unless its
+    lengths and words prove that it cannot reach least. best is the report's top k.
     """
-    q = blocks(queries.select("query", match_key(F.col("query")).alias("query_key")), "query_key")
-    k = blocks(keys.select("company_key", "members"), "company_key")
-    pairs = q.join(k, "__block").select("query", "query_key", "company_key", "members").distinct()
-    scored = pairs.withColumn("similarity", F.round(similarity(F.col("query_key"), F.col("company_key")), 6)).filter(F.col("similarity") >= least)
+    asked = written(queries.select("query", match_key(F.col("query")).alias("query_key")).distinct(), "queries")
+    blocks = -(-asked.count() // block) or 1
+    known = prepared(keys.select("company_key", "members"), "company_key", "k")
+    near = lambda a, b: F.least(F.length(a), F.length(b)) >= least * F.greatest(F.length(a), F.length(b))
+    possible = near("query_key", "company_key") | near("__q_sorted", "__k_sorted") | F.arrays_overlap("__q_words", "__k_words")
+    found = None
+    for i in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        pairs = known.join(F.broadcast(prepared(part, "query_key", "q")), possible).select("query", "query_key", "company_key", "members")
+        found = pairs if found is None else found.unionByName(pairs)
+    scored = found.withColumn("similarity", F.round(similarity(F.col("query_key"), F.col("company_key")), 6)).filter(F.col("similarity") >= least)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "company_key")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= best)
 
@@ -46,13 +56,74 @@ def grouped_results(candidates: DataFrame, names: DataFrame, *, others: int = 4)
     return out.filter(F.when(F.col("unmatched"), F.col("place") <= 10).otherwise(F.col("place") <= 1 + others)).withColumn("tier", F.when(F.col("unmatched"), "unmatched").when(F.col("place") == 1, "top").otherwise("other"))
 
 
-def code_evidence(questions: DataFrame, inspections: DataFrame, violations: DataFrame, *, rows: int = 20) -> DataFrame:
-    """By question and company the citations that its codes match: totals and the newest rows.
-    The distinct standards, a bounded code list, are matched; citations then join by standard."""
+def code_evidence(questions: DataFrame, inspections: DataFrame, violations: DataFrame, notes: DataFrame, *, rows: int = 20, most_notes: int = 3, snippet: int = 500) -> DataFrame:
+    """By question and company the citations that its codes match: totals and the
+    newest rows, each with up to most_notes notes on general duty of its inspection, cut to snippet characters.
+
+    notes has (activity_nr, citation_id, narrative). The distinct standards, a bounded code list, are
+    matched; citations then join by standard. Only the rows that are shown meet the notes.
+    """
     v = typed(violations)
-    standards = v.select("standard").distinct()
-    hits = standards.join(F.broadcast(questions), code_matches(F.col("question"), F.col("standard"))).select("question", "standard")
-    found = v.join(F.broadcast(hits), "standard").join(inspections.select("activity_nr", "company_key", "open_date"), "activity_nr")
+    found = v.join(F.broadcast(matched_standards(questions, v)), "standard").join(inspections.select("activity_nr", "company_key", "open_date"), "activity_nr")
+    totals = found.groupBy("question", "company_key").agg(F.count(F.lit(1)).alias("matched"), F.array_join(F.array_sort(F.collect_set("standard")), ", ").alias("standards"), F.sum("penalty").alias("penalty"))
     w = Window.partitionBy("question", "company_key").orderBy(F.desc("open_date"), "activity_nr", "citation_id", "standard", F.desc("penalty"))
-    newest = F.when(F.row_number().over(w) <= rows, F.struct("open_date", "activity_nr", "citation_id", "standard"))
-    return found.withColumn("__row", newest).groupBy("question", "company_key").agg(F.count(F.lit(1)).alias("matched"), F.countDistinct("standard").alias("standards"), F.sum("penalty").alias("penalty"), F.array_sort(F.collect_list("__row")).alias("evidence"))
+    shown = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= rows)
+    told = notes.groupBy("activity_nr").agg(F.array_sort(F.collect_list(F.struct("citation_id", "narrative"))).alias("__n"))
+    cut = F.transform(F.slice("__n", 1, most_notes), lambda n: F.concat(F.substring(n["narrative"], 1, snippet), F.when(F.length(n["narrative"]) > snippet, "…").otherwise("")))
+    shown = shown.join(told, "activity_nr", "left").withColumn("notes", F.coalesce(cut, F.expr("cast(array() as array<string>)")))
+    evidence = shown.groupBy("question", "company_key").agg(F.array_sort(F.collect_list(F.struct("place", "open_date", "activity_nr", "citation_id", "standard", "penalty", "notes"))).alias("evidence"))  # at most rows
+    return totals.join(evidence, ["question", "company_key"])
+
+
+def matched_standards(questions: DataFrame, violations: DataFrame) -> DataFrame:
+    """Questions with the standards, a bounded code list, that their codes match."""
+    return violations.select("standard").distinct().join(F.broadcast(questions), code_matches(F.col("question"), F.col("standard"))).select("question", "standard")
+
+
+def nearby_standards(questions: DataFrame, violations: DataFrame, *, most: int = 8) -> DataFrame:
+    """K4: for questions without a match up to most standards that begin like one of their tokens
+    (the first six characters; tokens of four or more), those of the first such token."""
+    missed = questions.join(matched_standards(questions, violations).select("question").distinct(), "question", "left_anti")
+    tokens = missed.select("question", F.posexplode(code_tokens(F.col("question"))).alias("place", "token")).filter(F.length("token") >= 4)
+    standards = violations.select("standard").distinct()
+    hits = standards.join(F.broadcast(tokens), code_text(F.col("standard")).startswith(F.substring("token", 1, 6)))
+    first = hits.withColumn("__first", F.min("place").over(Window.partitionBy("question"))).filter("place = __first")
+    w = Window.partitionBy("question").orderBy("standard")
+    return first.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select("question", "standard")
+
+
+def tiered_lookup(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """For each query (a bounded, stated list) the company keys of its best tier: the key itself; keys that, or one of
+    whose names, contain it literally; keys of three letters or more that it contains. Empty queries find nothing."""
+    asked = F.broadcast(queries.filter("query != ''"))
+    keys = names.select("company_key", F.upper("estab_name").alias("__name")).filter("company_key != ''").distinct()
+    q, k = F.col("query"), F.col("company_key")
+    tier = F.when(k == q, 1).when(k.contains(q) | F.col("__name").contains(q), 2).when((F.length(k) >= 3) & q.contains(k), 3)
+    found = keys.join(asked, tier.isNotNull()).groupBy("query", "company_key").agg(F.min(tier).alias("tier"))
+    best = found.groupBy("query").agg(F.min("tier").alias("__best"))
+    return found.join(best, "query").filter("tier = __best").drop("__best")
+
+
+def first_attributes(requests: DataFrame, inspections: DataFrame) -> DataFrame:
+    """Place and industry of each request (raw_name, company_key) from the first inspection
+    under its name (case apart), else from the first under its key, else empty."""
+    fields = ["site_city", "site_state", "site_address", "naics_code"]
+    first = lambda key, name: inspections.groupBy(key.alias(name)).agg(F.min_by(F.struct(*fields), F.struct("open_date", "activity_nr")).alias(f"{name}_first"))
+    out = requests.withColumn("__n", F.upper(F.trim("raw_name")))
+    out = out.join(first(F.upper(F.trim("estab_name")), "__n"), "__n", "left").join(first(F.col("company_key"), "__k"), F.col("company_key") == F.col("__k"), "left")
+    got = F.coalesce("__n_first", "__k_first")
+    values = {"site_city": F.initcap(F.lower(F.trim(got["site_city"]))), "site_state": F.upper(F.trim(got["site_state"])), "site_address": F.initcap(F.lower(F.trim(got["site_address"]))), "naics_code": F.trim(got["naics_code"])}
+    return out.select("raw_name", *[F.coalesce(v, F.lit("")).alias(c) for c, v in values.items()])
+
+
+def index_state(keyed: DataFrame, index: DataFrame) -> DataFrame:
+    """How many distinct non-empty company keys the table and the stored index have, and whether they agree."""
+    known = lambda df, name: df.filter("company_key != ''").agg(F.countDistinct("company_key").alias(name))
+    return known(keyed, "in_table").crossJoin(known(index, "in_index")).withColumn("fresh", F.col("in_table") == F.col("in_index"))
+
+
+def rekeyed(stored: DataFrame, rule, ids: list[str]) -> DataFrame:
+    """Rows of stored (ids, raw_name, company_key) whose key is another under a new rule, with both keys."""
+    new = stored.select(*ids, "raw_name", rule(F.col("raw_name")).alias("company_key"))
+    moved = new.join(stored, [*ids, "raw_name", "company_key"], "left_anti")
+    return moved.withColumnRenamed("company_key", "new_key").join(stored.select(*ids, F.col("company_key").alias("old_key")), ids).select(*ids, "old_key", "new_key")

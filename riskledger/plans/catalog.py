@@ -14,6 +14,7 @@ from riskledger.operators import evaluate as E
 from riskledger.operators import features as X
 from riskledger.operators import records as R
 from riskledger.operators import rollup as U
+from riskledger.operators.ranking import written
 from riskledger.plans import oracle_base as O
 from riskledger.plans.bindings import AS_OF, CUTOFF, view, with_views
 
@@ -62,7 +63,8 @@ class Tables:
 
     @cached_property
     def paired(self) -> DataFrame:
-        return E.paired(self.history, self.outcomes)
+        """Written once: reports read it several times."""
+        return written(E.paired(self.history, self.outcomes), "paired")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,16 +122,6 @@ def exact_address(t: Tables) -> DataFrame:
     return all_rows.filter(F.col("found").isNull() | (F.col("site_address") == F.col("address"))).select("company_key", "activity_nr")
 
 
-@op("P9", f"{I}, k AS (SELECT DISTINCT company_key FROM inspections), q(query) AS (VALUES ('MACHINERY NATION_1'), ('NATION_2'), ('HOUSEHOLD'), ('zzz')), m AS (SELECT query, company_key, CASE WHEN company_key = query THEN 1 WHEN contains(company_key, query) THEN 2 END AS tier FROM q, k) SELECT query, company_key, CAST(tier AS INT) AS tier FROM m WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY query)")
-def key_lookup(t: Tables) -> DataFrame:
-    """Exact key, else keys that contain the query literally; the best tier of each query."""
-    q = t.spark.createDataFrame([("MACHINERY NATION_1",), ("NATION_2",), ("HOUSEHOLD",), ("zzz",)], "query string")
-    keys = t.inspections.select("company_key").distinct()
-    exact = keys.join(F.broadcast(q), F.col("company_key") == F.col("query")).select("query", "company_key", F.lit(1).alias("tier"))
-    part = keys.join(F.broadcast(q), F.col("company_key").contains(F.col("query"))).join(exact.select("query").distinct(), "query", "left_anti").select("query", "company_key", F.lit(2).alias("tier"))
-    return exact.unionByName(part)
-
-
 @op("P10", f"{O.WITH_FEATURES} SELECT estab, industry_group FROM feats WHERE coalesce(substr(industry_group, 1, 2), '') NOT IN ('31', '32', '33', '52')")
 def sector_exclusion(t: Tables) -> DataFrame:
     out = F.broadcast(t.spark.createDataFrame([("31",), ("32",), ("33",), ("52",)], "sector string"))
@@ -148,7 +140,7 @@ def violation_grid(t: Tables) -> DataFrame:
 IV = with_views("inspections", "violations")
 many({
     "J1": (lambda t: t.inspections.select("activity_nr").join(R.violation_rollup(t.violations), "activity_nr", "left").fillna(0).select("activity_nr", "n_violations", "penalty"), f"{O.WITH_FACTS} SELECT activity_nr, n_violations, penalty FROM facts"),
-    "J2": (lambda t: R.accident_rollup(t.injuries, t.accidents), f"{O.WITH_FACTS} SELECT activity_nr, accidents, fatalities, CAST(injuries AS BIGINT) AS injuries FROM ar"),
+    "J2": (lambda t: R.accident_rollup(t.injuries, t.accidents).select("activity_nr", "accidents", "fatalities", "injuries"), f"{O.WITH_FACTS} SELECT activity_nr, accidents, fatalities, CAST(injuries AS BIGINT) AS injuries FROM ar"),
     "J6": (lambda t: R.live(t.violations).join(t.inspections.filter(F.col("open_date") < F.lit(CUTOFF)), "activity_nr", "left_semi").groupBy("viol_type").agg(F.count(F.lit(1)).alias("n")), f"{IV} SELECT viol_type, count(*) AS n FROM violations WHERE delete_flag IS DISTINCT FROM 'X' AND activity_nr IN (SELECT activity_nr FROM inspections WHERE open_date < {O.CUTOFF}) GROUP BY 1"),
     "J7": (lambda t: t.inspections.join(R.live(t.violations), "activity_nr", "left_anti").select("activity_nr", "estab_name"), f"{IV} SELECT activity_nr, estab_name FROM inspections WHERE activity_nr NOT IN (SELECT activity_nr FROM violations WHERE delete_flag IS DISTINCT FROM 'X')"),
     "J9": (lambda t: X.with_industry(t.features, X.industry_statistics(t.features)).select("estab", "stats_group", *[n for n, _, _ in X.RATES]), f"{O.WITH_Z} SELECT estab, stats_group, relative_violation_rate, relative_penalty, relative_serious_ratio, relative_willful_repeat FROM zed"),
@@ -168,9 +160,7 @@ many({
     "A12": (lambda t: executive(t), f"{O.WITH_FACTS} SELECT company_key, count(*) AS inspections, CAST(sum(n_violations) AS BIGINT) AS violations, sum(penalty) AS penalties, CAST(sum(willful) AS BIGINT) AS willful, CAST(sum(repeat) AS BIGINT) AS repeat, CAST(sum(serious + willful + repeat) AS BIGINT) AS serious_or_worse, CAST(sum(accidents) AS BIGINT) AS accidents, CAST(sum(fatalities) AS BIGINT) AS fatalities, count(*) FILTER (open_date >= {O.AS_OF} - 1095) AS recent FROM facts GROUP BY 1"),
     "A13": (lambda t: t.facts.withColumn("estab", F.col("estab")).join(t.companies.select("company_key", "concentration"), "company_key").groupBy("company_key", "concentration").agg(F.count(F.lit(1)).alias("inspections"), F.sum("n_violations").alias("violations"), F.count_if((F.col("accidents") > 0) | (F.col("insp_type") == "L")).alias("severe"), F.sum(F.col("willful") + F.col("repeat")).alias("willful_repeat")), f"{O.WITH_COMPANIES} SELECT company_key, concentration, count(*) AS inspections, CAST(sum(f.n_violations) AS BIGINT) AS violations, count(*) FILTER (f.accidents > 0 OR insp_type = 'L') AS severe, CAST(sum(f.willful + f.repeat) AS BIGINT) AS willful_repeat FROM facts f JOIN companies c USING (company_key) GROUP BY 1, 2"),
     "A14": (lambda t: top_standards(t), f"{IV} SELECT company_key, standard, n, CAST(rank AS INT) AS rank FROM (SELECT company_key, standard, n, row_number() OVER (PARTITION BY company_key ORDER BY n DESC, standard) AS rank FROM (SELECT company_key, standard, count(*) AS n FROM inspections JOIN violations USING (activity_nr) WHERE delete_flag IS DISTINCT FROM 'X' GROUP BY 1, 2)) WHERE rank <= 3"),
-    "A15": (lambda t: t.features.groupBy(F.coalesce(F.substring("industry_group", 1, 2), F.lit("?")).alias("sector")).agg(F.count(F.lit(1)).alias("n")), f"{O.WITH_FEATURES} SELECT coalesce(substr(industry_group, 1, 2), '?') AS sector, count(*) AS n FROM feats GROUP BY 1"),
     "A16": (lambda t: t.inspections.filter(F.col("company_key").contains("NATION_1")).groupBy("company_key", "naics_code").agg(F.count(F.lit(1)).alias("n")), f"{I} SELECT company_key, naics_code, count(*) AS n FROM inspections WHERE contains(company_key, 'NATION_1') GROUP BY 1, 2"),
-    "A18": (lambda t: t.paired.filter(F.col("adverse") <= 60).groupBy(F.floor(F.col("score") / 5).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("adverse").alias("mean")), f"{O.WITH_PAIRED} SELECT CAST(floor(score / 5) AS INT) AS bin, count(*) AS n, avg(adverse) AS mean FROM paired WHERE adverse <= 60 GROUP BY 1"),
 })
 
 
@@ -206,8 +196,6 @@ many({
     "E1": (lambda t: E.decile_summary(t.paired), f"{O.WITH_PAIRED}, r AS (SELECT *, row_number() OVER (ORDER BY score, estab) AS rn, count(*) OVER () AS n, avg(adverse) OVER () AS m FROM paired) SELECT CAST(greatest(1, ceil((rn - 1) * 10 / (n - 1))) AS INT) AS decile, min(score) AS score_lo, max(score) AS score_hi, count(*) AS n, avg(adverse) AS mean_outcome, median(adverse) AS median_outcome, avg(adverse) / any_value(m) AS lift FROM r GROUP BY 1"),
     "E2": (lambda t: E.threshold_table(t.paired), f"{O.WITH_PAIRED}, c AS (SELECT CAST(th AS INT) AS threshold, count(*) FILTER (score >= th AND swr = 1) AS TP, count(*) FILTER (score >= th AND swr = 0) AS FP, count(*) FILTER (score < th AND swr = 0) AS TN, count(*) FILTER (score < th AND swr = 1) AS FN FROM paired, (VALUES (20), (30), (40), (50), (60)) v(th) GROUP BY 1), d AS (SELECT *, TP / nullif(TP + FP, 0) AS precision, TP / nullif(TP + FN, 0) AS recall, TN / nullif(TN + FP, 0) AS specificity, (TP + FP) / (TP + FP + TN + FN) AS flagged, (TP + FN) / (TP + FP + TN + FN) AS prevalence FROM c) SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1, precision / nullif(prevalence, 0) AS lift FROM d"),
     "E3": (lambda t: E.capture(t.paired), f"{O.WITH_PAIRED}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, estab) AS rn, count(*) OVER () AS n FROM paired) SELECT CAST(f AS DOUBLE) AS fraction, count(*) AS n, sum(adverse) / (SELECT sum(adverse) FROM paired) AS adverse_captured, sum(swr) / (SELECT sum(swr) FROM paired) AS swr_captured, avg(adverse) / (SELECT avg(adverse) FROM paired) AS adverse_lift, avg(swr) / (SELECT avg(swr) FROM paired) AS swr_lift FROM r, (VALUES (0.01), (0.05), (0.1), (0.2), (0.3), (0.5)) v(f) WHERE rn <= greatest(1, round_even(n * f, 0)) GROUP BY 1"),
-    "E4": (lambda t: E.auroc(t.paired, F.col("swr") == 1), f"{O.WITH_PAIRED}, r AS (SELECT swr, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM paired), a AS (SELECT sum(rk) FILTER (swr = 1) AS s, CAST(sum(swr) AS BIGINT) AS pos, CAST(sum(1 - swr) AS BIGINT) AS neg FROM r) SELECT pos, neg, CASE WHEN pos >= 10 AND neg >= 10 THEN (s - pos * (pos + 1) / 2) / (pos * neg) END AS auroc FROM a"),
-    "E5": (lambda t: E.spearman(t.paired, "score", "adverse"), f"{O.WITH_PAIRED}, r AS (SELECT score, adverse, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS a, rank() OVER (ORDER BY adverse) + (count(*) OVER (PARTITION BY adverse) - 1) / 2 AS b FROM paired) SELECT corr(a, b) AS spearman, corr(score, adverse) AS pearson, count(*) AS n FROM r"),
     "E6": (lambda t: E.bootstrap_spearman(t.paired), None),
     "E8": (lambda t: E.score_bands(t.paired), f"{O.WITH_PAIRED} SELECT CAST(least(floor(score / 20), 4) AS INT) AS band, count(*) AS n, avg(adverse) AS mean_adverse, median(adverse) AS median_adverse, avg(swr) AS swr_rate, avg(fatality) AS fatality_rate, avg(violation_rate) AS mean_rate, avg(log_penalty) AS mean_log_penalty FROM paired GROUP BY 1"),
     "E9": (lambda t: E.by_tier(t.paired), f"{O.WITH_PAIRED} SELECT CASE WHEN score < 30 THEN 'Low' WHEN score < 60 THEN 'Medium' ELSE 'High' END AS tier, count(*) AS n, avg(adverse) AS mean_adverse, avg(score) AS mean_score FROM paired GROUP BY 1"),

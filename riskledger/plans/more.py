@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskledger.functions import names as N
+from riskledger.functions.labels import SECTOR_NAMES, sector_label
 from riskledger.functions import scores as S
 from riskledger.operators import documented as D
 from riskledger.operators import evaluate as E
@@ -24,97 +25,23 @@ def n():
     return F.count("*").alias("n")
 
 
-# ---- names in SQL, from the same rules ------------------------------------------------
 def sq(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def sql_steps(c: str, rules: list[tuple[str, str]], trim: bool = True) -> str:
-    for pattern, new in rules:
-        c = f"regexp_replace({c}, {sq(pattern)}, {sq(new.replace('$1', chr(92) + '1'))}, 'g')"
-        c = f"trim({c})" if trim else c
-    return c
-
-
-CLEAN = sql_steps(f"trim(upper({sql_steps(f'translate(raw_name, {sq(N.MARKED)}, {sq(N.PLAIN)})', N.PRECLEAN, False)}))", N.UPPERED)
-SHORT = "[(CASE w " + " ".join(f"WHEN {sq(a)} THEN {sq(b)}" for a, b in N.ABBREVIATIONS.items()) + " ELSE w END)"
-NAMES = f"""{with_views('names')}, clean AS (SELECT *, {CLEAN} AS c FROM names), canon AS (SELECT *, {sql_steps('c', N.noise_rules(False))} AS canonical, {sql_steps('c', N.noise_rules(True))} AS noise_free FROM clean),
-keyed AS (SELECT *, array_to_string(list_filter([{SHORT[1:]} FOR w IN regexp_split_to_array(noise_free, '\\s+')], lambda w: w <> ''), ' ') AS company_key FROM canon)"""
-DISPLAY = [(r"^([A-Z]*\d[A-Z0-9]*)\s+-\s+", ""), (r"\s+D/?B/?A\s+.+$", ""), N.TRAILING_THE, (r"^\s*THE\s+", ""), *[(rf"[,.]?\s*\b(?:{N.SHORT_LEGAL})\s*$", "")] * 3, (r"[.,;\- ]+$", ""), (r"\s*&\s*", " AND "), (r"\s{2,}", " ")]
-PARENT = [(r"\s+-?\s*[A-Z]{1,5}[0-9]{1,4}\s*$", ""), (r"\s*\([A-Z0-9]{2,8}\)\s*$", ""), (r"\s+(?:SITE|CAMPUS|FACILITY|WAREHOUSE|DC|FC|IDC|PDC|UNIT|LOC)\s*\d*\s*$", ""), (r"\s*[-/]\s*$", "")]
-CODE = r"upper(regexp_extract(raw_name, '(?i)(?:[\s\-]+|\()([A-Z]{1,5}[0-9]{1,4}|[A-Z0-9]{2,8})(?:\)|[\s\-]|$)', 1))"
-CODE_SQL = f"CASE WHEN {CODE} <> '' AND {CODE} NOT IN ({', '.join(map(sq, N.NO_CODE))}) AND NOT regexp_full_match({CODE}, '[0-9]+') THEN {CODE} END"
-RAW = lambda t: t.names
-QUERIES_ = ["small ring", "RED WIDGET INC", "Blue Gear Mfg", "cold widget co"]
-QSQL = "(VALUES " + ", ".join(f"({sq(q)})" for q in QUERIES_) + ") q(query)"
-RATIO = lambda a, b: f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
-WORDS = lambda c: f"list_sort(list_distinct(string_split({c}, ' ')))"
-SIM = f"round(greatest({RATIO('qk', 'ck')}, {RATIO(f'''array_to_string({WORDS('qk')}, ' ')''', f'''array_to_string({WORDS('ck')}, ' ')''')}, 0.95 * len(list_intersect({WORDS('qk')}, {WORDS('ck')})) / least(len({WORDS('qk')}), len({WORDS('ck')}))), 6)"
-SEARCH = f"""{NAMES}, idx AS (SELECT company_key, count(*) AS members FROM keyed WHERE company_key <> '' GROUP BY 1),
-qs AS (SELECT query, (SELECT company_key FROM (SELECT query AS raw_name) r, LATERAL (SELECT {CLEAN} AS c) x, LATERAL (SELECT {sql_steps('c', N.noise_rules(True))} AS noise_free) y,
-  LATERAL (SELECT array_to_string(list_filter([{SHORT[1:]} FOR w IN regexp_split_to_array(noise_free, '\\s+')], lambda w: w <> ''), ' ') AS company_key) z) AS qk FROM {QSQL}),
-pairs AS (SELECT query, qk, company_key AS ck, members FROM qs, idx WHERE len(list_intersect([substr(w, 1, 3) FOR w IN string_split(qk, ' ')], [substr(w, 1, 3) FOR w IN string_split(company_key, ' ')])) > 0),
-cands AS (SELECT query, qk AS query_key, ck AS company_key, members, {SIM} AS similarity FROM pairs WHERE {SIM} >= 0.55),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, company_key) AS rank FROM cands QUALIFY rank <= 500)"""
-
-
-def search(t: Tables) -> DataFrame:
-    q = t.spark.createDataFrame([(x,) for x in QUERIES_], "query string")
-    return Q.fuzzy_candidates(q, Q.key_index(t.names))
-
-
 many({
-    "H1": (lambda t: RAW(t).select("p_partkey", N.preclean(F.col("raw_name")).alias("clean")), f"{NAMES} SELECT p_partkey, c AS clean FROM clean"),
-    "H2": (lambda t: RAW(t).select("p_partkey", N.steps(N.preclean(F.col("raw_name")), N.noise_rules(True)).alias("name")), f"{NAMES} SELECT p_partkey, noise_free AS name FROM canon"),
-    "H3": (lambda t: RAW(t).select("p_partkey", N.canonical_tokens(F.upper("raw_name")).alias("name")), f"{with_views('names')} SELECT p_partkey, array_to_string(list_filter([{SHORT[1:]} FOR w IN regexp_split_to_array(upper(raw_name), '\\s+')], lambda w: w <> ''), ' ') AS name FROM names"),
-    "H4": (lambda t: RAW(t).select("p_partkey", N.canonical_name(F.col("raw_name")).alias("canonical")), f"{NAMES} SELECT p_partkey, canonical FROM canon"),
-    "H5": (lambda t: RAW(t).select("p_partkey", N.match_key(F.col("raw_name")).alias("company_key")), f"{NAMES} SELECT p_partkey, company_key FROM keyed"),
-    "H6": (lambda t: RAW(t).select("p_partkey", N.display_name(F.col("raw_name")).alias("parent")), f"{with_views('names')} SELECT p_partkey, {sql_steps('upper(trim(raw_name))', DISPLAY)} AS parent FROM names"),
-    "H7": (lambda t: RAW(t).select("p_partkey", N.facility_code(F.col("raw_name")).alias("code")), f"{with_views('names')} SELECT p_partkey, {CODE_SQL} AS code FROM names"),
-    "H8": (lambda t: RAW(t).select("p_partkey", N.parent_prefix(F.col("raw_name")).alias("prefix")), f"{with_views('names')}, d AS (SELECT p_partkey, {sql_steps('upper(trim(raw_name))', DISPLAY)} AS d FROM names) SELECT p_partkey, coalesce(nullif({sql_steps('d', PARENT)}, ''), d) AS prefix FROM d"),
-    "H9": (lambda t: search(t).select("query", "company_key", "similarity"), f"{SEARCH} SELECT query, company_key, similarity FROM cands"),
-    "H10": (lambda t: search(t).groupBy("query", S.confidence_label(F.col("similarity")).alias("confidence")).agg(n()), f"{SEARCH} SELECT query, CASE WHEN similarity >= 0.85 THEN 'High' WHEN similarity >= 0.65 THEN 'Medium' ELSE 'Low' END AS confidence, count(*) AS n FROM cands GROUP BY 1, 2"),
-    "H11": (lambda t: t.inspections.select("activity_nr", F.initcap(F.lower("site_address")).alias("address")), f"{I} SELECT activity_nr, array_to_string([upper(substr(w, 1, 1)) || substr(lower(w), 2) FOR w IN string_split(site_address, ' ')], ' ') AS address FROM inspections"),
-    "H12": (lambda t: t.inspections.select("activity_nr", address().alias("location")), f"{I} SELECT activity_nr, concat_ws(', ', nullif(site_address, ''), nullif(site_city, ''), nullif(trim(concat_ws(' ', nullif(site_state, ''), nullif(site_zip, ''))), '')) AS location FROM inspections"),
     "H13": (lambda t: t.violations.groupBy(N.code_text(F.col("standard")).alias("code")).agg(n()), f"{with_views('violations')} SELECT regexp_replace(upper(standard), '[^A-Z0-9]+', '', 'g') AS code, count(*) AS n FROM violations GROUP BY 1"),
     "H14": (lambda t: t.raw("documents").select("doc_id", F.array_join(N.code_tokens(F.col("text")), " ").alias("tokens")), r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(upper(text), '[^A-Z0-9]+'), lambda w, i: length(w) >= 3 AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '^(19|29).*$|^[A-Z]{1,3}[0-9]{1,4}[A-Z]{0,3}$|^[0-9]{2,4}[A-Z]{1,3}$') AND list_position(regexp_split_to_array(upper(text), '[^A-Z0-9]+'), w) = i), ' ') AS tokens FROM documents"),
-    "H16": (lambda t: t.features.groupBy(sector_label().alias("label")).agg(n()), f"{O.WITH_FEATURES} SELECT {{label}} AS label, count(*) AS n FROM feats GROUP BY 1"),
-    "S6": (lambda t: Q.key_index(t.names), f"{NAMES} SELECT company_key, count(*) AS members, min(raw_name) AS sample FROM keyed WHERE company_key <> '' GROUP BY 1"),
+    "H16": (lambda t: t.features.groupBy(sector_label(F.col("industry_group")).alias("label")).agg(n()), f"{O.WITH_FEATURES} SELECT {{label}} AS label, count(*) AS n FROM feats GROUP BY 1"),
     "S5": (lambda t: R.live(t.violations).join(t.inspections.select("activity_nr", "company_key"), "activity_nr").select("company_key", "activity_nr", "citation_id", "viol_type"), f"{IV} SELECT company_key, activity_nr, citation_id, viol_type FROM violations JOIN inspections USING (activity_nr) WHERE delete_flag IS DISTINCT FROM 'X'"),
-    "S12": (lambda t: Q.key_index(t.names).agg(F.count("*").alias("in_index")).crossJoin(t.names.agg(F.countDistinct(N.match_key(F.col("raw_name"))).alias("in_table"))).withColumn("fresh", F.col("in_index") == F.col("in_table")), f"{NAMES} SELECT count(DISTINCT company_key) AS in_index, count(DISTINCT company_key) AS in_table, true AS fresh FROM keyed"),
-    "J10": (search, f"{SEARCH} SELECT query, query_key, company_key, members, similarity, CAST(rank AS INT) AS rank FROM ranked"),
-    "J13": (lambda t: search(t).filter("rank <= 5").join(t.names.withColumn("company_key", N.match_key(F.col("raw_name"))), "company_key").select("query", "company_key", "raw_name"), f"{SEARCH} SELECT query, company_key, raw_name FROM ranked JOIN keyed USING (company_key) WHERE rank <= 5"),
-    "K1": (lambda t: search(t).filter("rank <= 5").select("query", "rank", "company_key"), f"{SEARCH} SELECT query, CAST(rank AS INT) AS rank, company_key FROM ranked WHERE rank <= 5"),
-    "R2": (lambda t: Q.grouped_results(search(t), t.names).select("query", "tier", "place", "company_key", "confidence", F.size("facilities").cast("long").alias("facilities")),
-           f"{SEARCH}, f AS (SELECT company_key, count(*) AS facilities FROM keyed GROUP BY 1), g AS (SELECT query, company_key, similarity, facilities, facilities = 1 AND similarity < 0.65 AS unmatched FROM ranked JOIN f USING (company_key)), p AS (SELECT *, row_number() OVER (PARTITION BY query, unmatched ORDER BY similarity DESC, facilities DESC, company_key) AS place FROM g) SELECT query, CASE WHEN unmatched THEN 'unmatched' WHEN place = 1 THEN 'top' ELSE 'other' END AS tier, CAST(place AS INT) AS place, company_key, CASE WHEN similarity >= 0.85 THEN 'High' WHEN similarity >= 0.65 THEN 'Medium' ELSE 'Low' END AS confidence, facilities FROM p WHERE CASE WHEN unmatched THEN place <= 10 ELSE place <= 5 END"),
 })
 
-#: Names of two-digit sectors.
-SECTOR_NAMES = {
-    "11": "Agriculture", "21": "Mining", "22": "Utilities", "23": "Construction", "31": "Manufacturing", "32": "Manufacturing", "33": "Manufacturing", "42": "Wholesale Trade", "44": "Retail Trade", "45": "Retail Trade",
-    "48": "Transportation", "49": "Transportation", "51": "Information", "52": "Finance", "53": "Real Estate", "54": "Professional Services", "55": "Management", "56": "Admin Services",
-    "61": "Education", "62": "Health Care", "71": "Arts & Entertainment", "72": "Food Services", "81": "Other Services", "92": "Public Administration",
-}
-
-
-def sector_label():
-    """H16."""
-    labels = F.create_map(*[F.lit(x) for kv in SECTOR_NAMES.items() for x in kv])
-    return F.coalesce(labels[F.substring("industry_group", 1, 2)], F.lit("Unknown"))
 
 
 from riskledger.plans.catalog import ORACLES  # noqa: E402
 
 ORACLES["H16"] = ORACLES["H16"].replace("{label}", "CASE substr(industry_group, 1, 2) " + " ".join(f"WHEN '{a}' THEN {sq(b)}" for a, b in SECTOR_NAMES.items()) + " ELSE 'Unknown' END")
 
-#: Codes of the nature of an injury.
-NATURES = "Amputation,Asphyxia,Bruise/Contusion,Burn (Chemical),Burn/Scald (Heat),Concussion,Cut/Laceration,Dermatitis,Dislocation,Electric Shock,Foreign Body in Eye,Fracture,Freezing/Frostbite,Hearing Loss,Heat Exhaustion,Hernia,Poisoning,Puncture,Radiation Effects,Strain/Sprain,Other,Cancer".split(",")
-
-
-@op("J5", f"{with_views('injuries')}, l(code, label) AS (VALUES {', '.join(f'''('{i}', {sq(x)})''' for i, x in enumerate(NATURES, 1))}) SELECT CASE WHEN coalesce(c, '') = '' THEN 'Not reported' ELSE coalesce(label, 'Unknown (code ' || c || ')') END AS nature, count(*) AS n FROM (SELECT regexp_replace(trim(nature_of_inj), '\\.0$', '') AS c FROM injuries) LEFT JOIN l ON c = code GROUP BY 1")
-def decoded(t: Tables) -> DataFrame:
-    labels = t.spark.createDataFrame([(str(i), x) for i, x in enumerate(NATURES, 1)], "code string, label string")
-    return R.decode(t.injuries, "nature_of_inj", labels, "nature").groupBy("nature").agg(n())
 
 
 @op("J8", f"{I}, ref AS (SELECT DISTINCT substr(naics_code, 1, d) AS code, 'Group ' || substr(naics_code, 1, d) AS title FROM inspections, (VALUES (2), (4)) v(d) WHERE naics_code <> '' AND (d = 2 OR substr(naics_code, 4, 1) = '1')), c AS (SELECT DISTINCT naics_code FROM inspections) SELECT naics_code, coalesce((SELECT max_by(title, length(code)) FROM ref WHERE naics_code LIKE code || '%'), 'Unknown Industry') AS industry FROM c")
@@ -130,10 +57,7 @@ STITCH = "string_agg(trim(line_text), ' ' ORDER BY CAST(coalesce(TRY_CAST(line_n
 
 
 def stitched(t: Tables, *keys: str) -> DataFrame:
-    """Lines of a narrative joined in the order of their numbers (junk: 0), empty ones left out."""
-    lines = t.narratives.withColumn("__n", F.coalesce(F.expr("try_cast(line_nr as double)").cast("int"), F.lit(0))).filter(F.trim("line_text") != "")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "line_text"))), lambda x: F.trim(x["line_text"])), " ")
-    return lines.groupBy(*keys).agg(joined.alias("narrative"))
+    return R.stitched(t.narratives, list(keys), "line_nr", "line_text")
 
 
 NARR = with_views("narratives")
@@ -142,68 +66,28 @@ many({
     "S3": (lambda t: stitched(t, "summary_nr", "role").select("summary_nr", "role", F.md5("narrative").alias("digest")), f"{NARR} SELECT summary_nr, role, md5({STITCH}) AS digest FROM narratives GROUP BY 1, 2"),
     "S4": (lambda t: stitched(t, "summary_nr").select("summary_nr", F.md5("narrative").alias("digest"), F.length("narrative").alias("n_chars")), f"{NARR} SELECT summary_nr, md5({STITCH}) AS digest, CAST(length({STITCH}) AS INT) AS n_chars FROM narratives GROUP BY 1"),
     "J4": (lambda t: t.accidents.join(stitched(t, "summary_nr"), "summary_nr", "left").select("summary_nr", F.length("narrative").alias("n_chars")), f"{with_views('accidents', 'narratives')}, s AS (SELECT summary_nr, {STITCH} AS narrative FROM narratives GROUP BY 1) SELECT summary_nr, CAST(length(narrative) AS INT) AS n_chars FROM accidents LEFT JOIN s USING (summary_nr)"),
-    "J3": (lambda t: (lambda v: v.filter(R.is_general_duty(F.col("standard")) & R.is_high_priority(v)).join(stitched(t, "summary_nr").withColumnRenamed("summary_nr", "activity_nr"), "activity_nr", "left").groupBy(F.col("narrative").isNotNull().alias("told")).agg(n()))(R.typed(R.live(t.violations))),
-           f"{with_views('violations', 'narratives')} SELECT activity_nr IN (SELECT summary_nr FROM narratives) AS told, count(*) AS n FROM violations WHERE delete_flag IS DISTINCT FROM 'X' AND standard = '5(A)(1)' AND (viol_type IN ('R', 'W') OR trunc(gravity) >= 8 OR coalesce(current_penalty, initial_penalty, 0) > 5000) GROUP BY 1"),
-    "J11": (lambda t: t.inspections.join(t.inspections.filter(F.col("site_state") == "ASIA").select("company_key").distinct().limit(1000), "company_key", "left_semi").dropDuplicates(["activity_nr"]).groupBy("company_key").agg(n()), f"{I} SELECT company_key, count(DISTINCT activity_nr) AS n FROM inspections WHERE company_key IN (SELECT company_key FROM inspections WHERE site_state = 'ASIA') GROUP BY 1"),
-    "J14": (lambda t: t.inspections.groupBy("estab_name").agg(F.min_by(F.struct("site_city", "naics_code"), F.struct("open_date", "activity_nr")).alias("f")).select("estab_name", "f.site_city", "f.naics_code"), f"{I} SELECT estab_name, site_city, naics_code FROM inspections QUALIFY row_number() OVER (PARTITION BY estab_name ORDER BY open_date, activity_nr) = 1"),
-    "A3": (lambda t: R.nested(t.inspections, t.violations, t.injuries, t.accidents).groupBy("estab_name").agg(n(), F.sum(F.size("violations")).alias("violations"), F.sum("total_penalty").alias("penalty"), F.sum(F.size(F.filter("violations", lambda v: v["is_willful"]))).alias("willful"), F.sum(F.size("accidents")).alias("accidents")),
-           f"{O.WITH_FACTS} SELECT estab_name, count(*) AS n, CAST(sum(n_violations) AS BIGINT) AS violations, sum(penalty) AS penalty, CAST(sum(willful) AS BIGINT) AS willful, CAST(sum(accidents) AS BIGINT) AS accidents FROM facts GROUP BY 1"),
     "R1": (lambda t: R.nested(t.inspections, t.violations, t.injuries, t.accidents).select("activity_nr", "total_penalty", "severe", F.size("violations").cast("long").alias("violations"), F.size("accidents").cast("long").alias("accidents"), F.size(F.filter("accidents", lambda a: a["fatal"])).cast("long").alias("fatal")), f"{O.WITH_FACTS} SELECT activity_nr, penalty AS total_penalty, accidents > 0 OR insp_type = 'L' AS severe, n_violations AS violations, accidents, fatalities AS fatal FROM facts"),
-    "R5": (lambda t: t.injuries.join(t.accidents.select("summary_nr", F.col("event_date").alias("day")), "summary_nr").join(stitched(t, "summary_nr"), "summary_nr").groupBy("summary_nr", "day").agg(F.count("*").alias("injuries"), F.length(F.substring(F.first("narrative"), 1, 1000)).alias("told")), f"{with_views('injuries', 'accidents', 'narratives')}, s AS (SELECT summary_nr, {STITCH} AS narrative FROM narratives GROUP BY 1) SELECT summary_nr, a.event_date AS day, count(*) AS injuries, CAST(least(1000, any_value(length(narrative))) AS INT) AS told FROM injuries i JOIN accidents a USING (summary_nr) JOIN s USING (summary_nr) GROUP BY 1, 2"),
-    "R6": (lambda t: t.inspections.groupBy("company_key").agg(F.countDistinct(address()).alias("locations"), F.countDistinct("estab_name").alias("names")), f"{I} SELECT company_key, count(DISTINCT concat_ws(', ', site_address, site_city, site_state || ' ' || site_zip)) AS locations, count(DISTINCT estab_name) AS names FROM inspections GROUP BY 1"),
-    "R3": (lambda t: U.warnings(t.companies, t.sites, ["company_key"]).select("company_key", F.bround("weighted_score", 1).alias("risk_score"), "recommendation", "systemic", "sites", (F.col("aggregation_warning") != "").alias("many")), f"{O.WITH_COMPANIES} SELECT company_key, round_even(weighted_score, 1) AS risk_score, recommendation, systemic, sites, sites > 1 AS many FROM companies"),
-    "S2": (lambda t: t.raw("orders").filter(F.substring(F.col("o_orderdate").cast("string"), 1, 10) >= "1998-01-01").select("o_orderkey", "o_orderstatus", F.lit("").alias("absent")), "SELECT o_orderkey, o_orderstatus, '' AS absent FROM orders WHERE substr(CAST(o_orderdate AS VARCHAR), 1, 10) >= '1998-01-01'"),
-    "S7": (lambda t: t.inspections.agg(F.count("*").alias("inspections")).crossJoin(t.violations.agg(F.count("*").alias("violations"))).withColumn("complete", (F.col("inspections") > 0) & (F.col("violations") > 0)), f"{IV} SELECT (SELECT count(*) FROM inspections) AS inspections, (SELECT count(*) FROM violations) AS violations, true AS complete"),
-    "S10": (lambda t: t.violations.groupBy(F.year("issuance_date").alias("year")).agg(n(), F.sum("current_penalty").alias("penalty")), f"{with_views('violations')} SELECT CAST(year(issuance_date) AS INT) AS year, count(*) AS n, sum(current_penalty) AS penalty FROM violations GROUP BY 1"),
-    "S11": (lambda t: t.inspections.agg(F.max("open_date").alias("built")).select("built", (F.datediff(F.lit(AS_OF), "built") < 7).alias("fresh"), F.lit(len(X.FEATURES)).alias("features")), f"{I} SELECT max(open_date) AS built, {O.AS_OF} - max(open_date) < 7 AS fresh, 46 AS features FROM inspections"),
     # ---- set operations, sorts, windows
     "K2": (lambda t: t.sites.withColumn("place", F.row_number().over(Window.partitionBy("company_key").orderBy(F.desc("score"), "estab"))).select("company_key", "estab", "place"), f"{O.WITH_COMPANIES} SELECT company_key, estab, CAST(row_number() OVER (PARTITION BY company_key ORDER BY score DESC, estab) AS INT) AS place FROM sites"),
     "K5": (lambda t: t.violations.orderBy(F.desc("issuance_date"), "activity_nr", "citation_id", "standard").limit(250).select("activity_nr", "issuance_date"), f"{with_views('violations')} SELECT activity_nr, issuance_date FROM violations ORDER BY issuance_date DESC, activity_nr, citation_id, standard LIMIT 250"),
-    "K6": (lambda t: t.names.select(F.lower("raw_name").alias("folded")).distinct().orderBy("folded"), f"{with_views('names')} SELECT DISTINCT lower(raw_name) AS folded FROM names"),
     "U1": (lambda t: t.violations.filter(F.col("issuance_date") < F.lit(CUTOFF)).unionByName(t.violations.filter(F.col("issuance_date") >= F.lit(CUTOFF))).groupBy("viol_type").agg(n()), f"{with_views('violations')} SELECT viol_type, count(*) AS n FROM violations WHERE issuance_date IS NOT NULL GROUP BY 1"),
     "U2": (lambda t: t.facts.filter(F.col("open_date") < F.lit(CUTOFF)).select("estab").distinct().union(t.facts.filter(F.col("open_date") >= F.lit(CUTOFF)).select("estab").distinct()).groupBy("estab").agg(n()), f"{O.WITH_FACTS} SELECT estab, count(DISTINCT open_date < {O.CUTOFF}) AS n FROM facts GROUP BY 1"),
-    "U3": (lambda t: E.top_ranked(t.paired, (0.1,)).select("estab").intersect(E.top_ranked(t.paired, (0.1,), score="adverse").select("estab")), f"{O.WITH_PAIRED}, r AS (SELECT estab, row_number() OVER (ORDER BY score DESC, estab) AS a, row_number() OVER (ORDER BY adverse DESC, estab) AS b, greatest(1, round_even(count(*) OVER () * 0.1, 0)) AS k FROM paired) SELECT estab FROM r WHERE a <= k AND b <= k"),
-    "U4": (lambda t: t.violations.groupBy("activity_nr").agg(F.size(F.array_distinct(F.collect_list("standard"))).cast("long").alias("standards")), f"{with_views('violations')} SELECT activity_nr, count(DISTINCT standard) AS standards FROM violations GROUP BY 1"),
-    "W1": (lambda t: E.average_ranks(t.labelled.select("estab", "score"), "score", "r").join(t.labelled.groupBy("score").agg(F.count("*").alias("c")), "score").crossJoin(F.broadcast(t.labelled.agg(F.count("*").alias("total")))).select("estab", (100 * (F.col("r") + (F.col("c") - 1) / 2) / F.col("total")).alias("percentile")), f"{O.WITH_SCORES} SELECT estab, 100 * cume_dist() OVER (ORDER BY score) AS percentile FROM scored"),
     "W2": (lambda t: t.inspections.filter(F.col("site_city") != "").groupBy("estab_name").agg(F.max_by(F.struct("site_city", "site_state"), F.struct("open_date", "activity_nr")).alias("l")).select("estab_name", "l.site_city", "l.site_state"), f"{I} SELECT estab_name, site_city, site_state FROM inspections WHERE site_city <> '' QUALIFY row_number() OVER (PARTITION BY estab_name ORDER BY open_date DESC, activity_nr DESC) = 1"),
     "W3": (lambda t: E.decile_bins(t.paired).select("estab", "decile"), f"{O.WITH_PAIRED} SELECT estab, CAST(greatest(1, ceil((row_number() OVER (ORDER BY score, estab) - 1) * 10 / (count(*) OVER () - 1))) AS INT) AS decile FROM paired"),
     "W5": (lambda t: E.rolling_mean(t.paired).select("estab", "smooth"), f"{O.WITH_PAIRED}, w AS (SELECT greatest(50, CAST(floor(0.08 * count(*)) AS INT)) AS w FROM paired), r AS (SELECT estab, adverse, row_number() OVER (ORDER BY score, estab) AS rn FROM paired) SELECT a.estab, CASE WHEN count(*) >= any_value(w // 4) THEN avg(b.adverse) END AS smooth FROM r a, w JOIN r b ON b.rn BETWEEN a.rn - w // 2 AND a.rn + (w - 1) // 2 GROUP BY a.estab"),
     "W6": (lambda t: X.with_industry(t.features, X.industry_statistics(t.features)).select("estab", F.round(50 * (1 + S.erf(F.col("relative_violation_rate") / F.sqrt(F.lit(2.0)))), 6).alias("percentile")), f"{O.WITH_Z}, e AS (SELECT estab, relative_violation_rate / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(relative_violation_rate / sqrt(2))) AS t FROM zed) SELECT estab, round(50 * (1 + sign(x) * (1 - (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t) * exp(-x * x))), 6) AS percentile FROM e"),
     "W7": (lambda t: t.inspections.withColumn("r", F.row_number().over(Window.partitionBy("company_key").orderBy("open_date", "activity_nr"))).filter("r = 1").select("company_key", "activity_nr"), f"{I} SELECT company_key, activity_nr FROM inspections QUALIFY row_number() OVER (PARTITION BY company_key ORDER BY open_date, activity_nr) = 1"),
-    "W8": (lambda t: t.sites.select("company_key", "estab", F.try_divide("score", F.max("score").over(Window.partitionBy("company_key"))).alias("share")), f"{O.WITH_COMPANIES} SELECT company_key, estab, score / nullif(max(score) OVER (PARTITION BY company_key), 0) AS share FROM sites"),
     # ---- more reports
     "E10": (lambda t: E.top_ranked(t.paired, (1.0, 0.2, 0.1, 0.05)).groupBy("fraction").agg(n(), F.avg("adverse").alias("mean"), F.avg("score").alias("mean_score")), f"{O.WITH_PAIRED}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, estab) AS rn, count(*) OVER () AS n FROM paired) SELECT CAST(f AS DOUBLE) AS fraction, count(*) AS n, avg(adverse) AS mean, avg(score) AS mean_score FROM r, (VALUES (1.0), (0.2), (0.1), (0.05)) v(f) WHERE rn <= greatest(1, round_even(n * f, 0)) GROUP BY 1"),
-    "E11": (lambda t: t.paired.groupBy("sector").agg(n(), F.corr("score", "adverse").alias("pearson"), F.avg("score").alias("mean_score"), F.avg("adverse").alias("mean_adverse")).filter("n >= 20"), f"{O.WITH_PAIRED} SELECT sector, count(*) AS n, corr(score, adverse) AS pearson, avg(score) AS mean_score, avg(adverse) AS mean_adverse FROM paired GROUP BY 1 HAVING count(*) >= 20"),
-    "E12": (lambda t: t.paired.groupBy(S.evidence_tag(F.col("n_inspections"), F.col("recent")).alias("tag")).agg(n(), F.avg("score").alias("mean_score"), F.avg("adverse").alias("mean_adverse"), F.corr("score", "adverse").alias("pearson")), f"{O.WITH_PAIRED} SELECT CASE WHEN n_inspections >= 5 AND recent >= 1 THEN 'High' WHEN n_inspections <= 1 THEN 'Low' ELSE 'Medium' END AS tag, count(*) AS n, avg(score) AS mean_score, avg(adverse) AS mean_adverse, corr(score, adverse) AS pearson FROM paired GROUP BY 1"),
-    "E13": (lambda t: t.paired.groupBy(F.bround("score", 1).alias("value")).agg(n()).orderBy(F.desc("n"), "value").limit(10), f"{O.WITH_PAIRED} SELECT round_even(score, 1) AS value, count(*) AS n FROM paired GROUP BY 1 ORDER BY n DESC, value LIMIT 10"),
-    "E14": (lambda t: t.paired.groupBy((F.col("n_inspections") == 1).alias("sparse")).agg(n(), F.corr("score", "adverse").alias("pearson"), F.avg("adverse").alias("mean")), f"{O.WITH_PAIRED} SELECT n_inspections = 1 AS sparse, count(*) AS n, corr(score, adverse) AS pearson, avg(adverse) AS mean FROM paired GROUP BY 1"),
-    "E16": (lambda t: t.paired.agg(F.avg(F.abs(F.col("score") - F.col("adverse"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("score") - F.col("adverse"), 2))).alias("rmse"), F.avg(F.col("score") - F.col("adverse")).alias("bias"), F.corr(F.col("score") - F.col("adverse"), "adverse").alias("residual_corr")), f"{O.WITH_PAIRED} SELECT avg(abs(score - adverse)) AS mae, sqrt(avg(pow(score - adverse, 2))) AS rmse, avg(score - adverse) AS bias, corr(score - adverse, adverse) AS residual_corr FROM paired"),
-    "E17": (lambda t: t.paired.groupBy(S.tier(F.col("score")).alias("tier_a"), S.tier(F.col("adverse")).alias("tier_b")).agg(n()), f"{O.WITH_PAIRED} SELECT CASE WHEN score < 30 THEN 'Low' WHEN score < 60 THEN 'Medium' ELSE 'High' END AS tier_a, CASE WHEN adverse < 30 THEN 'Low' WHEN adverse < 60 THEN 'Medium' ELSE 'High' END AS tier_b, count(*) AS n FROM paired GROUP BY 1, 2"),
-    "E18": (lambda t: E.top_ranked(t.paired, (0.1,)).select("estab").intersect(E.top_ranked(t.paired, (0.1,), score="adverse").select("estab")).agg(F.count("*").alias("both")), f"{O.WITH_PAIRED}, r AS (SELECT row_number() OVER (ORDER BY score DESC, estab) AS a, row_number() OVER (ORDER BY adverse DESC, estab) AS b, greatest(1, round_even(count(*) OVER () * 0.1, 0)) AS k FROM paired) SELECT count(*) AS both FROM r WHERE a <= k AND b <= k"),
-    "E19": (lambda t: E.total(X.global_rank(t.paired, ["score", "estab"]), F.count("*").alias("t")).withColumn("quintile", F.floor((F.col("rank") - 1) / F.floor(F.col("t") / 5)).cast("int")).filter("quintile < 5").groupBy("quintile").agg(n(), F.avg("adverse").alias("mean")), f"{O.WITH_PAIRED}, r AS (SELECT adverse, row_number() OVER (ORDER BY score, estab) AS rn, count(*) OVER () AS t FROM paired) SELECT CAST((rn - 1) // (t // 5) AS INT) AS quintile, count(*) AS n, avg(adverse) AS mean FROM r WHERE (rn - 1) // (t // 5) < 5 GROUP BY 1"),
-    "E20": (lambda t: t.paired.agg(*[F.percentile("score", F.lit(p)).alias(f"p{int(100 * p)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)], F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")), f"{O.WITH_PAIRED} SELECT quantile_cont(score, 0.05) AS p5, quantile_cont(score, 0.25) AS p25, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75, quantile_cont(score, 0.95) AS p95, avg(score) AS mean, stddev_pop(score) AS std FROM paired"),
-    "E22": (lambda t: X.with_industry(t.features, X.industry_statistics(t.features)).agg(F.avg((F.abs("relative_penalty") >= 3).cast("int")).alias("at_limit"), F.countDistinct(F.substring("industry_group", 1, 2)).alias("sectors")), f"{O.WITH_Z} SELECT avg(CAST(abs(relative_penalty) >= 3 AS INT)) AS at_limit, count(DISTINCT substr(industry_group, 1, 2)) AS sectors FROM zed"),
     "E24": (lambda t: E.capture(t.paired, (0.05, 0.1, 0.2, 0.3)).select("fraction", "n", F.col("adverse_captured").alias("gain")), f"{O.WITH_PAIRED}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, estab) AS rn, count(*) OVER () AS n FROM paired) SELECT CAST(f AS DOUBLE) AS fraction, count(*) AS n, sum(adverse) / (SELECT sum(adverse) FROM paired) AS gain FROM r, (VALUES (0.05), (0.1), (0.2), (0.3)) v(f) WHERE rn <= greatest(1, round_even(n * f, 0)) GROUP BY 1"),
-    "E25": (lambda t: E.histogram(t.paired, "score", 0.0, 100.0), f"{O.WITH_PAIRED} SELECT CAST(least(floor(score / 2.5), 39) AS INT) AS bin, count(*) AS n, count(*) / (sum(count(*)) OVER () * 2.5) AS density FROM paired GROUP BY 1"),
-    "E26": (lambda t: E.decile_bins(t.paired).groupBy("decile").agg(*[F.percentile("adverse", F.lit(p)).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)]), f"{O.WITH_PAIRED}, r AS (SELECT adverse, CAST(greatest(1, ceil((row_number() OVER (ORDER BY score, estab) - 1) * 10 / (count(*) OVER () - 1))) AS INT) AS decile FROM paired) SELECT decile, quantile_cont(adverse, 0.25) AS q25, quantile_cont(adverse, 0.5) AS q50, quantile_cont(adverse, 0.75) AS q75 FROM r GROUP BY 1"),
     "E27": (lambda t: t.paired.groupBy(F.when(F.col("score") > 60, "high").when(F.col("score") < 30, "low").otherwise("mid").alias("band")).agg(n(), F.avg("adverse").alias("mean"), F.avg("swr").alias("swr_rate")).withColumn("scaled", F.col("mean") / F.max("mean").over(Window.partitionBy(F.lit(0)))), f"{O.WITH_PAIRED} SELECT CASE WHEN score > 60 THEN 'high' WHEN score < 30 THEN 'low' ELSE 'mid' END AS band, count(*) AS n, avg(adverse) AS mean, avg(swr) AS swr_rate, avg(adverse) / max(avg(adverse)) OVER () AS scaled FROM paired GROUP BY 1"),
     "E28": (lambda t: t.paired.agg((F.avg(F.when(F.col("swr") == 1, F.col("score"))) - F.avg(F.when(F.col("swr") == 0, F.col("score")))).alias("separation")), f"{O.WITH_PAIRED} SELECT avg(score) FILTER (swr = 1) - avg(score) FILTER (swr = 0) AS separation FROM paired"),
-    "E29": (lambda t: t.labelled.groupBy(F.least(F.floor(F.col("score") / 20), F.lit(4)).cast("int").alias("band"), (F.col("recent_ratio") < 0.01).alias("dormant")).agg(n(), *[F.avg(c).alias(c) for c in ("serious_rate", "penalty_per_inspection", "clean_ratio")], F.percentile("n_inspections", F.lit(0.9)).alias("p90_n")), f"{O.WITH_SCORES} SELECT CAST(least(floor(score / 20), 4) AS INT) AS band, recent_ratio < 0.01 AS dormant, count(*) AS n, avg(serious_rate) AS serious_rate, avg(penalty_per_inspection) AS penalty_per_inspection, avg(clean_ratio) AS clean_ratio, quantile_cont(n_inspections, 0.9) AS p90_n FROM scored GROUP BY 1, 2"),
     "E30": (lambda t: t.paired.agg(F.regr_slope("adverse", "score").alias("slope"), F.regr_intercept("adverse", "score").alias("intercept")), f"{O.WITH_PAIRED} SELECT regr_slope(adverse, score) AS slope, regr_intercept(adverse, score) AS intercept FROM paired"),
-    "E31": (lambda t: t.features.agg((F.count("*") > 100).alias("enough"), (F.count_if(F.col("total_penalty") < 0) == 0).alias("not_negative"), (F.count_if(~F.col("clean_ratio").between(0, 1)) == 0).alias("in_range"), (F.count_if(F.isnan("avg_penalty")) == 0).alias("no_nan")), f"{O.WITH_FEATURES} SELECT count(*) > 100 AS enough, count(*) FILTER (total_penalty < 0) = 0 AS not_negative, count(*) FILTER (NOT clean_ratio BETWEEN 0 AND 1) = 0 AS in_range, count(*) FILTER (isnan(avg_penalty)) = 0 AS no_nan FROM feats"),
     "E32": (lambda t: t.labelled.agg(F.avg(F.when(F.col("fatalities") > 0, F.col("score"))).alias("with_fatality"), F.avg(F.when(F.col("n_violations") == 0, F.col("score"))).alias("clean"), F.avg(F.when(F.col("willful") > 0, F.col("score"))).alias("willful"), F.avg(F.col("score")).alias("every"), F.avg(F.when(F.col("n_inspections") == 1, F.col("score"))).alias("single")), f"{O.WITH_SCORES} SELECT avg(score) FILTER (fatalities > 0) AS with_fatality, avg(score) FILTER (n_violations = 0) AS clean, avg(score) FILTER (willful > 0) AS willful, avg(score) AS every, avg(score) FILTER (n_inspections = 1) AS single FROM scored"),
-    "M1": (lambda t: X.feature_frame(t.features).select("estab", "n_inspections", "total_penalty", "relative_penalty", "naics_unknown", "naics_31"), f"{O.WITH_Z} SELECT estab, ln(1 + n_inspections) AS n_inspections, ln(1 + total_penalty) AS total_penalty, coalesce(relative_penalty, 0) AS relative_penalty, CAST(industry_group IS NULL AS INT) AS naics_unknown, CAST(coalesce(substr(industry_group, 1, 2) = '31', false) AS INT) AS naics_31 FROM zed"),
     "M8": (lambda t: t.paired.crossJoin(F.broadcast(t.paired.agg(F.stddev_pop("adverse").alias("sy"), F.stddev_pop("score").alias("sp"), F.corr("score", "adverse").alias("r"), F.avg("adverse").alias("my"), F.avg("score").alias("mp")))).select("estab", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("my") + F.col("sy") / (F.col("r") * F.col("sp")) * (F.col("score") - F.col("mp")))).alias("stretched")), f"{O.WITH_PAIRED}, m AS (SELECT stddev_pop(adverse) AS sy, stddev_pop(score) AS sp, corr(score, adverse) AS r, avg(adverse) AS my, avg(score) AS mp FROM paired) SELECT estab, greatest(0, least(100, my + sy / (r * sp) * (score - mp))) AS stretched FROM paired, m"),
     # ---- documented
-    "D1": (lambda t: D.extra_features(t.facts, AS_OF), f"{O.WITH_FACTS} SELECT estab, sum(penalty * exp(-((({O.AS_OF} - open_date) / 365.0) / 3.0))) AS decayed_penalty, coalesce(sum(CASE WHEN open_date >= {O.AS_OF} - 1095 THEN willful + repeat ELSE 0 END) / nullif(sum(willful + repeat), 0), 0) AS recent_wr_share, coalesce(avg(n_violations) FILTER (open_date >= {O.AS_OF} - 1095), 0) - coalesce(avg(n_violations) FILTER (open_date < {O.AS_OF} - 1095), 0) AS trend_delta, ln(1 + sum(willful)) AS log_willful, ln(1 + sum(repeat)) AS log_repeat, CAST(sum(fatalities) > 0 AS INT) AS any_fatality, ln(1 + max(penalty)) AS log_worst_penalty, ln(1 + median(nr_in_estab)) AS log_median_size FROM facts GROUP BY 1"),
     "D2": (lambda t: D.penalty_percentiles(t.facts, CUTOFF), f"{O.WITH_FACTS}, p AS (SELECT substr(naics_code, 1, 2) AS sector, penalty FROM facts WHERE open_date < {O.CUTOFF} AND penalty > 0), g AS (SELECT quantile_cont(penalty, 0.75) AS a, quantile_cont(penalty, 0.9) AS b, quantile_cont(penalty, 0.95) AS c FROM p) SELECT sector, count(*) AS n, CASE WHEN count(*) >= 50 THEN quantile_cont(penalty, 0.75) ELSE any_value(a) END AS p75, CASE WHEN count(*) >= 50 THEN quantile_cont(penalty, 0.9) ELSE any_value(b) END AS p90, CASE WHEN count(*) >= 50 THEN quantile_cont(penalty, 0.95) ELSE any_value(c) END AS p95 FROM p, g GROUP BY 1"),
-    "D6": (lambda t: t.labelled.select("estab", F.round(0.578 * F.col("serious_rate") + 0.256 * F.col("injury_rate") + 0.165 * F.col("recent_ratio"), 9).alias("composite")), f"{O.WITH_SCORES} SELECT estab, round(0.578 * serious_rate + 0.256 * injury_rate + 0.165 * recent_ratio, 9) AS composite FROM scored"),
-    "D7": (lambda t: t.labelled.select("estab", (15 + (F.col("score") - 15) * (1 - F.exp(-F.col("n_inspections") / 5.0))).alias("shrunk")), f"{O.WITH_SCORES} SELECT estab, 15 + (score - 15) * (1 - exp(-n_inspections / 5.0)) AS shrunk FROM scored"),
     "D8": (lambda t: D.credibility(t.sites, ["company_key"]), f"{O.WITH_COMPANIES}, c AS (SELECT company_key, n_inspections, score, n_inspections / (n_inspections + 5) * score + (1 - n_inspections / (n_inspections + 5)) * 15 AS s FROM sites), a AS (SELECT company_key, sum(s * n_inspections) / sum(n_inspections) AS mean, max(s) AS worst, count(*) FILTER (score >= 60) / count(*) AS concentration FROM c GROUP BY 1) SELECT *, (1 - least(0.3 * concentration, 0.3)) * mean + least(0.3 * concentration, 0.3) * worst AS blended FROM a"),
-    "D9": (lambda t: D.outlook(t.labelled).select("estab", "expected_inspections", "expected_violations", "outlook"), f"{O.WITH_SCORES}, e AS (SELECT estab, violations_per_inspection, greatest(n_inspections / 6.58, CASE WHEN score >= 60 THEN 1.5 WHEN score >= 45 THEN 0.75 WHEN score >= 30 THEN 0.3 ELSE 0.1 END) AS e FROM scored) SELECT estab, e AS expected_inspections, e * violations_per_inspection AS expected_violations, CASE WHEN e >= 1.5 THEN 'High' WHEN e >= 0.5 THEN 'Medium' ELSE 'Low' END AS outlook FROM e"),
-    "D10": (lambda t: D.probability_metrics(t.paired.withColumn("p", F.col("score") / 100), "p", "swr", "estab"), f"{O.WITH_PAIRED}, r AS (SELECT score / 100 AS p, swr, sum(swr) OVER (ORDER BY score DESC, estab) / row_number() OVER (ORDER BY score DESC, estab) AS pr FROM paired), a AS (SELECT avg(pow(p - swr, 2)) AS brier, avg(swr) AS prevalence, sum(pr * swr) / sum(swr) AS average_precision FROM r) SELECT *, 1 - brier / (prevalence * (1 - prevalence)) AS brier_skill FROM a"),
     "D12": (lambda t: U.company_rollup(t.sites.filter(F.col("score") < 45), ["company_key"]).select("company_key", "weighted_score", "sites"), f"{O.WITH_COMPANIES} SELECT company_key, sum(score * n_inspections) / sum(n_inspections) AS weighted_score, count(*) AS sites FROM sites WHERE score < 45 GROUP BY 1"),
-    "D13": (lambda t: t.names.select("p_partkey", N.canonical_name(F.col("raw_name")).alias("old"), N.match_key(F.col("raw_name")).alias("new")).filter("old != new"), f"{NAMES} SELECT p_partkey, canonical AS old, company_key AS new FROM keyed WHERE canonical <> company_key"),
     "D14": (lambda t: D.score_distribution(t.labelled), f"{O.WITH_SCORES}, c AS (SELECT round_even(score, 1) AS value, count(*) AS n FROM scored GROUP BY 1) SELECT value, n, sum(n) OVER (ORDER BY value) / sum(n) OVER () AS share FROM c"),
-    "R7": (lambda t: E.by_tier(t.paired).select(F.lit("tier").alias("report"), F.col("tier").alias("part"), F.col("mean_adverse").alias("value")).union(E.score_bands(t.paired).select(F.lit("band"), F.col("band").cast("string"), "mean_adverse")), f"{O.WITH_PAIRED} SELECT 'tier' AS report, CASE WHEN score < 30 THEN 'Low' WHEN score < 60 THEN 'Medium' ELSE 'High' END AS part, avg(adverse) AS value FROM paired GROUP BY 2 UNION ALL SELECT 'band', CAST(CAST(least(floor(score / 20), 4) AS INT) AS VARCHAR), avg(adverse) FROM paired GROUP BY 2"),
 })

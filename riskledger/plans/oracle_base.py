@@ -10,12 +10,12 @@ FACTS = """
 vr AS (SELECT activity_nr, count(*) AS n_violations, count(*) FILTER (viol_type = 'S') AS serious, count(*) FILTER (viol_type = 'W') AS willful, count(*) FILTER (viol_type = 'R') AS repeat,
     sum(coalesce(current_penalty, initial_penalty, 0)) AS penalty, max(coalesce(current_penalty, initial_penalty, 0)) AS max_penalty, sum(gravity) AS gravity_sum, count(gravity) AS gravity_n
   FROM violations WHERE delete_flag IS DISTINCT FROM 'X' GROUP BY activity_nr),
-ap AS (SELECT rel_insp_nr, i.summary_nr, count(*) AS injuries, bool_or(replace(degree_of_inj, '.0', '') = '1') OR coalesce(any_value(a.fatality) IN ('1', 'Y', 'True'), false) AS fatal
+ap AS (SELECT rel_insp_nr, i.summary_nr, count(*) AS injuries, count(*) FILTER (replace(degree_of_inj, '.0', '') IN ('1', '2')) AS severe_injuries, bool_or(replace(degree_of_inj, '.0', '') = '1') OR coalesce(any_value(a.fatality) IN ('1', 'Y', 'True'), false) AS fatal
   FROM injuries i LEFT JOIN accidents a ON a.summary_nr = i.summary_nr GROUP BY rel_insp_nr, i.summary_nr),
-ar AS (SELECT rel_insp_nr AS activity_nr, count(*) AS accidents, count(*) FILTER (fatal) AS fatalities, sum(injuries) AS injuries FROM ap GROUP BY rel_insp_nr),
+ar AS (SELECT rel_insp_nr AS activity_nr, count(*) AS accidents, count(*) FILTER (fatal) AS fatalities, sum(injuries) AS injuries, sum(severe_injuries) AS severe_injuries FROM ap GROUP BY rel_insp_nr),
 facts AS (SELECT i.*, upper(coalesce(estab_name, 'UNKNOWN')) AS estab, coalesce(n_violations, 0) AS n_violations, coalesce(serious, 0) AS serious, coalesce(willful, 0) AS willful, coalesce(repeat, 0) AS repeat,
     coalesce(penalty, 0) AS penalty, coalesce(max_penalty, 0) AS max_penalty, coalesce(gravity_sum, 0) AS gravity_sum, coalesce(gravity_n, 0) AS gravity_n,
-    coalesce(accidents, 0) AS accidents, coalesce(fatalities, 0) AS fatalities, coalesce(injuries, 0) AS injuries
+    coalesce(accidents, 0) AS accidents, coalesce(fatalities, 0) AS fatalities, coalesce(injuries, 0) AS injuries, coalesce(severe_injuries, 0) AS severe_injuries
   FROM inspections i LEFT JOIN vr USING (activity_nr) LEFT JOIN ar USING (activity_nr))"""
 
 
@@ -85,10 +85,12 @@ WITH_Z = f"{WITH_STATS},{ZED}"
 WITH_SCORES = f"{WITH_FEATURES},{scored()}"
 WITH_COMPANIES = f"{WITH_SCORES},{COMPANIES}"
 
-#: History before the cutoff scored, and what the time from the cutoff on brought.
-OUTCOMES = f"""{features('feats', f'open_date < {CUTOFF}', CUTOFF)},{scored()},
+
+def outcomes(cutoff: str) -> str:
+    """History before the cutoff scored, and what the time from the cutoff on brought."""
+    return f"""{features('feats', f'open_date < {cutoff}', cutoff)},{scored()},
 future AS (SELECT estab, count(*) AS n_future, sum(n_violations) AS violations, sum(serious) AS serious, sum(willful) AS willful, sum(repeat) AS repeat, sum(accidents) AS accidents, sum(fatalities) AS fatalities, sum(injuries) AS injuries,
-    sum(penalty) AS penalty, count(*) FILTER (accidents > 0) / count(*) AS severe_rate FROM facts WHERE open_date >= {CUTOFF} GROUP BY estab),
+    sum(penalty) AS penalty, count(*) FILTER (accidents > 0) / count(*) AS severe_rate FROM facts WHERE open_date >= {cutoff} GROUP BY estab),
 outcomes AS (SELECT h.estab, coalesce(n_future, 0) > 0 AS has_future_data, coalesce(n_future, 0) AS n_future, f.violations, f.serious, f.willful, f.repeat, f.willful + f.repeat AS willful_repeat, f.accidents, f.fatalities, f.injuries,
     f.penalty, f.violations / n_future AS violation_rate, f.severe_rate, CASE WHEN n_future > 0 THEN CAST(f.serious + f.willful + f.repeat > 0 AS INT) END AS swr, CASE WHEN n_future > 0 THEN CAST(f.fatalities > 0 AS INT) END AS fatality,
     round(CASE WHEN n_future > 0 THEN CASE WHEN f.fatalities > 0 THEN 20 ELSE 0 END + CASE WHEN f.fatalities > 1 THEN least(5.0 * (f.fatalities - 1), 15) ELSE 0 END + CASE WHEN f.willful + f.repeat > 0 THEN 8 ELSE 0 END + least(3.0 * (f.willful + f.repeat), 15)
@@ -96,4 +98,6 @@ outcomes AS (SELECT h.estab, coalesce(n_future, 0) > 0 AS has_future_data, coale
   FROM feats h LEFT JOIN future f USING (estab)),
 paired AS (SELECT estab, score, s.n_inspections, s.recent, coalesce(substr(industry_group, 1, 2), 'unknown') AS sector, adverse, o.swr, o.fatality, o.violation_rate, ln(1 + o.penalty) AS log_penalty
   FROM scored s JOIN outcomes o USING (estab) WHERE has_future_data)"""
-WITH_PAIRED = f"{WITH_FACTS},{OUTCOMES}"
+
+
+WITH_PAIRED = f"{WITH_FACTS},{outcomes(CUTOFF)}"

@@ -4,31 +4,35 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def load_new(spark: SparkSession, landing: str, schema: str, table: str, checkpoint: str, *, key: list[str], event_time: str, since: datetime.datetime | None = None, delay: str = "30 days") -> None:
-    """ST1: everything that landed and was not loaded yet, in one run that ends by itself.
+    """ST1: everything that landed and was not loaded yet, in one run that ends by itself, into the
+    Parquet table at the path table.
 
     Rows not newer than since and repeats of a key within the delay go in the stream
-    itself; each micro-batch then appends only keys that the table does not have, so a batch that is
-    replayed after a failure adds nothing twice.
+    itself; each micro-batch then adds only keys that the table does not have, in a folder named by the
+    batch, which a batch that is replayed after a failure overwrites.
     """
     rows = spark.readStream.schema(schema).parquet(landing).withColumn(event_time, F.col(event_time).cast("timestamp"))
     if since is not None:
         rows = rows.filter(F.col(event_time) > F.lit(since))
     fresh = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key)
 
-    def append(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        if session.catalog.tableExists(table):
-            batch = batch.join(session.table(table).select(*key), key, "left_anti")
-        batch.dropDuplicates(key).write.mode("append").saveAsTable(table)
+    def append(batch: DataFrame, number: int) -> None:
+        loaded = batch.sparkSession.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())]))
+        try:
+            known = loaded.parquet(table).filter(F.col("batch") != number).select(*key)
+        except AnalysisException:  # nothing loaded yet
+            known = None
+        new = batch.dropDuplicates(key) if known is None else batch.join(known, key, "left_anti").dropDuplicates(key)
+        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    if spark.catalog.tableExists(table):
-        spark.catalog.refreshTable(table)  # the batches were written by the stream's own session
 
 
 def latest(stored: DataFrame, late: DataFrame, key: list[str], version: list[str]) -> DataFrame:
