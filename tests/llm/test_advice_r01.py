@@ -3,7 +3,6 @@
 import pytest
 
 from riskledger.llm import line_dedup, pii
-from riskledger.plans import catalog, learned
 from tests.llm.test_operators import docs, words
 
 
@@ -20,35 +19,6 @@ def test_line_dedup_finds_runs_at_any_offset(spark, offset):
     assert got[3] == (f"{own(2, 'e')} {' '.join(run[:offset])} inserted end", 50)
 
 
-@pytest.mark.parametrize("name", ["M3", "M4", "M9", "M10", "M11", "E23", "H17"])
-def test_registered_models_have_full_size(spark, monkeypatch, name):
-    """Queries reach the trainer with its own 500 trees, M4 with 100 of depth 3."""
-    seen = {}
-
-    class Reached(Exception):
-        pass
-
-    def train_scorer(frame, label, *, trees=500, depth=5, rate=0.05):
-        seen.update(trees=trees, depth=depth, rate=rate)
-        raise Reached
-
-    class Any:
-        def __getattr__(self, _):
-            return lambda *a, **k: self
-
-        def __getitem__(self, _):
-            return 10
-
-    monkeypatch.setattr(learned.M, "train_scorer", train_scorer)
-    monkeypatch.setattr(learned.M, "hash_split", lambda *a: Any())
-    monkeypatch.setattr(learned, "frame", lambda t: None)
-    monkeypatch.setattr(catalog.Tables, "history", Any())
-    monkeypatch.setattr(catalog.Tables, "inspections", Any(), raising=False)
-    with pytest.raises(Reached):
-        catalog.QUERIES[name](None, "")
-    assert seen == ({"trees": 100, "depth": 3, "rate": 0.1} if name == "M4" else {"trees": 500, "depth": 5, "rate": 0.05})
-
-
 def test_neighbouring_numbers_and_quoted_secrets_get_pseudonyms(spark):
     ssn, secret = "123-45-6789", "0a1b2c3d" * 5
     cases = [(f"{ssn} 987-65-4321", [ssn], "987-65-4321"), (f"{ssn} 555-123-4567", [ssn, "555-123-4567"], ""), (f'token = "{secret}"', [secret], "token = "), (f'TOKEN = "{secret}"', [secret], "TOKEN = ")]
