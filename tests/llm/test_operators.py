@@ -382,19 +382,117 @@ def test_pitman_yor(spark, odd, empty):
     assert pitman_yor.score(odd, F.lit(False)).count() == odd.count() and pitman_yor.score(empty, F.lit(False)).count() == 0
 
 
+def plain_sampler(word, context, count, buckets, vocabulary, sweeps, averaged, seed):
+    """Chinese restaurants with every customer at a table, one removed and reseated at a time: mean
+    predictive probability of each (context, word), by dictionaries."""
+    r = random.Random(seed)
+    theta, d = pitman_yor.THETA, pitman_yor.DISCOUNT
+    tables = collections.defaultdict(lambda: collections.defaultdict(list))  # restaurant -> dish -> customers of each table
+    up = lambda u: None if u == "root" else "root" if isinstance(u, str) else f"class {u // buckets}"
+    level = lambda u: 2 if u == "root" else 1 if isinstance(u, str) else 0
+    size = lambda u: (sum(map(sum, tables[u].values())), sum(map(len, tables[u].values())))
+
+    def p(u, w):
+        if u is None:
+            return 1 / (vocabulary + 1)
+        k, (n, t) = level(u), size(u)
+        own = tables[u].get(w, [])
+        return (sum(own) - d[k] * len(own) + (theta[k] + d[k] * t) * p(up(u), w)) / (theta[k] + n)
+
+    def sit(u, w):
+        if u is None:
+            return
+        k, own = level(u), tables[u][w]
+        weights = [x - d[k] for x in own] + [(theta[k] + d[k] * size(u)[1]) * p(up(u), w)]
+        at = r.choices(range(len(weights)), weights)[0]
+        if at == len(own):
+            own.append(0)
+            sit(up(u), w)
+        own[at] += 1
+
+    def leave(u, w):
+        if u is None:
+            return
+        own = tables[u][w]
+        at = r.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        if not own[at]:
+            own.pop(at)
+            leave(up(u), w)
+
+    people = [(u, w) for w, u, c in zip(word, context, count) for _ in range(c)]
+    for u, w in people:
+        sit(u, w)
+    mean = collections.Counter()
+    for i in range(sweeps):
+        r.shuffle(people)
+        for u, w in people:
+            leave(u, w)
+            sit(u, w)
+        if i >= sweeps - averaged:
+            for u in set(context):
+                for w in range(max(word) + 2):
+                    mean[u, w] += p(u, w) / averaged
+    return mean
+
+
+def in_slices(word, context, count, buckets, n_slices, vocabulary, sweeps, averaged):
+    """The same by the operator's slices; word numbers inside a slice keep their order."""
+    P = pitman_yor
+    parts = []
+    for s in range(n_slices):
+        mine = word % n_slices == s
+        names = np.unique(word[mine])
+        parts.append((P.Slice(s, names.size + 1, P.pack(np.searchsorted(names, word[mine]).astype(np.uint32), context[mine].astype(np.uint32), count[mine]), buckets), names))
+    seats = np.bincount(context, count, P.CLASSES * buckets)
+
+    def totals():
+        got = [s.own_totals() for s, _ in parts]
+        return P.Totals(sum(g[0] for g in got), sum(g[1] for g in got), sum(g[2] for g in got), vocabulary)
+
+    mean, now = collections.Counter(), totals()
+    for i in range(sweeps):
+        for s, _ in parts:
+            s.sweep(i, now)
+        now = totals()
+        if i >= sweeps - averaged:
+            for s, names in parts:
+                for u in np.unique(context).tolist():
+                    for w, x in zip([*names.tolist(), None], s.probability(np.arange(names.size + 1), np.full(names.size + 1, u), now, seats)):
+                        mean[u, w] += x / averaged if w is not None else 0
+                        mean[u, None] = x if w is None else mean[u, None]  # an unknown word
+    return mean
+
+
+def pairs_of_words():
+    r = np.random.default_rng(3)
+    buckets, keys = 4, collections.Counter()
+    for _ in range(1500):
+        u = int(r.choice([4, 5, 6, 7, 8, 9, 20]))
+        keys[int(min(r.zipf(1.6), 60)) - 1 if r.random() < 0.6 else int(u % 5 * 7 + r.integers(0, 6)), u] += 1
+    word, context = (np.array(x) for x in zip(*sorted(keys)))
+    return word, context, np.array([keys[k] for k in sorted(keys)]), buckets
+
+
 def test_restaurants_are_distributions():
-    """Averaged predictive probabilities of all words and the unknown one sum to one in every context."""
-    r = np.random.default_rng(0)
-    word, context, count = np.repeat(np.arange(40), 3), np.tile(np.arange(3).astype(np.uint8), 40), r.integers(1, 500, 120)
-    seats = np.bincount(context, count, pitman_yor.CLASSES)
-    before = {"tables": np.minimum(seats, 1.0), "customers": 3.0, "root": 1.0}
-    tables, customers, root = pitman_yor.sweep(0, 0, word, context, count, 40, before, 40)
-    assert (tables >= 1).all() and (tables <= count).all() and (root <= customers).all()
-    t, c0, t0 = np.bincount(context, tables, pitman_yor.CLASSES), customers.sum(), root.sum()
-    base = (customers - pitman_yor.DISCOUNT0 * root + (pitman_yor.THETA0 + pitman_yor.DISCOUNT0 * t0) / 41) / (pitman_yor.THETA0 + c0)
-    unknown = (pitman_yor.THETA0 + pitman_yor.DISCOUNT0 * t0) / 41 / (pitman_yor.THETA0 + c0)
-    assert base.sum() + unknown == pytest.approx(1)
-    for u in range(3):
-        own = (count[context == u] - pitman_yor.DISCOUNT * tables[context == u]) / (pitman_yor.THETA + seats[u])
-        weight = (pitman_yor.THETA + pitman_yor.DISCOUNT * t[u]) / (pitman_yor.THETA + seats[u])
-        assert own.sum() + weight * (base.sum() + unknown) == pytest.approx(1)
+    """Predictive probabilities of all words and the unknown one sum to one in every context."""
+    word, context, count, buckets = pairs_of_words()
+    vocabulary = np.unique(word).size
+    got = in_slices(word, context, count, buckets, 3, vocabulary, 4, 1)
+    for u in np.unique(context).tolist():
+        assert sum(got[u, w] for w in np.unique(word).tolist()) + got[u, None] == pytest.approx(1)
+
+
+def test_sweeps_agree_with_a_plain_sampler():
+    """The operator's draws, level by level and slice by slice with totals of the sweep before, find what
+    customers reseated one by one find."""
+    word, context, count, buckets = pairs_of_words()
+    vocabulary = np.unique(word).size
+    plain, again = (plain_sampler(word.tolist(), context.tolist(), count.tolist(), buckets, vocabulary, 24, 12, seed) for seed in (1, 2))
+    got = in_slices(word, context, count, buckets, 3, vocabulary, 40, 30)
+    weight = {(u, w): c for w, u, c in zip(word.tolist(), context.tolist(), count.tolist())}
+    per_token = lambda p: sum(c * np.log10(p[k]) for k, c in weight.items()) / count.sum()
+    assert per_token(got) == pytest.approx(per_token(plain), abs=0.01)
+    gaps = lambda p: [abs(np.log10(p[u, w]) - np.log10(plain[u, w])) for u in np.unique(context).tolist() for w in np.unique(word).tolist()]
+    # no further from a plain run than two plain runs are from each other, but for a little
+    assert np.mean(gaps(got)) < 0.03 + np.mean(gaps(again)) and np.quantile(gaps(got), 0.9) < 0.06 + np.quantile(gaps(again), 0.9)
