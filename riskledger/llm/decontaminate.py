@@ -2,10 +2,11 @@
 
 A document leaks a benchmark item when one of its windows of the item's size has a
 weighted similarity of 0.8 or more to it: over five-word shingles, the sum of the
-smaller counts through that of the larger ones. Windows that could reach it have enough of
-the item's shingles, and the best of them starts at such a shingle; those windows get
-SimHash fingerprints, blocks of bits find all fingerprints within the radius (with
-radius + 1 blocks one must be equal), and the exact similarity decides.
+smaller counts through that of the larger ones. For each size that items have, windows
+that start at a shingle of the benchmark and hold enough such shingles, of whatever items,
+get SimHash fingerprints (no other window can be the first of the best ones). An index of
+eight blocks of bits finds all items of that size within the radius, and the exact
+similarity decides.
 """
 
 from __future__ import annotations
@@ -32,11 +33,21 @@ def simhash(shingled: str) -> Column:
     )
 
 
-def blocks(fingerprint: str, radius: int) -> Column:
-    """The fingerprint in radius + 1 blocks of bits: array of (block, value)."""
-    n = radius + 1
-    ends = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftright({fingerprint}, {a}) & {(1 << (b - a)) - 1}L").alias("value")) for i, (a, b) in enumerate(zip(ends, ends[1:]))])
+#: A fingerprint has 8 blocks of 8 bits. Two that differ in at most RADIUS bits have a block in
+#: which they differ in at most two: that is where one of the 37 neighbours of the other's block meets it.
+BLOCKS, NEAR, RADIUS = 8, 2, 23
+NEIGHBOURS = [x for x in range(256) if x.bit_count() <= NEAR]
+
+
+def blocks(fingerprint: str) -> Column:
+    """The fingerprint's blocks: array of (block, value)."""
+    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fingerprint), 8 * i).bitwiseAND(F.lit(255)).alias("value")) for i in range(BLOCKS)])
+
+
+def near_blocks(fingerprint: str) -> Column:
+    """All blocks that differ from the fingerprint's own in at most NEAR bits."""
+    masks = F.array(*[F.lit(x).cast("long") for x in NEIGHBOURS])
+    return F.flatten(F.transform(blocks(fingerprint), lambda b: F.transform(masks, lambda m: F.struct(b["block"].alias("block"), b["value"].bitwiseXOR(m).alias("value")))))
 
 
 def overlap(a: str, b: str) -> Column:
@@ -51,42 +62,48 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8, radius: int = 16) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, first_word) of each document and item it leaks.
 
-    docs needs doc_id and text, benchmark item_id and text. Case of A-Z doesn't
-    count. A document shorter than the item is one window. A text under five
+    docs needs doc_id and text, benchmark item_id and text; other columns are not read. Case of A-Z
+    doesn't count. A document shorter than the item is one window. A text under five
     words is one shingle, so it only matches an equally short, equal text. Null
     and empty texts leak nothing. Repeated rows of a document give one row; ties
-    between windows go to the first. Empty tables give no rows. The fingerprints'
-    radius covers 16 of 64 bits: at a similarity of exactly 0.8 about one window in 150 lies beyond.
+    between windows go to the first. Empty tables give no rows. Of 64 bits about 10 differ at a
+    similarity of 0.8, with a deviation of 3: one window in some ten thousand lies beyond 23.
     """
+    if radius > BLOCKS * (NEAR + 1) - 1:
+        raise ValueError("the index does not find all fingerprints so far apart")
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     items = benchmark.select("item_id", shingles(F.col("text")).alias("item")).withColumn("k", F.size("item")).filter("k > 0").dropDuplicates(["item_id", "item"])
     items = cut(items.withColumn("mark", simhash("item")), "leak-items")
-    wanted = small(items.select("item_id", "k", F.explode(F.array_distinct("item")).alias("shingle")))
+    wanted = small(items.select(F.explode("item").alias("shingle")).distinct())
     placed = docs.select("doc_id", "text_hash", shingles(F.col("text")).alias("own"))
     placed = placed.select("doc_id", "text_hash", F.size("own").alias("n"), F.posexplode("own").alias("at", "shingle"))
-    hits = cut(placed.join(wanted, "shingle").select("doc_id", "text_hash", "n", "item_id", "k", "at"), "leak-hits")
+    hits = cut(placed.join(wanted, "shingle").select("doc_id", "text_hash", "n", "at"), "leak-hits")
+    hits = hits.groupBy("doc_id", "text_hash", "n").agg(F.array_sort(F.collect_set("at")).alias("p"))
     # windows of size m with at least need hits, each started at its first hit
-    hits = hits.groupBy("doc_id", "text_hash", "n", "item_id", "k").agg(F.array_sort(F.collect_set("at")).alias("p"))
-    hits = hits.withColumn("m", F.least("k", "n")).withColumn("need", F.ceil((F.col("k") + F.col("m")) * (least / (1 + least)) - 1e-9).cast("int"))
+    sizes = F.broadcast(items.agg(F.array_sort(F.collect_set("k")).alias("sizes")))  # one row
+    m = lambda k: F.least(k, F.col("n"))
+    need = lambda k: F.ceil((k + m(k)) * (least / (1 + least)) - 1e-9).cast("int")
+    fitting = F.filter("sizes", lambda k: F.size("p") >= need(k))
+    hits = hits.crossJoin(sizes).select("doc_id", "text_hash", "n", "p", F.explode(fitting).alias("k")).withColumn("m", m(F.col("k"))).withColumn("need", need(F.col("k")))
     starts = F.expr("transform(filter(sequence(0, size(p) - need), i -> p[i + need - 1] - p[i] < m), i -> least(p[i], n - m))")
-    found = hits.filter("size(p) >= need").select("doc_id", "text_hash", "k", "m", F.explode(F.array_distinct(starts)).alias("start"))
+    found = hits.select("doc_id", "text_hash", "k", "m", F.explode(F.array_distinct(starts)).alias("start"))
     found = cut(found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("k", "m", "start")).alias("windows")), "leak-windows")
     own = small(found.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_hash", "__hash"))
     again = docs.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "windows", shingles(F.col("text")).alias("own"))
     cutout = let(F.col("own"), lambda s: F.transform("windows", lambda v: F.struct(v["k"].alias("k"), v["start"].alias("start"), F.slice(s, v["start"] + 1, v["m"]).alias("window"))))
     windows = again.select("doc_id", "text_hash", F.explode(cutout).alias("w")).select("doc_id", "text_hash", "w.*")
-    windows = cut(windows.withColumn("seen", simhash("window")), "leak-marks")
-    left = windows.select("doc_id", "text_hash", "k", "start", "seen", F.explode(blocks("seen", radius)).alias("b"))
-    right = items.select("item_id", "k", "mark", F.explode(blocks("mark", radius)).alias("b"))
+    windows = cut(windows.withColumn("seen", simhash("window")).dropDuplicates(["doc_id", "text_hash", "k", "start"]), "leak-marks")
+    left = windows.select("doc_id", "text_hash", "k", "start", "seen", F.explode(blocks("seen")).alias("b"))
+    right = items.select("item_id", "k", "mark", F.explode(near_blocks("mark")).alias("b"))
     near = left.join(small(right), ["k", "b"]).filter(F.bit_count(F.col("seen").bitwiseXOR(F.col("mark"))) <= radius)
     near = near.select("doc_id", "text_hash", "k", "start", "item_id").distinct()
-    full = near.join(windows.select("doc_id", "text_hash", "k", "start", "window").dropDuplicates(["doc_id", "text_hash", "k", "start"]).withColumnRenamed("doc_id", "__id"), F.expr("doc_id <=> __id")
+    full = near.join(windows.select("doc_id", "text_hash", "k", "start", "window").withColumnRenamed("doc_id", "__id"), F.expr("doc_id <=> __id")
                      & (near["text_hash"] == windows["text_hash"]) & (near["k"] == windows["k"]) & (near["start"] == windows["start"])).select(near["*"], "window")
     full = full.join(small(items.select("item_id", "item")), "item_id").withColumn("__x", overlap("window", "item"))
-    full = full.withColumn("similarity", F.col("__x") / (F.size("window") + F.size("item") - F.col("__x"))).filter(F.col("similarity") >= least)
+    full = full.withColumn("similarity", F.col("__x") / (F.size("window") + F.size("item") - F.col("__x"))).filter((F.col("similarity") >= least) & (F.size("item") == F.col("k")))
     best = F.max(F.struct("similarity", -F.col("start")))
     return full.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", "b.similarity", (-F.col("b.col2")).alias("first_word"))
 
