@@ -12,24 +12,49 @@ from pyspark.sql import functions as F
 
 from riskledger.llm._common import cut, let, table, words
 
-#: Equal bins of the doc_id range, counted to cut it into buckets: bounds the broadcast table.
-BINS = 1 << 16
+#: Equal bins of the doc_id range that are counted at once, and of a bin that holds far more than its share.
+BINS, INNER = 1 << 16, 256
 FIRST_KEY = -(1 << 63)
+#: Word hashes and k-gram hashes are numbers below this prime; a k-gram's is a polynomial in BASE.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+
+
+def rolling(hashed: Column, k: int) -> Column:
+    """Hashes of all k-grams of an array of word hashes. The polynomial that a rolling hash keeps
+    up to date is summed at each place: the words are hashed once, and k products cost less than a
+    running value that lambda functions would have to copy along."""
+    factors = [pow(BASE, k - 1 - j, PRIME) for j in range(k)]
+    gram = lambda i: F.pmod(sum((F.pmod(F.get(hashed, i + j) * F.lit(f), F.lit(PRIME)) for j, f in enumerate(factors)), F.lit(0)), F.lit(PRIME))
+    return F.transform(F.sequence(F.lit(0), F.size(hashed) - k), gram)
+
+
+def window_minima(v: Column, window: int) -> Column:
+    """The smallest of each window of v (longer than a window), each once: minima of twice as many
+    places come from two neighbouring ones, and a window from the two widest that cover it."""
+
+    def widen(v: Column, wide: int) -> Column:
+        step = min(wide, window - wide)
+        wider = F.transform(v, lambda x, i: F.least(x, F.get(v, i + step)))
+        return F.array_distinct(F.slice(wider, F.lit(1), F.size(v) - window + 1)) if wide + step == window else let(wider, lambda u: widen(u, wide + step))
+
+    # beyond the last place get() is null, which least() passes over; those windows are cut off at the end
+    return v if window == 1 else widen(v, 1)
 
 
 def kept(text: Column, k: int = 5, window: int = 12) -> Column:
     """The kept grams of a text in order: 31 bits of hash above 32 bits of
     reversed position, so the smallest number is the smallest hash, the rightmost of equals."""
     tail = (1 << 32) - 1
+    place = lambda h, i: h * F.lit(1 << 32) + (F.lit(tail) - i)
 
     def packed(w: Column) -> Column:
-        place = lambda h, i: F.shiftrightunsigned(h, 33) * F.lit(1 << 32) + (F.lit(tail) - i)
-        every = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: place(F.xxhash64(*[F.get(w, i + j) for j in range(k)]), i))
-        return F.when(F.size(w) >= k, every).when(F.size(w) > 0, F.array(place(F.xxhash64(F.lit(0), w), F.lit(0)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        hashed = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
+        every = let(let(hashed, lambda h: rolling(h, k)), lambda g: F.transform(g, place))
+        short = F.array(place(F.pmod(F.xxhash64(F.lit(0), w), F.lit(PRIME)), F.lit(0)))
+        return F.when(F.size(w) >= k, every).when(F.size(w) > 0, short).otherwise(F.expr("cast(array() as array<bigint>)"))
 
     def least(v: Column) -> Column:
-        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(v) - window + 1), lambda i: F.array_min(F.slice(v, i, window))))
-        return F.when(F.size(v) > window, many).when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(v)
+        return F.when(F.size(v) > window, window_minima(v, window)).when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(v)
 
     return let(let(words(text), packed), least)
 
@@ -49,18 +74,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def binned(docs: DataFrame, key: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """docs with __bin, ascending in key (an array of numbers: a bin, a bin inside it, and so on), and the
+    rows and the first key of each bin. Bins are equal parts of the range of keys; one with far more than its
+    share is parted again over the keys that it has, so no far-off key fills a bin with all others."""
+    keys = docs.select(key)
+    span = keys.filter(F.col(key) != FIRST_KEY).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    # keys are halved before they are subtracted, so that no difference is too large
+    half = lambda x: abs(x) // 2 * (1 if x >= 0 else -1)
+    lo, width = half(span["lo"] or 0), (half(span["hi"] or 0) - half(span["lo"] or 0)) // BINS + 1
+    path, levels = F.array(F.when(F.col(key) == FIRST_KEY, -1).otherwise(F.expr(f"cast(({key} div 2 - {lo}) div {width} as int)"))), []
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("__bin", path)
+        for heavy in levels:
+            inner = F.expr(f"cast(({key} div 2 - __lo) div __width as int)")
+            df = df.join(F.broadcast(heavy), "__bin", "left").withColumn("__bin", F.when(F.col("__lo").isNull(), F.col("__bin")).otherwise(F.concat("__bin", F.array(inner)))).drop("__lo", "__width")
+        return df
+
+    while True:
+        bins = cut(placed(keys).groupBy("__bin").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")), "next-bins")
+        # at most BINS / 8 bins are so heavy, whatever the data
+        most = max(8 * bucket_rows, 8 * (span["n"] or 0) // BINS)
+        heavy = bins.filter((F.col("n") > most) & F.expr("last div 2 > first div 2")).select("__bin", F.expr("first div 2").alias("__lo"), F.expr(f"(last div 2 - first div 2) div {INNER} + 1").alias("__width"))
+        heavy = cut(heavy, "next-heavy")
+        if heavy.isEmpty():
+            return placed(docs), bins.select("__bin", "n", "first")
+        levels.append(heavy)
+
+
 def with_next(docs: DataFrame, key: str, values: list[str], order: list[str], *, bucket_rows: int = 500) -> DataFrame:
     """docs with __next, a struct of the values of the row after it by key (then
     order); after the last comes the first. Null keys come first.
 
-    Rows meet in buckets of the key's range, about bucket_rows each; a copy of each bucket's first
-    row goes to the bucket before it. No task holds more than a bucket.
+    Rows meet in buckets of the key's range, of about bucket_rows each (more where the
+    count of rows exceeds BINS times that, or a key repeats); a copy of each bucket's first row goes to the
+    bucket before it.
     """
     docs = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)))
-    ids = docs.select("__key").filter(F.col("__key") != FIRST_KEY).agg(F.min("__key").alias("lo"), F.max("__key").alias("hi")).first()
-    lo, width = ids["lo"] or 0, max(((ids["hi"] or 0) - (ids["lo"] or 0)) // BINS + 1, 1)
-    docs = docs.withColumn("__bin", F.when(F.col("__key") == FIRST_KEY, -1).otherwise(F.floor((F.col("__key") - F.lit(lo)) / F.lit(width))).cast("int"))
-    bins = cut(docs.groupBy("__bin").agg(F.count(F.lit(1)).alias("n"), F.min("__key").alias("first")), "next-bins")
+    docs, bins = binned(docs, "__key", bucket_rows)
+    # bins are at most a few times BINS; their running count is one small sort
     before = F.coalesce(F.sum("n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = cut(bins.select("__bin", "first", F.floor(before / bucket_rows).alias("__bucket")), "next-bins")
     heads = bins.groupBy("__bucket").agg(F.min("first").alias("__key"))

@@ -107,6 +107,32 @@ def test_decontamination_against_brute_force(spark, odd, empty):
     assert decontaminate.drop_leaking(odd, bench).columns == odd.columns
 
 
+def test_block_index_finds_all_within_the_radius(spark):
+    """Fingerprints that differ in up to 23 bits share a block value with a neighbour; the leaks of windows
+    at a similarity of barely 0.8 are all found."""
+    r = random.Random(8)
+    pairs = []
+    for i in range(400):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), decontaminate.RADIUS):
+            b ^= 1 << bit
+        pairs.append((i, *(x - (1 << 64) if x >> 63 else x for x in (a, b))))
+    df = spark.createDataFrame(pairs, "i int, a long, b long")
+    F = decontaminate.F
+    assert df.filter(~F.arrays_overlap(decontaminate.blocks("a"), decontaminate.near_blocks("b"))).count() == 0
+    items, texts = [], []
+    for i in range(60):
+        w = words(104, 2000 + i).split()
+        items.append(" ".join(w))
+        for x in (20, 62):  # two changed words cost ten of a hundred shingles: 90 / 110 of them are shared
+            w[x] = f"changed{x}"
+        texts.append(f"{words(7, i)} {' '.join(w)} {words(5, i)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.leaks(docs(spark, texts), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(i, i) for i in range(60)} and all(x.similarity == pytest.approx(90 / 110) for x in found)
+
+
 @pytest.mark.parametrize("weights,seats", [([5, 3, 1], 7), ([1, 1, 1, 1], 6), ([100, 1, 1, 0], 50), ([53, 24, 23], 100), ([0, 0], 4)])
 def test_apportionment_is_sainte_lague(spark, weights, seats):
     df = spark.createDataFrame([(i, float(w), seats) for i, w in enumerate(weights)], "id int, w double, seats int")
@@ -320,15 +346,53 @@ def test_fingerprints(spark, odd, empty):
     assert winnow.fingerprints(odd).count() == odd.count() and winnow.fingerprints(empty).count() == 0
 
 
+def plain_grams(spark, texts):
+    """By text all (hash, place) of its grams and the kept ones, by loops over the words' hashes."""
+    each = spark.createDataFrame([(w,) for w in sorted({w for t in texts for w in (t or "").lower().split()})], "w string")
+    hashed = {r.w: r.h for r in each.select("w", winnow.F.pmod(winnow.F.xxhash64("w"), winnow.F.lit(winnow.PRIME)).alias("h")).collect()}
+    out = []
+    for t in texts:
+        w = [hashed[x] for x in (t or "").lower().split()]
+        grams = [sum(x * winnow.BASE ** (4 - j) for j, x in enumerate(w[i : i + 5])) % winnow.PRIME for i in range(len(w) - 4)]
+        kept = []
+        for i in range(max(len(grams) - 11, 1) if grams else 0):
+            at = max(range(i, min(i + 12, len(grams))), key=lambda j: (-grams[j], j))
+            if not kept or kept[-1] != at:
+                kept.append(at)
+        out.append([(grams[i], i) for i in kept])
+    return out
+
+
 def test_kept_grams_are_rightmost_minima(spark):
-    text = words(90, 5) + " " + " ".join(["same"] * 40)
-    row = docs(spark, [text]).select(winnow.kept(winnow.F.col("text")).alias("kept"), winnow.F.transform(winnow.F.sequence(winnow.F.lit(0), winnow.F.lit(125)), lambda i: winnow.F.shiftrightunsigned(winnow.F.xxhash64(*[winnow.F.get(winnow.words(winnow.F.col("text")), i + j) for j in range(5)]), 33)).alias("h")).first()
-    expected = []
-    for i in range(126 - 12 + 1):
-        at = max(range(i, i + 12), key=lambda j: (-row.h[j], j))
-        if not expected or expected[-1] != at:
-            expected.append(at)
-    assert [(1 << 32) - 1 - (x & ((1 << 32) - 1)) for x in row.kept] == expected
+    texts = [words(90, 5) + " " + " ".join(["same"] * 40), words(16, 6), words(17, 7), words(5, 8), words(12, 9) + "\n" + words(9, 10).upper()]
+    rows = docs(spark, texts).select("doc_id", winnow.kept(winnow.F.col("text")).alias("kept")).orderBy("doc_id").collect()
+    assert [[(x >> 32, (1 << 32) - 1 - (x & ((1 << 32) - 1))) for x in r.kept] for r in rows] == plain_grams(spark, texts)
+
+
+def test_likenesses_against_plain_sets(spark):
+    """near_edited and near_next of every document, recomputed from the texts."""
+    texts = [words(40 + i, i % 7) for i in range(24)] + [None, "", words(5, 3)]
+    after = texts[1:] + texts[:1]
+    edited = [(t or "")[: len(t or "") - len(t or "") // 4] + (n or "")[: len(t or "") // 4] for t, n in zip(texts, after)]
+    sets = [[{h for h, _ in g} for g in plain_grams(spark, x)] for x in (texts, edited, after)]
+    short = lambda t: 0 < len((t or "").split()) < 5
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for r in winnow.fingerprints(docs(spark, texts)).collect():
+        own, changed, nxt = (s[r.doc_id] for s in sets)
+        if not (short(texts[r.doc_id]) or short(edited[r.doc_id])):
+            assert r.near_edited == pytest.approx(like(own, changed))
+        if not (short(texts[r.doc_id]) or short(after[r.doc_id])):
+            assert r.near_next == pytest.approx(like(own, nxt))
+
+
+def test_far_off_ids_do_not_fill_a_bucket(spark):
+    rows = [(i, f"t{i}") for i in range(3000)] + [(1 << 60, "far"), (-(1 << 62), "low"), (None, "none"), (7, "again")] + [((1 << 60) + 5 * i, f"f{i}") for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = winnow.with_next(df, "doc_id", ["text"], ["text"], bucket_rows=20)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert {(r.doc_id, r.text): r["__next"]["text"] for r in got.collect()} == {a: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    _, bins = winnow.binned(df.withColumn("__key", winnow.F.coalesce("doc_id", winnow.F.lit(winnow.FIRST_KEY))), "__key", 20)
+    assert max(r.n for r in bins.collect()) <= 160
 
 
 def test_pseudonyms(spark, odd, empty):
