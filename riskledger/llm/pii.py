@@ -90,12 +90,35 @@ def in_format(original: Column, new: Column) -> Column:
     return F.aggregate(F.split(original, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("i")), put, lambda acc: acc["t"])
 
 
+def card_runs(m: Column) -> Column:
+    """Where Luhn-valid numbers of 13 to 19 digits lie in a match, longest first: array of
+    (length, start) over all runs of its groups of digits."""
+
+    def of(groups: Column) -> Column:
+        ends = F.transform(groups, lambda g, i: F.aggregate(F.slice(groups, F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x) + 1))
+        runs = lambda ends: F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: F.transform(F.slice(ends, i + 1, F.size(ends)), lambda e: let(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)), lambda s: F.struct((e - 1 - s).alias("length"), s.alias("start"))))))
+        valid = lambda r: let(digits(F.substring(m, r["start"] + 1, r["length"])), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+        return let(ends, lambda e: F.sort_array(F.filter(runs(e), valid), asc=False))
+
+    return let(F.split(m, "[ -]"), of)
+
+
 def card(m: Column, key: str) -> Column:
-    """Luhn-valid numbers: the first digit stays, the last is the new check digit."""
-    d = digits(m)
-    body = lambda d: F.concat(F.substring(d, 1, 1), feistel_text(F.substring(d, F.lit(2), F.length(d) - 2), key + "card"))
-    checked = lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))
-    return F.when(luhn_sum(d) % 10 == 0, in_format(m, let(let(d, body), checked))).otherwise(m)
+    """Luhn-valid numbers, with or without other groups of digits beside them: the first digit
+    stays, the last is the new check digit."""
+
+    def changed(number: Column) -> Column:
+        d = digits(number)
+        body = lambda d: F.concat(F.substring(d, 1, 1), feistel_text(F.substring(d, F.lit(2), F.length(d) - 2), key + "card"))
+        checked = lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))
+        return in_format(number, let(let(d, body), checked))
+
+    def replaced(run: Column) -> Column:
+        number = F.substring(m, run["start"] + 1, run["length"])
+        after = run["start"] + run["length"]
+        return F.concat(F.substring(m, F.lit(1), run["start"]), let(number, changed), F.substring(m, after + 1, F.length(m)))
+
+    return let(F.get(card_runs(m), 0), lambda r: F.when(r.isNotNull(), replaced(r)).otherwise(m))
 
 
 def phone(m: Column, key: str) -> Column:
@@ -187,18 +210,23 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, *, key: str, column: str = "text") -> DataFrame:
-    """docs with the personal data in column under pseudonyms, and __found: how many were replaced.
+    """docs with the personal data in column under pseudonyms, and __found: how many were replaced
+    (in place of a column of that name).
 
-    Null and empty texts stay as they are. Nothing is shuffled. Texts without a digit, @ or = are not searched.
+    Null and empty texts stay as they are; very long ones are searched whole. Nothing is shuffled, so
+    order and partitions stay and repeated rows get the same pseudonyms; an empty table stays empty. Where
+    formats could begin at the same place the first of PATTERNS wins. Texts without a digit, @ or = are not searched.
     """
-    text = F.col(column)
-    found = F.when(text.rlike("[0-9@=]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    docs = docs.withColumn("__m", F.coalesce(found, F.expr("cast(array() as array<string>)")))
-    docs = docs.withColumn("__p", F.when(F.size("__m") > 0, F.transform("__m", lambda m: pseudonym(m, key))).otherwise(F.col("__m")))
-    between = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(between, F.col("__p"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__m", "__p", lambda a, b: a != b), lambda x: x))
-    return docs.withColumn("__found", changed).withColumn(column, F.when(F.size("__m") > 0, joined).otherwise(text)).drop("__m", "__p")
+    names = [c for c in docs.columns if c != "__found"]
+    held = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(column).alias("text"))
+    found = F.when(F.col("text").rlike("[0-9@=]"), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))
+    held = held.withColumn("m", F.coalesce(found, F.expr("cast(array() as array<string>)")))
+    held = held.withColumn("p", F.when(F.size("m") > 0, F.transform("m", lambda m: pseudonym(m, key))).otherwise(F.col("m")))
+    between = F.split(F.col("text"), ANY, -1)
+    joined = F.array_join(F.zip_with(between, F.col("p"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with("m", "p", lambda a, b: a != b), lambda x: x))
+    text = F.when(F.size("m") > 0, joined).otherwise(F.col("text"))
+    return held.select(*[(text if c == column else F.col("row")[c]).alias(c) for c in names], changed.alias("__found"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str, key: str = "an example key") -> DataFrame:

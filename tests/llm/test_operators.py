@@ -415,6 +415,118 @@ def test_pseudonyms(spark, odd, empty):
     assert {x.doc_id: x.text for x in same.collect()} == {x.doc_id: x.text for x in odd.collect()} and pii.pseudonymise(empty, key="k").count() == 0
 
 
+def plain_pseudonyms(text, key):
+    """The same formats searched, checked and permuted by loops over characters and numbers."""
+    import datetime
+
+    import regex
+
+    prf = lambda k, *parts: int(hashlib.sha256("|".join([k, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+    def numbers(x, a, b, k):
+        left, right = divmod(x, b)
+        for r in range(pii.ROUNDS):
+            left = (left + prf(k, 2 * r, right)) % a
+            right = (right + prf(k, 2 * r + 1, left)) % b
+        return left * b + right
+
+    def characters(s, k):
+        kinds = (("0", "9", 10), ("a", "z", 26), ("A", "Z", 26))
+
+        def moved(half, by, r):
+            out = ""
+            for i, c in enumerate(half):
+                for lo, hi, n in kinds:
+                    if lo <= c <= hi:
+                        c = chr((ord(c) - ord(lo) + prf(k, r, by, i, len(half))) % n + ord(lo))
+                        break
+                out += c
+            return out
+
+        cut = (len(s) + 1) // 2
+        left, right = s[:cut], s[cut:]
+        for r in range(pii.ROUNDS):
+            left = moved(left, right, 2 * r)
+            right = moved(right, left, 2 * r + 1)
+        return left + right
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+
+    def filled(old, new):
+        new = iter(new)
+        return "".join(next(new) if c.isdigit() else c for c in old)
+
+    def card(m):
+        groups = [x.span() for x in regex.finditer(r"\d+", m)]
+        runs = sorted(((b - a, a) for i, (a, _) in enumerate(groups) for _, b in groups[i:]), reverse=True)
+        for n, a in runs:
+            d = regex.sub(r"\D", "", m[a : a + n])
+            if 13 <= len(d) <= 19 and luhn(d) % 10 == 0:
+                body = d[0] + characters(d[1:-1], key + "card")
+                return m[:a] + filled(m[a : a + n], body + str(-luhn(body + "0") % 10)) + m[a + n :]
+        return m
+
+    def phone(m):
+        d = regex.sub(r"\D", "", m)
+        return filled(m, d[:-10] + f"{numbers(int(d[-10:]), 100_000, 100_000, key + 'phone'):010d}")
+
+    def ssn(m):
+        area, group, serial = map(int, m.split("-"))
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return m
+        y = numbers(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key + "ssn")
+        top = y // (99 * 9999) + 1
+        return f"{top + (top >= 666):03d}-{y // 9999 % 99 + 1:02d}-{y % 9999 + 1:04d}"
+
+    def ipv4(m):
+        parts = list(map(int, m.split(".")))
+        if max(parts) > 255:
+            return m
+        y = numbers(int.from_bytes(bytes(parts), "big"), 65536, 65536, key + "ipv4")
+        return ".".join(map(str, y.to_bytes(4, "big")))
+
+    def date(m):
+        for fmt in ("%Y-%m-%d", f"%d{m[2]}%m{m[2]}%Y", f"%m{m[2]}%d{m[2]}%Y"):
+            if fmt.startswith("%Y") != (m[4] == "-"):
+                continue
+            try:
+                x = (datetime.datetime.strptime(m, fmt).date() - datetime.date(1900, 1, 1)).days
+            except ValueError:
+                continue
+            if not 0 <= x < pii.DAYS[0] * pii.DAYS[1]:
+                return m
+            return (datetime.date(1900, 1, 1) + datetime.timedelta(days=numbers(x, *pii.DAYS, key + "date"))).strftime(fmt)
+        return m
+
+    def tail(prefix, kind):
+        return lambda m: (p := regex.match(prefix, m)[0]) + characters(m[len(p) :], key + kind)
+
+    change = {
+        "email": lambda m: characters(m.split("@")[0], key + "email") + "@" + m.split("@")[1], "access_key": tail("AKIA|ASIA", "access_key"), "password": tail(r"[A-Za-z_]+[ \t]*=[ \t]*[\"']?", "password"),
+        "date": date, "phone": phone, "ssn": ssn, "card": card, "ipv4": ipv4, "iban": lambda m: m,
+    }
+    any_kind = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()), regex.ASCII)
+    return any_kind.sub(lambda m: change[m.lastgroup](m[0]), text)
+
+
+def test_pseudonyms_against_a_plain_version(spark):
+    r = random.Random(11)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: f"4111 1111 1111 {digits(4)}", lambda: "4111-1111-1111-1111", lambda: "4111 1111 1111 1111 123", lambda: "4111 1111 1111 1111 12/25", lambda: "77 5500 0000 0000 0004", lambda: digits(r.randint(12, 20)),
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{r.randint(1880, 2210)}-{r.randint(0, 13):02d}-{r.randint(0, 32):02d}",
+        lambda: f"{r.randint(0, 32):02d}/{r.randint(0, 32):02d}/{r.randint(1880, 2210)}", lambda: ".".join(str(r.randint(0, 270)) for _ in range(4)), lambda: f"a{digits(2)}.b@ex-{digits(1)}.org", lambda: "AKIA" + "".join(r.choice("AB09") for _ in range(16)),
+        lambda: f"token = '{digits(8)}x'", lambda: f"pwd={digits(7)}", lambda: "token = name", lambda: "v1.2.3", lambda: "word", lambda: "=", lambda: "@", lambda: "GB82",
+    ]
+    texts = ["".join(r.choice(makers)() + r.choice([" ", ", ", "\n", "; ", " x ", "-", "."]) for _ in range(r.randint(1, 8))) for _ in range(400)]
+    got = pii.pseudonymise(docs(spark, texts), key="k").orderBy("doc_id").collect()
+    assert [x.text for x in got] == [plain_pseudonyms(t, "k") for t in texts]
+    assert all((x["__found"] > 0) == (x.text != t) for x, t in zip(got, texts))
+    kept = pii.pseudonymise(docs(spark, texts[:3]).withColumn("m", pii.F.lit(1)).withColumn("p", pii.F.lit(2)).withColumn("row", pii.F.lit(3)).withColumn("__m", pii.F.lit(4)), key="k")
+    assert {(x.m, x.p, x.row, x["__m"]) for x in kept.collect()} == {(1, 2, 3, 4)}
+
+
 def test_line_dedup(spark, odd, empty):
     run = words(55, 9)
     lines = "\n".join(words(11, 50 + i) for i in range(5))
