@@ -91,8 +91,18 @@ def mix(docs: DataFrame, *, size: str, weights: tuple[float, ...] = (5, 2, 1), m
     sources by target and to shards by size. A shard takes whole passes over its
     blocks, then a seeded cyclic run of the rest; a document gets the words of
     its blocks, at most max_epochs times its size. Null sources are one source,
-    null sizes are 0; repeated rows count each; an empty table stays empty.
+    null sizes are 0; a very long document is a shard's larger part, no more; repeated rows count each; an
+    empty table stays empty. Columns of docs keep their values, but for those that the result adds.
     """
+    added = ["__size", "__source_size", "__target", "__taken"]
+    names = [c for c in docs.columns if c not in added]
+    docs = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), "doc_id", "source", F.col(size).alias("size"))
+    docs = _mixed(docs, size="size", weights=weights, max_epochs=max_epochs, block_words=block_words, shard_docs=shard_docs, max_shards=max_shards, seed=seed)
+    return docs.select(*[F.col("row")[c].alias(c) for c in names], *added)
+
+
+def _mixed(docs: DataFrame, *, size: str, weights: tuple[float, ...], max_epochs: int, block_words: int, shard_docs: int, max_shards: int, seed: int) -> DataFrame:
+    """mix, for rows of its own columns."""
     docs = docs.withColumn("__size", F.coalesce(F.col(size), F.lit(0)).cast("long")).withColumn("__hash", F.xxhash64(F.lit(seed), "doc_id", "__size"))
     sources = docs.groupBy(F.col("source").alias("__source")).agg(F.sum("__size").alias("__source_size"), F.count(F.lit(1)).alias("__n"))
     sources = targets(sources, weights, max_epochs)
@@ -129,12 +139,12 @@ def mix(docs: DataFrame, *, size: str, weights: tuple[float, ...] = (5, 2, 1), m
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it: the words taken by the
-    row's size, rounded. Rows without words are kept once (they weigh nothing)."""
+    row's size, rounded. Rows without words are kept once (they weigh nothing); all columns stay."""
     names = docs.columns
-    sized = docs.withColumn("__words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)))
-    mixed = mix(sized, size="__words", **options)
+    sized = docs.select(F.struct(*[F.col(c) for c in names]).alias("held"), "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("words"))
+    mixed = mix(sized, size="words", **options)
     times = F.when(F.col("__size") == 0, 1).otherwise(F.floor(F.col("__taken") / F.col("__size") + 0.5))
-    return mixed.withColumn("__times", times.cast("int")).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    return mixed.withColumn("__times", times.cast("int")).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col("held")[c].alias(c) for c in names])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
