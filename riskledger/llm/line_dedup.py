@@ -150,7 +150,7 @@ def sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, removed_words): texts without the runs that came before.
+    """(doc_id, text, removed_words): texts without the runs that came before, very long texts whole.
 
     Order is by doc_id, then place. Every run of 50 words or more that an
     earlier place has is found, wherever it starts and however its lines break, and shorter ones from
@@ -172,7 +172,10 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     seeds = cut(seeds.groupBy("key", "from_id").agg(F.collect_set(F.struct("at", "from")).alias("seeds")), "lines-seeds")
     mine = sieved(own.select("key", "words"), "key", seeds).filter("__maybe").drop("__maybe")
     others = sieved(own.select(F.col("doc_id").alias("from_id"), F.col("words").alias("others")), "from_id", seeds).filter("__maybe").drop("__maybe")
-    runs = seeds.join(mine, "key").join(others, "from_id").select("key", "words", "others", "seeds").mapInPandas(extend, "key long, start int, end int")
+    # a document whose passage most others repeat goes to them by broadcast
+    asked = seeds.groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lookup(seeds.join(mine, "key"), others.groupBy("from_id").agg(F.collect_set("others").alias("others")).join(asked, "from_id"), "from_id", "n", total=seeds.count(), hot_keys=64)
+    runs = pairs.select("key", "words", F.explode("others").alias("others"), "seeds").mapInPandas(extend, "key long, start int, end int")
     runs = cut(runs.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "lines-runs")
     docs = sieved(docs, "key", runs)
     touched = docs.filter("__maybe").join(runs, "key", "left").select("doc_id", "text", "runs")

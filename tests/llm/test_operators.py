@@ -540,6 +540,65 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.deduplicate_lines(empty).count() == 0
 
 
+def test_line_dedup_against_brute_force(spark):
+    """Every word of a run of 50 that an earlier place has goes, but for up to 15 at an end; nothing goes
+    that no earlier place has in a run of 35."""
+    r = random.Random(21)
+    pool = [words(r.randint(50, 140), 3000 + i).split() for i in range(12)]
+
+    def flowed(w):
+        out, at = [], 0
+        while at < len(w):
+            n = r.randint(3, 14)
+            out.append(" ".join(w[at : at + n]))
+            at += n
+        return "\n".join(out)
+
+    texts = []
+    for i in range(60):
+        parts = []
+        for j in range(r.randint(1, 4)):
+            parts.append(words(r.randint(1, 40), 5000 + 10 * i + j).split())
+            if r.random() < 0.6:
+                passage = r.choice(pool)
+                a = r.randint(0, max(0, len(passage) - 60))
+                parts.append(passage[a:] if r.random() < 0.5 else passage)
+        texts.append(flowed([x for p in parts for x in p]))
+    texts += [words(20, 7), words(20, 7), "short line"] * 2
+
+    def earlier(n):
+        """By text and word whether it lies in a run of n words that begins at an earlier place."""
+        first, out = {}, []
+        for d, t in enumerate(texts):
+            w = t.lower().split()
+            marks = [False] * len(w)
+            for i in range(len(w) - n + 1):
+                if first.setdefault(tuple(w[i : i + n]), (d, i)) < (d, i):
+                    marks[i : i + n] = [True] * n
+            out.append(marks)
+        return out
+
+    must, may = earlier(50), earlier(35)
+    rows = line_dedup.deduplicate_lines(docs(spark, texts)).orderBy("doc_id").collect()
+    wanted = removed = 0
+    for x, t, deep, wide in zip(rows, texts, must, may):
+        own, left = t.split(), x.text.split()
+        assert x.removed_words == len(own) - len(left) and x.removed_words <= sum(wide)
+        rest = iter(own)
+        assert all(w in rest for w in left)  # what is left stays in order
+        wanted += sum(deep)
+        removed += min(x.removed_words, sum(deep))
+    assert wanted > 2000 and removed >= 0.97 * wanted
+
+
+def test_line_dedup_of_one_id_with_several_texts(spark):
+    run, rows = words(60, 41), []
+    for i, t in ((1, f"{words(5, 1)} {run}"), (1, words(70, 42)), (2, f"{run} tail"), (3, words(70, 42))):
+        rows.append((i, t))
+    got = line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.removed_words) for x in got) == [(1, 0), (1, 0), (2, 60), (3, 70)]
+
+
 def test_pitman_yor(spark, odd, empty):
     F = pitman_yor.F
     vocabulary = words(300, 1).split()
