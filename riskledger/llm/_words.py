@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,13 +11,21 @@ import pyarrow as pa
 
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
-_powers: dict[int, list[np.ndarray]] = {}
+_powers: dict[int, np.ndarray] = {}
+SLICE_BYTES, KEPT_POWERS = 1_000_000, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 
 
+def trim() -> None:
+    """Give freed memory back to the system (where the C library can): workers live on between stages."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit hashes (uint64) over all bits."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -25,12 +34,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base, [np.ones(1, np.uint64)])[0]
-    if have.size < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
+    """Powers of base; those up to a slice's usual size are kept."""
+    have = _powers.get(base)
+    if have is None or have.size < n:
+        have = np.full(max(n, KEPT_POWERS), base, np.uint64)
         have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        _powers[base] = [have]
+        np.cumprod(have, out=have)
+        if have.size == KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 
@@ -43,7 +54,7 @@ def inverse_powers(n: int) -> np.ndarray:
     return _power(_INV, n)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about most_bytes of text each; a longer text is alone."""
     if not batch.num_rows:
         return
@@ -68,6 +79,17 @@ class Words:
     raw: np.ndarray
 
 
+def running_hash(raw: np.ndarray) -> np.ndarray:
+    """Sums of the bytes times powers of the hash base, before each byte and after the last; computed in place."""
+    total = np.zeros(raw.size + 1, np.uint64)
+    part = total[1:]
+    part += raw
+    part += np.uint64(1)
+    part *= powers(raw.size)
+    np.cumsum(part, out=part)
+    return total
+
+
 def word_hashes(text: pa.StringArray) -> Words:
     """All words of the texts; null texts have none."""
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
@@ -83,7 +105,7 @@ def word_hashes(text: pa.StringArray) -> Words:
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]
     after = np.concatenate([space[1:], [True]]) | edge[1:]
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers(n), dtype=np.uint64)])
+    total = running_hash(_LOWER[raw])
     h = mix((total[end] - total[start]) * inverse_powers(n)[start] + (end - start).astype(np.uint64))
     return Words(h, np.searchsorted(offsets, start, "right") - 1, start, end, raw)
 

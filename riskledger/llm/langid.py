@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskledger.llm._common import table
+from riskledger.llm._words import trim
 
 #: Bounds of the training sample: documents of a language (about: by a threshold on the
 #: text's hash; never more than twice as many), characters of a document that may enter it, and
@@ -293,6 +294,7 @@ def identify(docs: DataFrame, fitted: Fitted) -> DataFrame:
         import pandas as pd
 
         lang, score, fits = shared.value.models.predict(["" if t is None else t for t in text])
+        trim()
         return pd.DataFrame({"lang_pred": lang, "score": score, "fit": fits})
 
     return docs.withColumn("__language", predict(F.col("text").cast("string")))

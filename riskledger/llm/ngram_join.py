@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskledger.llm._common import cut, discard, lookup, table
-from riskledger.llm._words import shingle_hashes, slices
+from riskledger.llm._words import shingle_hashes, slices, trim
 
 #: Size of the table of shingle counts (by hash), in bits; the table is summed in SLICES.
 COUNT_BITS, SLICES = 22, 64
@@ -96,6 +96,7 @@ def count_pass(k: int):
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([False] * n), batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(signs, pa.string()), none(n, pa.int32()), none(n, pa.binary())], names)
         parts = np.split(counts, SLICES)
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([True] * SLICES), none(SLICES, pa.int64()), none(SLICES, pa.int64()), none(SLICES, pa.string()), pa.array(range(SLICES), pa.int32()), pa.array([packed(p) for p in parts], pa.binary())], names)
 
     names = ["counts", "doc_id", "n", "sign", "slice", "sums"]
@@ -165,6 +166,7 @@ def head_pass(k: int, percent: int, shared):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([h.size for h in heads])]).astype(np.int32)), pa.array(np.concatenate(heads)))
                 ends = pa.array(np.concatenate([[0], np.cumsum([b.size for b in bits])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(signs, pa.string()), pa.array(sizes, pa.int64()), lists, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits)))], ["doc_id", "sign", "n", "head", "parity"])
+        trim()
 
     return run
 
@@ -189,6 +191,7 @@ def fragment_pass(k: int, shared):
                 if ids:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([p.size for p in parts])]).astype(np.int32)), pa.array(np.concatenate(parts)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(frags, pa.int32()), lists], ["rep", "n", "fragment", "part"])
+        trim()
 
     return run
 

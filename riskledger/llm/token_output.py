@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskledger.llm._common import scratch, table
-from riskledger.llm._words import SPACES, inverse_powers, mix, powers, slices
+from riskledger.llm._words import SPACES, inverse_powers, mix, running_hash, slices, trim
 
 ORC = {
     "compression": "zstd",
@@ -55,7 +55,7 @@ def pieces(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     first[1:] |= (space[1:] & ~space[:-1]) | (letter[:-1] & _SIGN[raw[1:]])
     start = np.flatnonzero(first)
     end = np.append(start[1:], n)[: start.size]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(n), dtype=np.uint64)])
+    total = running_hash(raw)
     h = mix((total[end] - total[start]) * inverse_powers(n)[start] + (end - start).astype(np.uint64))
     return h, np.searchsorted(offsets, start, "right") - 1, start, end, raw
 
@@ -175,11 +175,12 @@ def encode_partition(path: str, end_id: int, cache_pieces: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch["part"], pa.array(start + ends - sizes), batch["doc_id"], pa.array(sizes), lists], ["part", "start_in_part", "doc_id", "n_tokens", "ids"])
                 start += int(ends[-1])
+            trim()
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, cache_pieces: int = 2_000_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, cache_pieces: int = 600_000) -> None:
     """Encode docs (doc_id, text; other columns are not read) and write them.
 
     Each file holds a range of doc_id in ascending order (null ids first, equal
