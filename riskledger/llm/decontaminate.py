@@ -2,11 +2,11 @@
 
 A document leaks a benchmark item when one of its windows of the item's size has a
 weighted similarity of 0.8 or more to it: over five-word shingles, the sum of the
-smaller counts through that of the larger ones. For each size that items have, windows
-that start at a shingle of the benchmark and hold enough such shingles, of whatever items,
-get SimHash fingerprints (no other window can be the first of the best ones). An index of
-eight blocks of bits finds all items of that size within the radius, and the exact
-similarity decides.
+smaller counts through that of the larger ones. For each size of an item that has enough
+shingles in the document, windows of that size that start at a benchmark shingle and hold
+enough of them, of whatever items, get SimHash fingerprints (no other window can be the
+first of the best ones). An index of eight blocks of bits finds all items of that size
+within the radius, and the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -77,17 +77,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8, radius:
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     items = benchmark.select("item_id", shingles(F.col("text")).alias("item")).withColumn("k", F.size("item")).filter("k > 0").dropDuplicates(["item_id", "item"])
     items = cut(items.withColumn("mark", simhash("item")), "leak-items")
-    wanted = small(items.select(F.explode("item").alias("shingle")).distinct())
+    wanted = small(items.select("item_id", "k", F.explode(F.array_distinct("item")).alias("shingle")))
     placed = docs.select("doc_id", "text_hash", shingles(F.col("text")).alias("own"))
     placed = placed.select("doc_id", "text_hash", F.size("own").alias("n"), F.posexplode("own").alias("at", "shingle"))
-    hits = cut(placed.join(wanted, "shingle").select("doc_id", "text_hash", "n", "at"), "leak-hits")
-    hits = hits.groupBy("doc_id", "text_hash", "n").agg(F.array_sort(F.collect_set("at")).alias("p"))
+    hits = cut(placed.join(wanted, "shingle").select("doc_id", "text_hash", "n", "item_id", "k", "at"), "leak-hits")
+    m, one = F.least("k", "n"), ["doc_id", "text_hash", "n"]
+    need = F.ceil((F.col("k") + m) * (least / (1 + least)) - 1e-9).cast("int")
+    # sizes of which an item has enough shingles in the document, and where all such items have theirs
+    enough = hits.groupBy(*one, "item_id", "k").agg(F.collect_set("at").alias("p")).filter(F.size("p") >= need)
+    hits = enough.groupBy(*one).agg(F.collect_set("k").alias("sizes"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("p")))).alias("p"))
     # windows of size m with at least need hits, each started at its first hit
-    sizes = F.broadcast(items.agg(F.array_sort(F.collect_set("k")).alias("sizes")))  # one row
-    m = lambda k: F.least(k, F.col("n"))
-    need = lambda k: F.ceil((k + m(k)) * (least / (1 + least)) - 1e-9).cast("int")
-    fitting = F.filter("sizes", lambda k: F.size("p") >= need(k))
-    hits = hits.crossJoin(sizes).select("doc_id", "text_hash", "n", "p", F.explode(fitting).alias("k")).withColumn("m", m(F.col("k"))).withColumn("need", need(F.col("k")))
+    hits = hits.select(*one, "p", F.explode("sizes").alias("k")).withColumn("m", m).withColumn("need", need)
     starts = F.expr("transform(filter(sequence(0, size(p) - need), i -> p[i + need - 1] - p[i] < m), i -> least(p[i], n - m))")
     found = hits.select("doc_id", "text_hash", "k", "m", F.explode(F.array_distinct(starts)).alias("start"))
     found = cut(found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("k", "m", "start")).alias("windows")), "leak-windows")
