@@ -73,9 +73,9 @@ def average_ranks(df: DataFrame, value: str, out: str, groups: list[str] | None
     groups = groups or []
     names = [f"__g{i}" for i in range(len(groups))]
     counts = df.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranks = written(running_totals(counts, [*names, "__v"], {"__upto": "__c"}, "__r"), "values")
-    base = F.lit(0)
+    ranks, base = running_totals(counts, [*names, "__v"], {"__upto": "__c"}, "__r"), F.lit(0)
     if groups:
+        ranks = written(ranks, "values")
         first = ranks.groupBy(*[F.col(n).alias(f"{n}f") for n in names]).agg(F.min(F.col("__upto") - F.col("__c")).alias("__base"))
         ranks, base = ranks.join(first, [F.col(n).eqNullSafe(F.col(f"{n}f")) for n in names]), F.col("__base")
     ranks = ranks.select(*names, "__v", (F.col("__upto") - base - (F.col("__c") - 1) / 2).alias(out))
