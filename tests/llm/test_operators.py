@@ -693,7 +693,7 @@ def in_slices(word, context, count, buckets, n_slices, vocabulary, sweeps, avera
         if i >= sweeps - averaged:
             for s, names in parts:
                 for u in np.unique(context).tolist():
-                    for w, x in zip([*names.tolist(), None], s.probability(np.arange(names.size + 1), np.full(names.size + 1, u), now, seats)):
+                    for w, x in zip([*names.tolist(), None], s.view(now, seats).probability(np.arange(names.size + 1), np.full(names.size + 1, u))):
                         mean[u, w] += x / averaged if w is not None else 0
                         mean[u, None] = x if w is None else mean[u, None]  # an unknown word
     return mean
