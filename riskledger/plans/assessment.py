@@ -69,7 +69,7 @@ counts AS (SELECT company_key, count(*) AS inspections, sum(n_violations) AS vio
 cites AS (SELECT company_key, standard, count(*) AS n FROM inspections JOIN violations USING (activity_nr) WHERE delete_flag IS DISTINCT FROM 'X' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY company_key ORDER BY n DESC, standard) <= 3),
 cited AS (SELECT company_key, string_agg(standard || ' (' || n || ')', ', ' ORDER BY n DESC, standard) AS cited FROM cites GROUP BY 1),
 assessed AS (SELECT c.company_key, round_even(weighted_score, 1) AS risk_score, round_even(100 * (SELECT count(*) FROM scored WHERE score <= round_even(weighted_score, 1)) / (SELECT count(*) FROM scored), 1) AS percentile_rank,
-  recommendation, 0.9 AS confidence, systemic, sites, concentration, industry_group IS NULL AS missing_naics, coalesce(stats_group, industry_group) AS industry_group, CASE WHEN industry_group IS NULL THEN 'Unknown' ELSE {LABEL('coalesce(stats_group, industry_group)')} END AS industry_label,
+  recommendation, CAST(0.9 AS DOUBLE) AS confidence, systemic, sites, concentration, industry_group IS NULL AS missing_naics, coalesce(stats_group, industry_group) AS industry_group, CASE WHEN industry_group IS NULL THEN 'Unknown' ELSE {LABEL('coalesce(stats_group, industry_group)')} END AS industry_label,
   industry_percentile, comparison, {WARNINGS}, inspections, violations, penalties, willful, repeat, serious_or_worse, accidents, fatalities, recent, cited
   FROM companies c JOIN peers USING (company_key) JOIN counts USING (company_key) JOIN {RANGES} USING (company_key) LEFT JOIN cited USING (company_key))"""
 
