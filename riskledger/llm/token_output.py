@@ -175,12 +175,12 @@ def encode_partition(path: str, end_id: int, cache_pieces: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch["part"], pa.array(start + ends - sizes), batch["doc_id"], pa.array(sizes), lists], ["part", "start_in_part", "doc_id", "n_tokens", "ids"])
                 start += int(ends[-1])
-            trim()
+                trim()
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, cache_pieces: int = 600_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, cache_pieces: int = 300_000) -> None:
     """Encode docs (doc_id, text; other columns are not read) and write them.
 
     Each file holds a range of doc_id in ascending order (null ids first, equal
