@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskledger.llm.conversation_repair import op12_conversation_repair
 from riskledger.llm.decontaminate import op1_decontamination
 from riskledger.llm.langid import op10_language_id
 from riskledger.llm.line_dedup import op6_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
