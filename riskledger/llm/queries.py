@@ -6,6 +6,7 @@ from riskledger.llm.conversation_repair import op12_conversation_repair
 from riskledger.llm.decontaminate import op1_decontamination
 from riskledger.llm.langid import op10_language_id
 from riskledger.llm.line_dedup import op6_line_dedup
+from riskledger.llm.minhash_dedup import OP11_SQL, op11_minhash_dedup
 from riskledger.llm.mixing import op3_mixing
 from riskledger.llm.ngram_join import OP9_SQL, op9_ngram_jaccard_join
 from riskledger.llm.pii import op2_pii
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op11_minhash_dedup": op11_minhash_dedup,
     "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
+    "op11_minhash_dedup": OP11_SQL,
 }
