@@ -11,6 +11,7 @@ from riskledger.llm.mixing import op3_mixing
 from riskledger.llm.ngram_join import OP9_SQL, op9_ngram_jaccard_join
 from riskledger.llm.pii import op2_pii
 from riskledger.llm.pitman_yor import op5_pitman_yor
+from riskledger.llm.source_audit import OP13_SQL, op13_source_audit
 from riskledger.llm.token_output import op8_token_output
 from riskledger.llm.warc import OP7_SQL, op7_warc
 from riskledger.llm.winnow import op4_fingerprints
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_minhash_dedup": op11_minhash_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
     "op11_minhash_dedup": OP11_SQL,
+    "op13_source_audit": OP13_SQL,
 }
