@@ -7,8 +7,9 @@ all shingles into one bin each, so none stays empty, and the share of equal coor
 their similarity as closely as independent draws would.
 
 Sketches are cut into bands; sets that agree on a band are candidates, and those whose overlap is
-enough, counted on the full sets, are links. A band's documents are first compared with one leader only;
-then those outside the band's largest component with the others, so copies never meet pair by pair.
+enough, counted on the full sets, are links. A band's documents are first compared with one leader, and, as long
+as that joins many, with new leaders; only then those outside the band's largest component with all others, once
+a pair. So copies never meet pair by pair.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ COORDINATES = BANDS * ROWS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Candidates go unverified only if so few coordinates agree that a link has that few with less than this probability.
 LOSS = 1e-9
+#: Leaders are drawn anew while the pairs that are left are more than so many for each row of a band, and half of them went.
+PAIRS_A_ROW = 4
 #: Fragments of the sets in which overlaps are counted, and text that a task sketches at once.
 FRAGMENTS, SLICE_BYTES = 8, 4_000_000
 
@@ -70,8 +73,10 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 
 
 def bytes_of(sketch: np.ndarray) -> np.ndarray:
-    """A byte of each coordinate, eight in a long."""
-    return (mix(sketch) & np.uint64(0xFF)).astype(np.uint8).view(np.int64)
+    """A byte of each coordinate, those of a band in one long."""
+    out = np.zeros((len(sketch), BANDS, 8), np.uint8)
+    out[:, :, :ROWS] = (mix(sketch) & np.uint64(0xFF)).reshape(len(sketch), BANDS, ROWS)
+    return out.reshape(len(sketch), BANDS * 8).view(np.int64)
 
 
 def least_agreement(percent: int) -> int:
@@ -120,6 +125,11 @@ def agreeing(x: Column, y: Column) -> Column:
 MASKS = {4: 0x0F0F0F0F0F0F0F0F, 2: 0x3F3F3F3F3F3F3F3F, 1: 0x7F7F7F7F7F7F7F7F}
 
 
+def first_band(x: Column, y: Column) -> Column:
+    """The first band, from 0, of which all bytes agree."""
+    return F.array_position(F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b)), F.lit(0).cast("long")) - 1
+
+
 def near(m: Column, n: Column, percent: int) -> Column:
     """Whether sets of sizes m and n could link."""
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
@@ -132,6 +142,38 @@ def likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.filter(agreeing(F.col("__a"), F.col("__b")) >= least_agreement(percent)).select("a", "b", "na", "nb").distinct()
 
 
+def stars(rows: DataFrame, leader: str, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of each row's leader (a struct of rep and n) and the row itself, where their sizes allow a link."""
+    a, n = F.col(f"{leader}.rep"), F.col(f"{leader}.n")
+    some = rows.filter((a != F.col("rep")) & near(n, F.col("n"), percent))
+    return some.select(a.alias("a"), F.col("rep").alias("b"), n.alias("na"), F.col("n").alias("nb")).distinct()
+
+
+def unsettled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows (key, band, rep, n) of keys with several components, with their component and the key's largest one (main)."""
+    own = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    own = cut(own.withColumn("component", F.coalesce("component", "rep")), "minhash-own")
+    parts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("__c")).groupBy("key")
+    several = parts.agg(F.max(F.struct("__c", "component")).alias("__most"), F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__parts")).filter("__parts > 1")
+    several = cut(several.select("key", F.col("__most.component").alias("main"), "__n"), "minhash-several")
+    out = cut(lookup(own, several, "key", "__n").filter("main is not null").drop("__n"), "minhash-mixed")
+    discard(own, several)
+    return out
+
+
+def new_leaders(mixed: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs of each row with two leaders of its key, drawn by hash for the round: one of the main component and one
+    of the others. A row does not meet a leader of its own component."""
+    drawn, inside = F.xxhash64("rep", F.lit(number)), F.col("component") == F.col("main")
+    best = lambda some: F.min(F.when(some, F.struct(drawn.alias("drawn"), "rep", "n", "component")))
+    leaders = cut(mixed.groupBy("key").agg(best(inside).alias("one"), best(~inside).alias("two"), F.count(F.lit(1)).alias("__n")), "minhash-leaders")
+    led = cut(lookup(mixed, leaders, "key", "__n"), "minhash-led")
+    sides = [stars(led.filter(F.col(f"{s}.component") != F.col("component")), s, percent) for s in ("one", "two")]
+    out = cut(sides[0].union(sides[1]).distinct(), "minhash-led-pairs")
+    discard(leaders, led)
+    return out
+
+
 def with_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text; other columns are not read).
 
@@ -148,36 +190,35 @@ def with_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     some = sketched.filter("sign is not null and doc_id is not null")
     classes = cut(some.groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in ("n", "bands", "bytes")]), "minhash-classes")
     bits = classes.select("rep", "n", "bytes")
-    rows = classes.select("rep", "n", F.explode("bands").alias("key"))
+    rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = cut(rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "minhash-shared")
     found = cut(rows.join(shared.drop("__n"), "key"), "minhash-rows")
     # the sets are cut into fragments by their hashes, evenly
     fragments = np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(55 - FRAGMENTS.bit_length() + 1)
     whole = spark.sparkContext.broadcast((np.zeros(1 << COUNT_BITS, np.uint8), fragments))
-    stars = found.filter((F.col("leader.rep") != F.col("rep")) & near(F.col("leader.n"), F.col("n"), percent))
-    stars = stars.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb")).distinct()
-    stars = cut(likely(stars, bits, percent), "minhash-stars")
-    edges = links(stars, docs, k, percent, whole)
-    label = components(edges, "minhash")
-    # what is left: pairs of different components in one band
-    own = found.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    own = cut(own.withColumn("component", F.coalesce("component", "rep")), "minhash-own")
-    parts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("__c")).groupBy("key")
-    several = parts.agg(F.max(F.struct("__c", "component")).alias("__most"), F.sum("__c").alias("__n"), F.count(F.lit(1)).alias("__parts")).filter("__parts > 1")
-    several = cut(several.select("key", F.col("__most.component").alias("main"), "__n"), "minhash-several")
-    mixed = lookup(own, several, "key", "__n").filter("main is not null").drop("__n")
-    mixed = cut(mixed.join(bits, ["rep", "n"]), "minhash-mixed")
-    discard(shared, found, own, several)
-    x, y = mixed.filter("component != main").alias("x"), mixed.alias("y")
-    c = F.col
-    once = (c("y.component") == c("y.main")) | (c("x.rep") < c("y.rep"))
+    edges = links(cut(likely(stars(found, "leader", percent), bits, percent), "minhash-stars"), docs, k, percent, whole)
+    label, left, number = components(edges, "minhash"), None, 0
+    while True:
+        mixed = unsettled(found.select("key", "band", "rep", "n"), label)
+        here = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("component") != F.col("main")).cast("long")).alias("apart"))
+        pairs, size = here.agg(F.sum(F.col("all") * F.col("apart")), F.sum("all")).first()
+        if not size or pairs <= PAIRS_A_ROW * size or (left is not None and 2 * pairs > left):
+            break
+        left, number = pairs, number + 1
+        more = links(cut(likely(new_leaders(mixed, number, percent), bits, percent), "minhash-stars"), docs, k, percent, whole)
+        edges = edges.union(more)
+        label = components(edges, "minhash")
+        discard(mixed)
+    mixed = cut(mixed.join(bits, ["rep", "n"]), "minhash-last")
+    x, y, c = mixed.filter("component != main").alias("x"), mixed.alias("y"), F.col
+    once = ((c("y.component") == c("y.main")) | (c("x.rep") < c("y.rep"))) & (first_band(c("x.bytes"), c("y.bytes")) == c("x.band"))
     enough = agreeing(c("x.bytes"), c("y.bytes")) >= least_agreement(percent)
-    pairs = x.join(y, (c("x.key") == c("y.key")) & (c("x.component") != c("y.component")) & once & near(c("x.n"), c("y.n"), percent) & enough)
+    pairs = x.join(y, (c("x.key") == c("y.key")) & (c("x.component") != c("y.component")) & near(c("x.n"), c("y.n"), percent) & once & enough)
     low = c("x.rep") < c("y.rep")
     pairs = pairs.select(*[F.when(low, c(p)).otherwise(c(q)).alias(o) for p, q, o in (("x.rep", "y.rep", "a"), ("y.rep", "x.rep", "b"), ("x.n", "y.n", "na"), ("y.n", "x.n", "nb"))]).distinct()
     pairs = cut(pairs, "minhash-pairs")
     more = links(pairs, docs, k, percent, whole)
-    discard(mixed, stars, pairs)
+    discard(shared, found, mixed, pairs)
     if not more.isEmpty():
         label = components(edges.union(more), "minhash")
     named = cut(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"), "__n"), "minhash-named")

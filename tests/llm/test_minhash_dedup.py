@@ -71,6 +71,20 @@ def test_chains_and_two_groups_of_one_band(spark):
     assert {tuple(r) for r in M.with_components(spark.createDataFrame(docs, SCHEMA), k=3, percent=85).collect()} == plain(docs, 3, 85)
 
 
+def test_a_large_group_whose_members_link_in_part(spark):
+    """Near copies around a text that is not among them: few link to any one leader, all to some."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(900):
+        words = list(base)
+        for at in rng.sample(range(0, 120, 3), rng.choice([1, 1, 2, 3, 4])):
+            words[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(words)))
+    got = {tuple(r) for r in M.with_components(spark.createDataFrame(docs, SCHEMA).repartition(4), k=3, percent=85).collect()}
+    assert got == plain(docs, 3, 85)
+
+
 def test_a_star_of_many_near_copies(spark):
     base = " ".join(f"w{i}" for i in range(60))
     docs = [(i, f"{base} tail{i % 700}") for i in range(3000)]
@@ -109,11 +123,15 @@ def test_sketches_fill_every_coordinate_and_estimate_the_similarity():
 
 def test_agreement_of_bytes(spark):
     rng = np.random.default_rng(4)
-    a = rng.integers(0, 256, (50, M.COORDINATES), np.uint8)
-    b = np.where(rng.random(a.shape) < 0.6, a, rng.integers(0, 256, a.shape, np.uint8)).astype(np.uint8)
-    rows = [(x.view(np.int64).tolist(), y.view(np.int64).tolist(), int((x == y).sum())) for x, y in zip(a, b)]
-    got = spark.createDataFrame(rows, "x array<long>, y array<long>, want int").withColumn("got", M.agreeing(F.col("x"), F.col("y")))
-    assert got.filter("got != want").isEmpty()
+    a = rng.integers(0, 1 << 60, (200, M.COORDINATES), np.uint64)
+    b = np.where(rng.random(a.shape) < 0.7, a, rng.integers(0, 1 << 60, a.shape, np.uint64))
+    x, y = M.bytes_of(a), M.bytes_of(b)
+    same = (M.mix(a) & np.uint64(255)) == (M.mix(b) & np.uint64(255))
+    first = [next((i for i, band in enumerate(r.reshape(M.BANDS, M.ROWS)) if band.all()), -1) for r in same]
+    rows = [(p.tolist(), q.tolist(), int(r.sum()), f) for p, q, r, f in zip(x, y, same, first)]
+    got = spark.createDataFrame(rows, "x array<long>, y array<long>, want int, first int")
+    got = got.select("want", "first", M.agreeing(F.col("x"), F.col("y")).alias("n"), M.first_band(F.col("x"), F.col("y")).alias("band"))
+    assert got.filter("n != want or band != first").isEmpty()
 
 
 def test_query_against_sql(spark):
