@@ -9,10 +9,19 @@ from riskledger.operators.ranking import written
 from riskledger.plans import oracle_base as O
 from riskledger.plans.bindings import CUTOFF, with_views
 from riskledger.plans.catalog import I, Tables, op
+from riskledger.plans.naming import NAMES as NAMES_SQL
 from riskledger.sources import bronze as B
-from riskledger.streaming.incremental import latest, load_new
+from riskledger.sources import published as P
+from riskledger.streaming.incremental import latest, load_inspections, load_violations, loaded
 
 NAMES = with_views("names")
+#: SQL: a key with a capital after each space.
+TITLE = "array_to_string([upper(substr(w, 1, 1)) || substr(lower(w), 2) FOR w IN string_split(company_key, ' ')], ' ')"
+
+
+def buckets(t: Tables) -> int:
+    """As many buckets as the session shuffles into, so that its other shuffles can meet them."""
+    return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def chunks(t: Tables) -> tuple[str, list[str]]:
@@ -51,7 +60,29 @@ TABLES = ["inspections", "violations", "injuries", "accidents", "names", "narrat
 
 @op("S7", f"{with_views(*TABLES)} " + " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS n, (SELECT min(k) > 0 FROM (VALUES {', '.join(f'((SELECT count(*) FROM {x}))' for x in TABLES)}) v(k)) AS complete FROM {n}" for n in TABLES))
 def manifest(t: Tables) -> DataFrame:
-    return written(B.manifest({name: getattr(t, name) for name in TABLES}), "manifest")
+    """All tables published as one load; their rows as the writes counted them."""
+    keys = {"inspections": "activity_nr", "violations": "activity_nr", "injuries": "rel_insp_nr", "accidents": "summary_nr", "names": "p_partkey", "narratives": "summary_nr"}
+    base = B.shared_folder(t.spark, "published")
+    P.publish(t.spark, base, {name: (getattr(t, name), P.Layout(keys[name], buckets(t))) for name in TABLES})
+    return P.manifest(t.spark, base)
+
+
+@op("S5", f"""{with_views('inspections', 'violations')} SELECT company_key, activity_nr, citation_id, viol_type FROM violations JOIN inspections USING (activity_nr) WHERE delete_flag IS DISTINCT FROM 'X'""")
+def published_records(t: Tables) -> DataFrame:
+    """The tables published by their keys, and of what readers then find violations with their companies, joined bucket by bucket."""
+    base = B.shared_folder(t.spark, "published")
+    P.publish_records(t.spark, base, t.inspections, t.violations, t.accidents, t.injuries, buckets=buckets(t))
+    violations, inspections = P.read(t.spark, base, "violations"), P.read(t.spark, base, "inspections")
+    return violations.join(inspections.select("activity_nr", "company_key"), "activity_nr").select("company_key", "activity_nr", "citation_id", "viol_type")
+
+
+@op("S5_companies", f"{NAMES_SQL} SELECT DISTINCT company_key, {TITLE} AS name FROM keyed WHERE company_key <> ''")
+def published_companies(t: Tables) -> DataFrame:
+    """Inspections of the raw names with their derived keys, published, and the dimension of the companies."""
+    base = B.shared_folder(t.spark, "published")
+    inspections = P.keyed(t.names.select(F.col("p_partkey").alias("activity_nr"), F.col("raw_name").alias("estab_name")))
+    P.publish(t.spark, base, {"inspections": (inspections, P.Layout("company_key", buckets(t))), "companies": (P.company_dimension(inspections), P.Layout("company_key", buckets(t)))})
+    return P.read(t.spark, base, "companies")
 
 
 @op("S8", f"""{I}, f AS (SELECT DISTINCT substr(naics_code, 1, 2) AS s, substr(naics_code, 1, 4) AS g FROM inspections WHERE naics_code <> '')
@@ -84,17 +115,30 @@ def bulk(t: Tables) -> DataFrame:
     return row(t.inspections, "inspections", "estab_name", "open_date").unionByName(row(t.violations, "violations", "citation_id", "issuance_date"))
 
 
-@op("ST1", f"{with_views('injuries')} SELECT event_id, CAST(event_date AS DATE) AS day FROM injuries")
+@op("ST1", f"{with_views('violations')} SELECT activity_nr, citation_id, viol_type, issuance_date FROM violations WHERE delete_flag IS DISTINCT FROM 'X' AND current_penalty > 0 QUALIFY row_number() OVER (PARTITION BY activity_nr, citation_id ORDER BY viol_type, issuance_date) = 1")
 def incremental(t: Tables) -> DataFrame:
-    """All landed rows, a part of them landed twice and in two loads, loaded once each by the stream."""
+    """Violations that landed in two loads, some of them twice, each loaded once; the second brings old rows, too."""
     land, table, progress = (B.shared_folder(t.spark, n) for n in ("landing", "loaded", "progress"))
-    rows = t.injuries.select("event_id", F.col("event_date").cast("timestamp").alias("at"))
-    load = lambda: load_new(t.spark, land, "event_id long, at timestamp", table, progress, key=["event_id"], event_time="at", delay="3650 days")
-    rows.filter("event_id % 3 != 0").unionByName(rows.filter("event_id % 7 = 0")).write.parquet(land)
+    rows = t.violations.select("activity_nr", "citation_id", "viol_type", "issuance_date", "current_penalty", "delete_flag")
+    early, again = F.crc32(F.concat("activity_nr", F.lit("-"), "citation_id")) % 3 != 0, F.crc32("activity_nr") % 11 == 0
+    schema = "activity_nr string, citation_id string, viol_type string, issuance_date date, current_penalty double, delete_flag string"
+    load = lambda: load_violations(t.spark, land, schema, table, progress)
+    rows.filter(early).unionByName(rows.filter(early & again)).write.parquet(land)
     load()
-    rows.filter("event_id % 3 = 0 or event_id % 11 = 0").write.mode("append").parquet(land)
+    rows.filter(~early | again).write.mode("append").parquet(land)
     load()
-    return t.spark.read.schema("event_id long, at timestamp").parquet(table).select("event_id", F.col("at").cast("date").alias("day"))
+    return loaded(t.spark, table, schema).select("activity_nr", "citation_id", "viol_type", "issuance_date")
+
+
+@op("ST1_companies", f"{NAMES_SQL} SELECT DISTINCT company_key, {TITLE} AS name FROM keyed WHERE company_key <> ''")
+def incremental_companies(t: Tables) -> DataFrame:
+    """Inspections of the raw names in two loads, and the dimension that their keys extended."""
+    land, table, companies, progress = (B.shared_folder(t.spark, n) for n in ("landing", "loaded", "companies", "progress"))
+    rows = t.names.select(F.col("p_partkey").alias("activity_nr"), F.col("raw_name").alias("estab_name"), F.date_add(F.lit(CUTOFF), F.pmod("p_partkey", F.lit(2000)).cast("int")).alias("open_date"))
+    for part in (rows.filter("activity_nr % 3 != 0"), rows.filter("activity_nr % 3 = 0 or activity_nr % 7 = 0")):
+        part.write.mode("append").parquet(land)
+        load_inspections(t.spark, land, "activity_nr long, estab_name string, open_date date", table, companies, progress)
+    return loaded(t.spark, companies, "company_key string, name string")
 
 
 @op("ST2", f"{with_views('violations')} SELECT activity_nr, max(issuance_date) AS issuance_date FROM violations WHERE issuance_date IS NOT NULL GROUP BY 1")

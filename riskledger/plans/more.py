@@ -37,8 +37,6 @@ many({
       FROM documents"""),
     "H16": (lambda t: t.features.groupBy(sector_label(F.col("industry_group")).alias("label")).agg(n()),
           f"""{O.WITH_FEATURES} SELECT {{label}} AS label, count(*) AS n FROM feats GROUP BY 1"""),
-    "S5": (lambda t: R.live(t.violations).join(t.inspections.select("activity_nr", "company_key"), "activity_nr").select("company_key", "activity_nr", "citation_id", "viol_type"),
-          f"""{IV} SELECT company_key, activity_nr, citation_id, viol_type FROM violations JOIN inspections USING (activity_nr) WHERE delete_flag IS DISTINCT FROM 'X'"""),
 })
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -57,13 +55,6 @@ def consolidated(raw: DataFrame, columns: list[str], date: str, cutoff: str) ->
     return kept.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in columns])
 
 
-def manifest(datasets: dict[str, DataFrame]) -> DataFrame:
-    """Rows of each dataset, and whether all have some."""
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("dataset"), "n") for name, df in datasets.items()]
-    every = reduce(DataFrame.unionByName, counts)
-    return every.withColumn("complete", F.min("n").over(Window.partitionBy(F.lit(0))) > 0)
-
-
 def read_industry_reference(spark: SparkSession, path: str) -> DataFrame:
     """(code, title) from a CSV export. The code's column is the first whose header names both
     a code and NAICS, the title's the first that names a title. Blank rows go, a capital at the end of a title is a

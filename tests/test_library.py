@@ -18,7 +18,7 @@ from riskledger.operators import rollup as U
 from riskledger.operators import search as Q
 from riskledger.plans import catalog, learned
 from riskledger.sources import bronze as B
-from riskledger.streaming.incremental import latest, load_new
+from riskledger.streaming.incremental import latest
 
 #: Own names, odd ones among them: raw, canonical name, match key.
 NAMES = [
@@ -219,18 +219,8 @@ def test_stretched_scores(spark):
     assert got["a"].shrunk == pytest.approx(15 + 65 * (1 - math.exp(-0.2))) and got["d"].shrunk == 15 and got["b"].rescaled == 100 and got["c"].rescaled == 0
 
 
-def test_incremental_load(spark, tmp_path):
-    schema = "k long, ts timestamp, v string"
+def test_latest_rows(spark):
     at = datetime.datetime(2024, 1, 1)
-    rows = [(i, at + datetime.timedelta(hours=i), "a") for i in range(20)]
-    land, point, table = str(tmp_path / "in"), str(tmp_path / "cp"), str(tmp_path / "loaded")
-    spark.createDataFrame(rows + rows[:5], schema).write.parquet(land)
-    load_new(spark, land, schema, table, point, key=["k"], event_time="ts")
-    assert spark.read.parquet(table).count() == 20
-    spark.createDataFrame([(3, at, "late"), (99, at + datetime.timedelta(days=3), "b")], schema).write.mode("append").parquet(land)
-    load_new(spark, land, schema, table, point, key=["k"], event_time="ts")
-    load_new(spark, land, schema, table, point, key=["k"], event_time="ts")
-    loaded = spark.read.parquet(table).select("k", "ts", "v")
-    assert loaded.count() == 21
-    merged = latest(loaded, spark.createDataFrame([(3, at + datetime.timedelta(days=9), "new")], schema), ["k"], ["ts"])
-    assert merged.filter("k = 3").first().v == "new" and merged.count() == 21
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, ts timestamp, v string")
+    merged = latest(rows((3, at, "old"), (4, at, "b")), rows((3, at + datetime.timedelta(days=9), "new")), ["k"], ["ts"])
+    assert merged.filter("k = 3").first().v == "new" and merged.count() == 2
