@@ -32,7 +32,7 @@ COORDINATES = BANDS * ROWS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Candidates go unverified only if so few coordinates agree that a link has that few with less than this probability.
 LOSS = 1e-9
-#: Leaders are drawn anew while the pairs that are left are more than so many for each row of a band, and half of them went.
+#: Leaders are drawn anew while the pairs that are left are more than so many for each row of a band, and a quarter of them went.
 PAIRS_A_ROW = 4
 #: Fragments of the sets in which overlaps are counted, and text that a task sketches at once.
 FRAGMENTS, SLICE_BYTES = 8, 4_000_000
@@ -143,10 +143,11 @@ def likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 
 def stars(rows: DataFrame, leader: str, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of each row's leader (a struct of rep and n) and the row itself, where their sizes allow a link."""
-    a, n = F.col(f"{leader}.rep"), F.col(f"{leader}.n")
-    some = rows.filter((a != F.col("rep")) & near(n, F.col("n"), percent))
-    return some.select(a.alias("a"), F.col("rep").alias("b"), n.alias("na"), F.col("n").alias("nb")).distinct()
+    """Pairs (a, b, na, nb) of each document and the least leader (a struct with rep and n) that it meets in any of
+    its bands and whose size allows a link: one pair a document, however many bands it shares."""
+    some = rows.filter((F.col(f"{leader}.rep") != F.col("rep")) & near(F.col(f"{leader}.n"), F.col("n"), percent))
+    least = some.groupBy("rep", "n").agg(F.min(leader).alias("__led"))
+    return least.select(F.col("__led.rep").alias("a"), F.col("rep").alias("b"), F.col("__led.n").alias("na"), F.col("n").alias("nb"))
 
 
 def unsettled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -162,8 +163,8 @@ def unsettled(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def new_leaders(mixed: DataFrame, number: int, percent: int) -> DataFrame:
-    """Pairs of each row with two leaders of its key, drawn by hash for the round: one of the main component and one
-    of the others. A row does not meet a leader of its own component."""
+    """Pairs of each document with two leaders of its bands, drawn by hash for the round: one of a band's main
+    component and one of the others. No document meets a leader of its own component."""
     drawn, inside = F.xxhash64("rep", F.lit(number)), F.col("component") == F.col("main")
     best = lambda some: F.min(F.when(some, F.struct(drawn.alias("drawn"), "rep", "n", "component")))
     leaders = cut(mixed.groupBy("key").agg(best(inside).alias("one"), best(~inside).alias("two"), F.count(F.lit(1)).alias("__n")), "minhash-leaders")
@@ -202,7 +203,7 @@ def with_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
         mixed = unsettled(found.select("key", "band", "rep", "n"), label)
         here = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("component") != F.col("main")).cast("long")).alias("apart"))
         pairs, size = here.agg(F.sum(F.col("all") * F.col("apart")), F.sum("all")).first()
-        if not size or pairs <= PAIRS_A_ROW * size or (left is not None and 2 * pairs > left):
+        if not size or pairs <= PAIRS_A_ROW * size or (left is not None and 4 * pairs > 3 * left):
             break
         left, number = pairs, number + 1
         more = links(cut(likely(new_leaders(mixed, number, percent), bits, percent), "minhash-stars"), docs, k, percent, whole)
