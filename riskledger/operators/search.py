@@ -2,46 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskledger.functions.names import code_matches, code_text, code_tokens, display_name, facility_code, match_key, similarity
+from riskledger.functions.fuzzy import search_pass
+from riskledger.functions.names import code_matches, code_text, code_tokens, display_name, facility_code, match_key
 from riskledger.functions.scores import confidence_label
 from riskledger.operators.ranking import written
 from riskledger.operators.records import typed
 
 
+#: Queries that tasks hold at a time, pairs that a task should bound, and most tasks of a search.
+QUERIES, PAIRS_A_TASK, MOST_TASKS = 20_000, 20_000_000, 20_000
+
+
 def key_index(names: DataFrame) -> DataFrame:
     """Match keys with the number of names they stand for and one name of each."""
     return names.withColumn("company_key", match_key(F.col("raw_name"))).filter("company_key != ''").groupBy("company_key").agg(F.count(F.lit(1)).alias("members"), F.min("raw_name").alias("sample"))
 
 
-def prepared(df: DataFrame, key: str, side: str) -> DataFrame:
-    """df with what similarity needs of its key: the distinct words, and those in order as one text."""
-    words = F.array_sort(F.array_distinct(F.split(key, " ")))
-    return df.withColumns({f"__{side}_words": words, f"__{side}_sorted": F.array_join(words, " ")})
-
-
-def fuzzy_candidates(queries: DataFrame, keys: DataFrame, *, least: float = 0.55, best: int = 500, block: int = 1000) -> DataFrame:
-    """For each query key the similar company keys, best first.
+def fuzzy_candidates(queries: DataFrame, keys: DataFrame, *, least: float = 0.55, best: int = 500, candidates: Accumulator | None = None) -> DataFrame:
+    """For each query key the similar company keys, best first; best is the report's top k.
 
-    The stated queries go to all keys in blocks of about block queries, so that no
-    broadcast grows with the number of queries; no pair of keys is ever formed. A pair is scored unless its
-    lengths and words prove that it cannot reach least. best is the report's top k.
+    At a threshold this low two names need not share any q-gram, nor any word, so no index of either finds
+    all. Instead the stated queries, at most QUERIES at a time, go to the tasks, which bound each key's
+    similarity by its characters, lengths and words, as matrices, and align only what may reach least. No key is lost; a
+    task hands on the best of each batch. candidates counts the pairs that were aligned.
     """
-    asked = written(queries.select("query", match_key(F.col("query")).alias("query_key")).distinct(), "queries")
-    blocks = -(-asked.count() // block) or 1
-    known = prepared(keys.select("company_key", "members"), "company_key", "k")
-    near = lambda a, b: F.least(F.length(a), F.length(b)) >= least * F.greatest(F.length(a), F.length(b))
-    possible = near("query_key", "company_key") | near("__q_sorted", "__k_sorted") | F.arrays_overlap("__q_words", "__k_words")
-    found = None
-    for i in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
-        pairs = known.join(F.broadcast(prepared(part, "query_key", "q")), possible).select("query", "query_key", "company_key", "members")
+    spark = queries.sparkSession
+    asked = written(queries.select("query", match_key(F.col("query")).alias("query_key")).filter("query_key != ''").distinct(), "queries")
+    many, found = asked.count(), None
+    parts = -(-many // QUERIES) or 1
+    known = keys.select("company_key", F.col("members").cast("long").alias("members"))
+    # as many tasks as the pairs ask for: the keys alone are small
+    dealt = written(known, "keys")
+    dealt = dealt.repartition(max(1, min(dealt.count() * many // PAIRS_A_TASK + 1, MOST_TASKS)))
+    for i in range(parts):
+        part = asked.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == i).orderBy("query").collect()
+        shared = spark.sparkContext.broadcast([(r["query"], r["query_key"]) for r in part])
+        pairs = dealt.mapInArrow(search_pass(shared, least, best, candidates), "query string, query_key string, company_key string, members long, similarity double")
         found = pairs if found is None else found.unionByName(pairs)
-    scored = found.withColumn("similarity", F.round(similarity(F.col("query_key"), F.col("company_key")), 6)).filter(F.col("similarity") >= least)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "company_key")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= best)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= best)
 
 
 def grouped_results(candidates: DataFrame, names: DataFrame, *, others: int = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskledger.functions import fuzzy as Z
 from riskledger.functions import names as N
 from riskledger.functions import scores as S
 from riskledger.operators import search as Q
@@ -62,15 +63,54 @@ PARENT = swap(swap(swap(swap("d", r"\s+-?\s*[A-Z]{1,5}[0-9]{1,4}\s*$"), r"\s*\([
 CODE = r"upper(regexp_extract(raw_name, '(?i)(?:[\s\-]+|\()([A-Z]{1,5}[0-9]{1,4}|[A-Z0-9]{2,8})(?:\)|[\s\-]|$)', 1))"
 CODE_SQL = f"CASE WHEN {CODE} <> '' AND {CODE} NOT IN ({', '.join(map(sq, N.NO_CODE))}) AND NOT regexp_full_match({CODE}, '[0-9]+') THEN {CODE} END"
 
-RATIO = lambda a, b: f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
-SET = lambda c: f"list_sort(list_distinct(string_split({c}, ' ')))"
-SIMILAR = f"""round(greatest({RATIO('qk', 'ck')}, {RATIO(f"array_to_string({SET('qk')}, ' ')", f"array_to_string({SET('ck')}, ' ')")},
-  0.95 * len(list_intersect({SET('qk')}, {SET('ck')})) / least(len({SET('qk')}), len({SET('ck')}))), 6)"""
+PROCESSED = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'))"
+TEXT = lambda words: f"array_to_string({words}, ' ')"
+
+
+def common(a: str, b: str) -> str:
+    """SQL: length of the longest common subsequence, by the bits of a's places."""
+    full = f"((CAST(1 AS HUGEINT) << length({a})) - 1)"
+    places = f"list_aggregate(list_transform(string_split({a}, ''), lambda x, i: CASE WHEN x = ch THEN CAST(1 AS HUGEINT) << (i - 1) ELSE CAST(0 AS HUGEINT) END), 'bit_or')"
+    state = f"list_reduce(list_transform(string_split({b}, ''), lambda ch: {places}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}, {full})"
+    return f"(length({a}) - bit_count({state}))"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"(CAST(2 * {common(a, b)} AS DOUBLE) / (length({a}) + length({b})))"
+
+
+def partial(a: str, b: str) -> str:
+    """SQL: the best ratio of the shorter text to a part of the longer; 0 where one is empty."""
+    part = lambda t, of: f"substr({t}, greatest(k, 0) + 1, least(k, 0) + length({of}))"
+    one = lambda x, y: f"CASE WHEN length({x}) BETWEEN 1 AND length({y}) THEN list_max(list_transform(range(1 - length({x}), length({y})), lambda k: {ratio(x, part(y, x))})) ELSE 0 END"
+    return f"greatest({one(a, b)}, {one(b, a)})"
+
+
+#: SQL: the ratios of common words and rests.
+APART = f"(length(ra) + length(rb) - 2 * {common('ra', 'rb')})"
+GAP = "CAST(c <> '' AS INT)"
+SETS = f"""CASE WHEN c <> '' AND (ra = '' OR rb = '') THEN 1 ELSE greatest(1 - CAST({APART} AS DOUBLE) / (2 * length(c) + 2 * {GAP} + length(ra) + length(rb)),
+  CASE WHEN c <> '' THEN 1 - CAST(1 + length(ra) AS DOUBLE) / (2 * length(c) + 1 + length(ra)) ELSE 0 END, CASE WHEN c <> '' THEN 1 - CAST(1 + length(rb) AS DOUBLE) / (2 * length(c) + 1 + length(rb)) ELSE 0 END) END"""
+SCALE = f"CASE WHEN times <= {Z.FAR_BEYOND} THEN CAST({Z.PARTS} AS DOUBLE) ELSE CAST({Z.FAR_PARTS} AS DOUBLE) END"
+
+
+def with_similarity(pairs: str) -> str:
+    """SQL: common table expressions over pairs (qk, ck, ...) that end in scored, with similarity."""
+    return f"""processed AS (SELECT *, {PROCESSED('qk')} AS a, {PROCESSED('ck')} AS b FROM {pairs}),
+worded AS (SELECT *, list_filter(string_split(a, ' '), lambda w: w <> '') AS wa, list_filter(string_split(b, ' '), lambda w: w <> '') AS wb FROM processed WHERE a <> '' AND b <> ''),
+parted AS (SELECT *, {TEXT('list_sort(wa)')} AS sa, {TEXT('list_sort(wb)')} AS sb, {TEXT('list_sort(list_intersect(list_distinct(wa), wb))')} AS c,
+  {TEXT('list_sort(list_filter(list_distinct(wa), lambda w: NOT list_contains(wb, w)))')} AS ra, {TEXT('list_sort(list_filter(list_distinct(wb), lambda w: NOT list_contains(wa, w)))')} AS rb,
+  CAST(greatest(length(a), length(b)) AS DOUBLE) / least(length(a), length(b)) AS times FROM worded),
+scored AS (SELECT *, round(CASE WHEN times < {Z.PARTS_FROM} THEN greatest({ratio('a', 'b')}, CAST({Z.TOKENS} AS DOUBLE) * greatest({ratio('sa', 'sb')}, {SETS}))
+  ELSE greatest({ratio('a', 'b')}, {SCALE} * {partial('a', 'b')}, CAST({Z.TOKENS} AS DOUBLE) * {SCALE} * CASE WHEN c <> '' THEN 1 ELSE greatest({partial('sa', 'sb')}, {partial('ra', 'rb')}) END) END, 6) AS similarity FROM parted)"""
+
+
 #: All pairs of queries and keys are scored.
 SEARCH = f"""{NAMES},
 idx AS (SELECT company_key AS ck, count(*) AS members FROM keyed WHERE company_key <> '' GROUP BY 1),
 qs AS (SELECT query, company_key AS qk FROM {ASKED} JOIN keys ON raw_name = query),
-scored AS (SELECT query, qk AS query_key, ck AS company_key, members, {SIMILAR} AS similarity FROM qs, idx WHERE length(ck) > 1),
+pairs AS (SELECT query, qk, ck, members, qk AS query_key, ck AS company_key FROM qs, idx WHERE length(ck) > 1),
+{with_similarity('pairs')},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, company_key) AS rank FROM scored WHERE similarity >= 0.55 QUALIFY rank <= 500),
 sized AS (SELECT r.*, facilities FROM ranked r JOIN (SELECT company_key, count(*) AS facilities FROM keyed GROUP BY 1) USING (company_key)),
 placed AS (SELECT *, facilities = 1 AND similarity < 0.65 AS unmatched,
@@ -103,6 +143,13 @@ def similarities(t: Tables) -> DataFrame:
     return search(t).select("query", "company_key", "similarity")
 
 
+@op("H9_pairs", f"""{NAMES}, pairs AS (SELECT p_partkey, raw_name, company_key AS ck, upper(city) AS qk FROM keyed), {with_similarity('pairs')}
+SELECT p_partkey, coalesce(similarity, 0) AS similarity FROM names LEFT JOIN (SELECT p_partkey, CASE WHEN length(ck) > 1 THEN similarity ELSE 0 END AS similarity FROM scored) USING (p_partkey)""")
+def paired_similarities(t: Tables) -> DataFrame:
+    """Each name's key and its brand, as columns."""
+    return t.names.select("p_partkey", F.round(Z.similarity(F.upper("city"), N.match_key(F.col("raw_name"))), 6).alias("similarity"))
+
+
 @op("H10", f"""{SEARCH} SELECT query, CASE WHEN similarity >= 0.85 THEN 'High' WHEN similarity >= 0.65 THEN 'Medium' ELSE 'Low' END AS confidence, count(*) AS n
 FROM ranked GROUP BY 1, 2""")
 def confidences(t: Tables) -> DataFrame:
