@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskledger.functions.fuzzy import search_pass
-from riskledger.functions.names import code_matches, code_text, code_tokens, display_name, facility_code, match_key
+from riskledger.functions.names import code_text, code_tokens, display_name, facility_code, match_key
 from riskledger.functions.scores import confidence_label
+from riskledger.operators.containment import containing
 from riskledger.operators.ranking import written
 from riskledger.operators.records import typed
 
@@ -67,42 +70,57 @@ def code_evidence(questions: DataFrame, inspections: DataFrame, violations: Data
     matched; citations then join by standard. Only the rows that are shown meet the notes.
     """
     v = typed(violations)
-    found = v.join(F.broadcast(matched_standards(questions, v)), "standard").join(inspections.select("activity_nr", "company_key", "open_date"), "activity_nr")
+    found = v.join(matched_standards(questions, v), "standard").join(inspections.select("activity_nr", "company_key", "open_date"), "activity_nr")
     totals = found.groupBy("question", "company_key").agg(F.count(F.lit(1)).alias("matched"), F.array_join(F.array_sort(F.collect_set("standard")), ", ").alias("standards"), F.sum("penalty").alias("penalty"))
     w = Window.partitionBy("question", "company_key").orderBy(F.desc("open_date"), "activity_nr", "citation_id", "standard", F.desc("penalty"))
-    shown = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= rows)
-    told = notes.groupBy("activity_nr").agg(F.array_sort(F.collect_list(F.struct("citation_id", "narrative"))).alias("__n"))
-    cut = F.transform(F.slice("__n", 1, most_notes), lambda n: F.concat(F.substring(n["narrative"], 1, snippet), F.when(F.length(n["narrative"]) > snippet, "…").otherwise("")))
-    shown = shown.join(told, "activity_nr", "left").withColumn("notes", F.coalesce(cut, F.expr("cast(array() as array<string>)")))
+    shown = written(found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= rows), "shown")
+    first = notes.join(shown.select("activity_nr").distinct(), "activity_nr", "left_semi").withColumn("__at", F.row_number().over(Window.partitionBy("activity_nr").orderBy("citation_id", "narrative"))).filter(F.col("__at") <= most_notes)
+    cut = F.concat(F.substring("narrative", 1, snippet), F.when(F.length("narrative") > snippet, "…").otherwise(""))
+    told = first.groupBy("activity_nr").agg(F.array_sort(F.collect_list(F.struct("__at", cut.alias("note")))).alias("__n"))  # at most most_notes
+    told = told.select("activity_nr", F.transform("__n", lambda n: n["note"]).alias("__n"))
+    shown = shown.join(told, "activity_nr", "left").withColumn("notes", F.coalesce("__n", F.expr("cast(array() as array<string>)")))
     evidence = shown.groupBy("question", "company_key").agg(F.array_sort(F.collect_list(F.struct("place", "open_date", "activity_nr", "citation_id", "standard", "penalty", "notes"))).alias("evidence"))  # at most rows
     return totals.join(evidence, ["question", "company_key"])
 
 
 def matched_standards(questions: DataFrame, violations: DataFrame) -> DataFrame:
-    """Questions with the standards, a bounded code list, that their codes match."""
-    return violations.select("standard").distinct().join(F.broadcast(questions), code_matches(F.col("question"), F.col("standard"))).select("question", "standard")
-
-
-def nearby_standards(questions: DataFrame, violations: DataFrame, *, most: int = 8) -> DataFrame:
-    """K4: for questions without a match up to most standards that begin like one of their tokens
-    (the first six characters; tokens of four or more), those of the first such token."""
+    """Questions with the standards of which one's code text contains the other's, the question's as a whole or by
+    one of its tokens. A question without letters or digits matches none. Neither side is broadcast: both meet by grams."""
+    codes = written(violations.select("standard").distinct().withColumn("__code", code_text(F.col("standard"))).filter("__code != ''"), "codes")
+    asked = questions.select("question", F.explode(F.array_union(F.array(code_text(F.col("question"))), code_tokens(F.col("question")))).alias("__asked")).filter("__asked != ''")
+    asked = written(asked.distinct(), "asked")
+    inside = containing(codes.select(F.col("__code").alias("text")), asked.select(F.col("__asked").alias("pattern"))).toDF("__code", "__asked")
+    around = containing(asked.select(F.col("__asked").alias("text")), codes.select(F.col("__code").alias("pattern"))).toDF("__asked", "__code")
+    pairs = inside.unionByName(around).distinct()
+    return pairs.join(asked, "__asked").join(codes, "__code").select("question", "standard").distinct()
+
+
+def nearby_standards(questions: DataFrame, violations: DataFrame, *, most: int = 8, least: int = 4, prefix: int = 6) -> DataFrame:
+    """K4: for questions without a match up to most standards that begin like one of their tokens (its first
+    prefix characters; tokens of least or more), those of the first such token."""
     missed = questions.join(matched_standards(questions, violations).select("question").distinct(), "question", "left_anti")
-    tokens = missed.select("question", F.posexplode(code_tokens(F.col("question"))).alias("place", "token")).filter(F.length("token") >= 4)
-    standards = violations.select("standard").distinct()
-    hits = standards.join(F.broadcast(tokens), code_text(F.col("standard")).startswith(F.substring("token", 1, 6)))
-    first = hits.withColumn("__first", F.min("place").over(Window.partitionBy("question"))).filter("place = __first")
+    tokens = missed.select("question", F.posexplode(code_tokens(F.col("question"))).alias("place", "token")).filter(F.length("token") >= least)
+    tokens = tokens.withColumn("__start", F.substring("token", 1, prefix))
+    standards = violations.select("standard").distinct().withColumn("__code", code_text(F.col("standard")))
+    starts = standards.select("standard", F.explode(F.array(*[F.substring("__code", 1, n) for n in range(least, prefix + 1)])).alias("__start")).distinct()
+    first = starts.join(tokens, "__start").withColumn("__first", F.min("place").over(Window.partitionBy("question"))).filter("place = __first")
     w = Window.partitionBy("question").orderBy("standard")
     return first.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select("question", "standard")
 
 
-def tiered_lookup(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """For each query (a bounded, stated list) the company keys of its best tier: the key itself; keys that, or one of
-    whose names, contain it literally; keys of three letters or more that it contains. Empty queries find nothing."""
-    asked = F.broadcast(queries.filter("query != ''"))
-    keys = names.select("company_key", F.upper("estab_name").alias("__name")).filter("company_key != ''").distinct()
-    q, k = F.col("query"), F.col("company_key")
-    tier = F.when(k == q, 1).when(k.contains(q) | F.col("__name").contains(q), 2).when((F.length(k) >= 3) & q.contains(k), 3)
-    found = keys.join(asked, tier.isNotNull()).groupBy("query", "company_key").agg(F.min(tier).alias("tier"))
+def tiered_lookup(queries: DataFrame, names: DataFrame, *, least: int = 3) -> DataFrame:
+    """For each query the company keys of its best tier: the key itself; keys that, or one of whose
+    names, contain it literally; keys of least letters or more that it contains. Empty queries find nothing.
+    Queries and names may be of any number: equal keys meet by key, the others by grams."""
+    asked = written(queries.filter("query != ''").distinct(), "asked")
+    keys = written(names.select("company_key", F.upper("estab_name").alias("__name")).filter("company_key != ''").distinct(), "names")
+    own = keys.select("company_key").distinct()
+    texts = keys.select("company_key", F.col("__name").alias("text")).unionByName(own.withColumn("text", F.col("company_key")))
+    inside = containing(texts.select("text"), asked.select(F.col("query").alias("pattern"))).withColumnRenamed("pattern", "query").join(texts, "text")
+    around = containing(asked.select(F.col("query").alias("text")), own.filter(F.length("company_key") >= least).select(F.col("company_key").alias("pattern"))).toDF("query", "company_key")
+    same = asked.join(own, F.col("query") == F.col("company_key"))
+    tiers = [(same, 1), (inside, 2), (around, 3)]
+    found = reduce(DataFrame.unionByName, [df.select("query", "company_key", F.lit(tier).alias("tier")) for df, tier in tiers]).groupBy("query", "company_key").agg(F.min("tier").alias("tier"))
     best = found.groupBy("query").agg(F.min("tier").alias("__best"))
     return found.join(best, "query").filter("tier = __best").drop("__best")
 
