@@ -6,8 +6,8 @@ bin is its coordinate. Rounds end when all bins are filled. As many rounds again
 all shingles into one bin each, so none stays empty, and the share of equal coordinates of two sets lies around
 their similarity as closely as independent draws would.
 
-Sketches are cut into bands; sets that agree on a band are candidates, and those whose overlap is
-enough, counted on the full sets, are links. A band's documents are first compared with one leader, and, as long
+Sketches are cut into bands; sets that agree on a band are candidates. Parity bits of the full sets drop, without loss,
+most candidates that differ too much; those whose overlap is enough, counted on the full sets, are links. A band's documents are first compared with one leader, and, as long
 as that joins many, with new leaders; only then those outside the band's largest component with all others, once
 a pair. So copies never meet pair by pair.
 """
@@ -15,8 +15,6 @@ a pair. So copies never meet pair by pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,16 +22,14 @@ from pyspark.sql import functions as F
 
 from riskledger.llm._common import cut, discard, lookup, table
 from riskledger.llm._words import mix, shingle_hashes, slices, trim
-from riskledger.llm.ngram_join import COUNT_BITS, components, links, signature
+from riskledger.llm.ngram_join import COUNT_BITS, components, links, parity, signature
 
 #: A sketch is cut into BANDS of ROWS coordinates. Sets of similarity 0.85 agree on none with probability 6e-9.
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Candidates go unverified only if so few coordinates agree that a link has that few with less than this probability.
-LOSS = 1e-9
 #: Leaders are drawn anew while the pairs that are left are more than so many for each row of a band, and a quarter of them went.
-PAIRS_A_ROW = 4
+PAIRS_A_ROW = 16
 #: Fragments of the sets in which overlaps are counted, and text that a task sketches at once.
 FRAGMENTS, SLICE_BYTES = 8, 4_000_000
 
@@ -72,62 +68,29 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def bytes_of(sketch: np.ndarray) -> np.ndarray:
-    """A byte of each coordinate, those of a band in one long."""
-    out = np.zeros((len(sketch), BANDS, 8), np.uint8)
-    out[:, :, :ROWS] = (mix(sketch) & np.uint64(0xFF)).reshape(len(sketch), BANDS, ROWS)
-    return out.reshape(len(sketch), BANDS * 8).view(np.int64)
-
-
-def least_agreement(percent: int) -> int:
-    """The most coordinates of which sets of that similarity agree on fewer with a probability under LOSS."""
-    p, below = percent / 100, 0.0
-    for m in range(COORDINATES + 1):
-        below += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
-        if below >= LOSS:
-            return m
-    return COORDINATES
-
-
 def sketch_pass(k: int):
-    """Per document its set's size, signature, band keys and bytes."""
+    """Per document its set's size, signature, band keys and parity bits."""
 
-    def lists(values: np.ndarray) -> pa.ListArray:
-        ends = np.arange(0, values.size + 1, max(values.shape[1], 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)))
+    def lists(values: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *[v.size for v in values]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 sets = list(shingle_hashes(batch["text"], k))
-                found = sketches(sets)
+                keys = bands(sketches(sets))
                 signs = [signature(s) if s.size else None for s in sets]
                 sizes = [s.size for s in sets]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(signs, pa.string()), lists(bands(found)), lists(bytes_of(found))], ["doc_id", "n", "sign", "bands", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(signs, pa.string()), lists(list(keys)), lists([parity(s) for s in sets])], ["doc_id", "n", "sign", "bands", "parity"])
         trim()
 
     return run
 
 
-def agreeing(x: Column, y: Column) -> Column:
-    """How many bytes of two arrays of longs are equal."""
-
-    def unequal(a: Column, b: Column) -> Column:
-        d = a.bitwiseXOR(b)
-        for by in (4, 2, 1):  # a byte that isn't 0 sets its lowest bit; bits that cross into the byte below are masked
-            d = d.bitwiseOR(F.shiftrightunsigned(d, by).bitwiseAND(F.lit(MASKS[by])))
-        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
-
-    return COORDINATES - F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda s, v: s + v)
-
-
-#: By shift: the bits of each byte that a shift to the right fills from the byte itself.
-MASKS = {4: 0x0F0F0F0F0F0F0F0F, 2: 0x3F3F3F3F3F3F3F3F, 1: 0x7F7F7F7F7F7F7F7F}
-
-
 def first_band(x: Column, y: Column) -> Column:
-    """The first band, from 0, of which all bytes agree."""
-    return F.array_position(F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b)), F.lit(0).cast("long")) - 1
+    """The first band, from 0, whose keys agree."""
+    return F.array_position(F.zip_with(x, y, lambda a, b: a == b), F.lit(True)) - 1
 
 
 def near(m: Column, n: Column, percent: int) -> Column:
@@ -135,11 +98,21 @@ def near(m: Column, n: Column, percent: int) -> Column:
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
-def likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) with enough equal coordinates for a link; a doc_id with several texts of one size is compared by each."""
-    side = lambda x: bits.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bytes").alias(f"__{x}"))
+def close(p: Column, q: Column, m: Column, n: Column, percent: int) -> Column:
+    """Whether so few parity bits differ as a link allows (true where bits are not known): no more than the shingles that
+    one set alone has. Sizes are near, so the one array is at most twice as long as the other, and its halves are folded."""
+    half = lambda a: F.zip_with(F.slice(a, F.lit(1), (F.size(a) / 2).cast("int")), F.slice(a, (F.size(a) / 2).cast("int") + 1, F.size(a)), lambda x, y: x.bitwiseXOR(y))
+    one, two = F.when(F.size(p) > F.size(q), half(p)).otherwise(p), F.when(F.size(q) > F.size(p), half(q)).otherwise(q)
+    differ = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    need = F.ceil((m + n) * (percent / (100.0 + percent)) - 1e-9)
+    return F.coalesce(differ <= m + n - 2 * need, F.lit(True))
+
+
+def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose parity bits allow a link."""
+    side = lambda x: bits.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"__{x}"))
     both = pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"])
-    return both.filter(agreeing(F.col("__a"), F.col("__b")) >= least_agreement(percent)).select("a", "b", "na", "nb").distinct()
+    return both.filter(close(F.col("__a"), F.col("__b"), F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
 
 
 def stars(rows: DataFrame, leader: str, percent: int) -> DataFrame:
@@ -186,18 +159,21 @@ def with_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sketched = cut(docs.mapInArrow(sketch_pass(k), "doc_id long, n long, sign string, bands array<long>, bytes array<long>"), "minhash-sketches")
+    sketched = cut(docs.mapInArrow(sketch_pass(k), "doc_id long, n long, sign string, bands array<long>, parity array<long>"), "minhash-sketches")
     # documents with the same set are one class, for which its smallest doc_id stands
     some = sketched.filter("sign is not null and doc_id is not null")
-    classes = cut(some.groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in ("n", "bands", "bytes")]), "minhash-classes")
-    bits = classes.select("rep", "n", "bytes")
+    classes = cut(some.groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in ("n", "bands", "parity")]), "minhash-classes")
+    # a doc_id with several texts of one size has no bits that tell them apart
+    several = cut(classes.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"), "minhash-texts")
+    known = lambda c: F.when(F.col("__c").isNull(), F.col(c)).alias(c)
+    bits = classes.drop("__n").join(several, ["rep", "n"], "left").select("rep", "n", known("parity"), known("bands"))
     rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = cut(rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "minhash-shared")
     found = cut(rows.join(shared.drop("__n"), "key"), "minhash-rows")
     # the sets are cut into fragments by their hashes, evenly
     fragments = np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(55 - FRAGMENTS.bit_length() + 1)
     whole = spark.sparkContext.broadcast((np.zeros(1 << COUNT_BITS, np.uint8), fragments))
-    edges = links(cut(likely(stars(found, "leader", percent), bits, percent), "minhash-stars"), docs, k, percent, whole)
+    edges = links(cut(possible(stars(found, "leader", percent), bits, percent), "minhash-stars"), docs, k, percent, whole)
     label, left, number = components(edges, "minhash"), None, 0
     while True:
         mixed = unsettled(found.select("key", "band", "rep", "n"), label)
@@ -206,14 +182,14 @@ def with_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
         if not size or pairs <= PAIRS_A_ROW * size or (left is not None and 4 * pairs > 3 * left):
             break
         left, number = pairs, number + 1
-        more = links(cut(likely(new_leaders(mixed, number, percent), bits, percent), "minhash-stars"), docs, k, percent, whole)
+        more = links(cut(possible(new_leaders(mixed, number, percent), bits, percent), "minhash-stars"), docs, k, percent, whole)
         edges = edges.union(more)
         label = components(edges, "minhash")
         discard(mixed)
     mixed = cut(mixed.join(bits, ["rep", "n"]), "minhash-last")
     x, y, c = mixed.filter("component != main").alias("x"), mixed.alias("y"), F.col
-    once = ((c("y.component") == c("y.main")) | (c("x.rep") < c("y.rep"))) & (first_band(c("x.bytes"), c("y.bytes")) == c("x.band"))
-    enough = agreeing(c("x.bytes"), c("y.bytes")) >= least_agreement(percent)
+    once = ((c("y.component") == c("y.main")) | (c("x.rep") < c("y.rep"))) & F.coalesce(first_band(c("x.bands"), c("y.bands")) == c("x.band"), F.lit(True))
+    enough = close(c("x.parity"), c("y.parity"), c("x.n"), c("y.n"), percent)
     pairs = x.join(y, (c("x.key") == c("y.key")) & (c("x.component") != c("y.component")) & near(c("x.n"), c("y.n"), percent) & once & enough)
     low = c("x.rep") < c("y.rep")
     pairs = pairs.select(*[F.when(low, c(p)).otherwise(c(q)).alias(o) for p, q, o in (("x.rep", "y.rep", "a"), ("y.rep", "x.rep", "b"), ("x.n", "y.n", "na"), ("y.n", "x.n", "nb"))]).distinct()

@@ -121,17 +121,25 @@ def test_sketches_fill_every_coordinate_and_estimate_the_similarity():
         assert abs(np.mean(errors)) < spread / 3 and np.std(errors) < 1.15 * spread
 
 
-def test_agreement_of_bytes(spark):
+def test_parity_bits_lose_no_link(spark):
     rng = np.random.default_rng(4)
-    a = rng.integers(0, 1 << 60, (200, M.COORDINATES), np.uint64)
-    b = np.where(rng.random(a.shape) < 0.7, a, rng.integers(0, 1 << 60, a.shape, np.uint64))
-    x, y = M.bytes_of(a), M.bytes_of(b)
-    same = (M.mix(a) & np.uint64(255)) == (M.mix(b) & np.uint64(255))
-    first = [next((i for i, band in enumerate(r.reshape(M.BANDS, M.ROWS)) if band.all()), -1) for r in same]
-    rows = [(p.tolist(), q.tolist(), int(r.sum()), f) for p, q, r, f in zip(x, y, same, first)]
-    got = spark.createDataFrame(rows, "x array<long>, y array<long>, want int, first int")
-    got = got.select("want", "first", M.agreeing(F.col("x"), F.col("y")).alias("n"), M.first_band(F.col("x"), F.col("y")).alias("band"))
-    assert got.filter("n != want or band != first").isEmpty()
+    rows = []
+    for n in (20, 900, 1100, 3000):
+        for percent in (70, 84, 85, 86, 95, 100):
+            both = round(2 * n * percent / (100 + percent))
+            items = np.unique(rng.integers(0, 1 << 63, 2 * n - both + 9, np.uint64))[: 2 * n - both]
+            rng.shuffle(items)
+            a, b = items[:n], np.concatenate([items[:both], items[n:]])
+            rows.append((M.parity(a).tolist(), M.parity(b).tolist(), a.size, b.size, 100 * both >= 85 * (a.size + b.size - both), percent))
+    got = spark.createDataFrame(rows, "p array<long>, q array<long>, m long, n long, link boolean, percent int")
+    got = got.withColumn("close", M.close(F.col("p"), F.col("q"), F.col("m"), F.col("n"), 85))
+    assert got.filter("link and not close").isEmpty() and got.filter("percent = 70 and close and m > 100").isEmpty()
+
+
+def test_first_band(spark):
+    rows = [([1, 2, 3], [0, 2, 3], 1), ([1, 2, 3], [1, 2, 3], 0), ([1, 2, 3], [4, 5, 6], -1)]
+    got = spark.createDataFrame(rows, "x array<long>, y array<long>, want long")
+    assert got.filter(M.first_band(F.col("x"), F.col("y")) != F.col("want")).isEmpty()
 
 
 def test_query_against_sql(spark):
