@@ -6,14 +6,21 @@ global_rank, which numbers ranges in parallel; fractions and edges are small lit
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskledger.functions.scores import adverse_outcome, tier
 from riskledger.operators.ranking import average_ranks, global_rank, grouped_rank, percentiles, running_totals, written
 
+#: The primes of the 64-bit xxHash.
+XXH64_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
 
 def future_outcomes(history: DataFrame, future_facts: DataFrame, key: str = "estab") -> DataFrame:
     """What the inspections after the cutoff found at each establishment of history; null where there was none."""
@@ -138,12 +145,10 @@ def by_tier(df: DataFrame) -> DataFrame:
 
 
 def bootstrap_spearman(df: DataFrame, *, key: str = "estab", resamples: int = 500, seed: int = 42) -> DataFrame:
-    """95 % interval of the rank correlation under seeded Poisson weights of each
-    row and resample. Weighted moments of the ranks are summed in one pass; no row is repeated."""
+    """95 % interval of the rank correlation under seeded Poisson weights of each row and resample."""
     ranked = average_ranks(average_ranks(df.select(key, "score", "adverse"), "score", "x"), "adverse", "y")
-    rows = ranked.select(key, "x", "y", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", poisson_weight(F.lit(seed), F.col(key), F.col("b"))).filter("w > 0")
-    s = lambda c: F.sum(F.col("w") * c)
-    m = rows.groupBy("b").agg(F.sum("w").alias("n"), s(F.col("x")).alias("sx"), s(F.col("y")).alias("sy"), s(F.col("x") * F.col("x")).alias("sxx"), s(F.col("y") * F.col("y")).alias("syy"), s(F.col("x") * F.col("y")).alias("sxy"))
+    x, y = F.col("x"), F.col("y")
+    m = resampled_sums(ranked, key, {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}, resamples=resamples, seed=seed)
     rho = F.expr("(n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))")
     return m.select(rho.alias("rho")).agg(F.percentile("rho", F.lit(0.025)).alias("lo"), F.percentile("rho", F.lit(0.975)).alias("hi"), F.avg("rho").alias("mean"))
 
@@ -186,9 +191,9 @@ def bootstrap_means(df: DataFrame, *, bins: int = 8, key: str = "estab", resampl
     """By bin of score between its quantiles the mean outcome and half the width of its 95 %
     interval, under seeded Poisson weights of each row and resample."""
     binned = quantile_bins(df.select(key, "score", "adverse"), "score", bins)
-    rows = binned.select("bin", "adverse", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"), key)
-    rows = rows.withColumn("w", poisson_weight(F.lit(seed), F.col(key), F.col("b")))
-    means = rows.groupBy("bin", "b").agg((F.sum(F.col("w") * F.col("adverse")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    known = binned.filter("adverse is not null")
+    sums = resampled_sums(known, key, {"s": F.col("adverse")}, resamples=resamples, seed=seed, group=F.col("bin"))
+    means = sums.select(F.col("g").alias("bin"), F.try_divide("s", "n").alias("m"))
     spread = means.groupBy("bin").agg(((F.percentile("m", F.lit(0.975)) - F.percentile("m", F.lit(0.025))) / 2).alias("half_width"))  # resamples rows a bin
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("adverse").alias("mean")).join(spread, "bin")
 
@@ -201,15 +206,47 @@ def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
     return out.withColumn("bin", at).drop(*[f"__q{i}" for i in range(1, bins)])
 
 
-def poisson_weight(*seeds: Column) -> Column:
-    """A seeded draw from Poisson(1), by its distribution function."""
-    u = F.shiftrightunsigned(F.xxhash64(*seeds), 11) / float(1 << 53)
-    edges, p, cdf = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        cdf += p
-        edges.append(cdf)
-        p /= k + 1
-    return sum(((u > e).cast("int") for e in edges), F.lit(0))
+def poisson_edges(most: int = 8) -> np.ndarray:
+    """The distribution function of Poisson(1) up to most - 1."""
+    return np.cumsum([math.exp(-1) / math.factorial(k) for k in range(most)])
+
+
+def resample_hashes(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of rows' hashes, each taken on by the resamples' numbers (int), a row of the result for each row."""
+    p = [np.uint64(x) for x in XXH64_PRIMES]
+    rotated = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    v = (h.view(np.uint64)[:, None] + p[4] + np.uint64(4)) ^ (b.astype(np.uint64)[None, :] * p[0])
+    v = rotated(v, 23) * p[1] + p[2]
+    v = (v ^ (v >> np.uint64(33))) * p[1]
+    v = (v ^ (v >> np.uint64(29))) * p[2]
+    return v ^ (v >> np.uint64(32))
+
+
+def resampled_sums(df: DataFrame, key: str, values: dict[str, Column], *, resamples: int, seed: int, group: Column | None = None) -> DataFrame:
+    """(g, b, n, values...): for each group and resample b from 1 the sum of its rows' weights and the weighted sums of the
+    values (null: 0). A row's weight in a resample is a draw from Poisson(1), by the hash of seed, key and b. Rows are not
+    repeated: a task adds a vector of resamples for each group, and hands these on."""
+    names = list(values)
+    rows = df.select((F.lit(0) if group is None else group).cast("long").alias("g"), F.xxhash64(F.lit(seed), key).alias("h"), *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(c) for c, v in values.items()])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        numbers, edges = np.arange(1, resamples + 1), poisson_edges()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                u = (resample_hashes(batch["h"].to_numpy(), numbers) >> np.uint64(11)) / float(1 << 53)
+                w = np.searchsorted(edges, u, "left").astype(np.float64)
+                m = np.stack([np.ones(batch.num_rows), *[batch[c].to_numpy() for c in names]])
+                g = batch["g"].to_numpy()
+                for one in np.unique(g).tolist():
+                    own = g == one
+                    held[one] = held.get(one, 0.0) + m[:, own] @ w[own]
+        for one, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples, one)), pa.array(numbers), *map(pa.array, sums)], ["g", "b", "n", *names])
+
+    parts = rows.mapInArrow(add, "g long, b long, n double, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("g", "b").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
 
 
 def diagnostics(df: DataFrame, thresholds: tuple[int, ...] = (20, 30, 40, 50, 60), *, common: int = 10) -> DataFrame:

@@ -5,10 +5,8 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, Window
@@ -16,8 +14,10 @@ from pyspark.sql import functions as F
 
 from riskledger.functions.labels import driver_label
 from riskledger.functions.scores import tail_weight
+from riskledger.operators.boosting import Forest, fit
 from riskledger.operators.features import FEATURES
 from riskledger.operators.ranking import written
+from riskledger.sources import versions
 
 
 def hash_split(df: DataFrame, key: str, share: int = 80) -> DataFrame:
@@ -25,19 +25,16 @@ def hash_split(df: DataFrame, key: str, share: int = 80) -> DataFrame:
     return df.withColumn("train", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100 < share)
 
 
-def train_scorer(frame: DataFrame, label: str, *, trees: int = 500, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, min_leaf: int = 3, seed: int = 42, rows_per_task: int = 100_000) -> PipelineModel:
-    """M3 / M4: scaled features into boosted regression trees with tail weights (squared loss)."""
-    stages = [
-        VectorAssembler(inputCols=FEATURES, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True),
-        GBTRegressor(featuresCol="scaled", labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=seed),
-    ]
-    few = max(1, min(frame.rdd.getNumPartitions(), -(-frame.count() // rows_per_task)))  # each tree is several jobs: small tables need few tasks
-    return Pipeline(stages=stages).fit(frame.coalesce(few).withColumn("weight", tail_weight(F.col(label))))
+def train_scorer(frame: DataFrame, label: str, *, trees: int = 500, depth: int = 5, rate: float = 0.05, subsample: float = 0.8, min_leaf: int = 3, alpha: float | None = 0.95, seed: int = 42) -> Forest:
+    """M3 / M4: boosted regression trees with tail weights and Huber loss, clipped at the quantile alpha (None: squared
+    loss). Trees compare features one by one, so scaling them first, as the reference does, changes nothing."""
+    rows = frame.withColumn("weight", tail_weight(F.col(label)))
+    return fit(rows, FEATURES, label, "weight", "estab", trees=trees, depth=depth, rate=rate, subsample=subsample, min_leaf=min_leaf, alpha=alpha, seed=seed)
 
 
-def importances(model: PipelineModel, spark) -> DataFrame:
+def importances(model: Forest, spark) -> DataFrame:
     """M9: importance by feature (46 rows)."""
-    return spark.createDataFrame(list(zip(FEATURES, map(float, model.stages[-1].featureImportances.toArray()))), "feature string, weight double")
+    return spark.createDataFrame(list(zip(FEATURES, map(float, model.importances()))), "feature string, weight double")
 
 
 def correlation_weights(frame: DataFrame, label: str) -> DataFrame:
@@ -109,15 +106,20 @@ def inspection_weights(frame: DataFrame, inspected: str, columns: list[str], *,
 
 
 def probability_head(frame: DataFrame, target: str, out: str = "probability", *, trees: int = 20, depth: int = 3, seed: int = 42) -> DataFrame:
-    """Probability of a 0/1 target by boosted trees, calibrated isotonically on the
-    held-out fifth. A target of one kind only is its own probability."""
-    split = hash_split(VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(frame), frame.columns[0])
-    kinds = split.filter("train").agg(F.countDistinct(target)).first()[0]
-    if kinds < 2:
+    """Probability of a 0/1 target by boosted trees. Of all rows, dealt by their first column, 60 % grow the
+    trees (part fit), 20 % calibrate them isotonically (part calibrate), and 20 % are seen by neither (part test).
+    A target of one kind only is its own probability."""
+    place = F.pmod(F.xxhash64(F.col(frame.columns[0]).cast("string")), F.lit(5))
+    part = F.when(place < 3, "fit").when(place == 3, "calibrate").otherwise("test")
+    split = VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(frame).withColumn("part", part)
+    kinds = {r["part"]: r["n"] for r in split.groupBy("part").agg(F.countDistinct(target).alias("n")).collect()}
+    if kinds.get("fit", 0) < 2:
         return split.withColumn(out, F.col(target).cast("double")).drop("__x")
-    model = GBTClassifier(featuresCol="__x", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(split.filter("train"))
+    model = GBTClassifier(featuresCol="__x", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(split.filter("part = 'fit'"))
     scored = model.transform(split).withColumn("raw", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
-    iso = IsotonicRegression(featuresCol="raw", labelCol=target, predictionCol=out).fit(scored.filter("not train"))
+    if kinds.get("calibrate", 0) < 2:
+        return scored.withColumn(out, F.col("raw")).drop("__x", "raw")
+    iso = IsotonicRegression(featuresCol="raw", labelCol=target, predictionCol=out).fit(scored.filter("part = 'calibrate'"))
     return iso.transform(scored).drop("__x", "raw")
 
 
@@ -127,7 +129,7 @@ def expected_value(frame: DataFrame, target: str, out: str, *, trees: int = 20,
     rows = frame.withColumn("__some", (F.col(target) > 0).cast("int"))
     rows = probability_head(rows, "__some", "__p", trees=trees, depth=depth, seed=seed)
     ready = VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(rows).withColumn("__log", F.log1p(F.col(target).cast("double")))
-    positive = ready.filter("train and __some = 1")
+    positive = ready.filter("part = 'fit' and __some = 1")
     if positive.isEmpty():
         return rows.withColumn(out, F.lit(0.0)).drop("__some", "__p")
     model = GBTRegressor(featuresCol="__x", labelCol="__log", predictionCol="__amount", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(positive)
@@ -144,25 +146,32 @@ def usable(published: DataFrame, as_of: datetime.date, features: list[str], *, m
     return published.withColumns({"age": age, "fresh": age.between(0, max_age_days - 1), "same_features": same}).withColumn("usable", F.col("fresh") & F.col("same_features"))
 
 
-def publish(model: PipelineModel, path: str, spark, built: datetime.date, establishments: int) -> None:
-    """The model and, written last, what says when and from what it was built."""
-    model.write().overwrite().save(f"{path}/model")
-    row = spark.createDataFrame([(built, FEATURES, establishments)], "built date, features array<string>, establishments long")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+def fingerprint(rows: DataFrame) -> str:
+    """What tells one population from another, whatever the order of its rows: their number and the sum of their hashes."""
+    h = F.xxhash64(*rows.columns)
+    n, one, two = rows.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.sum(F.xxhash64(h, F.lit(1)).cast("decimal(38,0)"))).first()
+    return f"{n}:{one}:{two}"
 
 
-def load_or_build(path: str, spark, as_of: datetime.date, build, population: DataFrame, *, least: int = 5) -> tuple[PipelineModel | None, bool]:
-    """The published model if it is usable, else a new one, published in turn; whether it
-    is new. None where the population has fewer than least establishments."""
-    try:
-        about = spark.read.parquet(f"{path}/about")
-    except AnalysisException:  # nothing published yet
-        about = None
-    if about is not None and not usable(about, as_of, FEATURES).filter("usable").isEmpty():
-        return PipelineModel.load(f"{path}/model"), False
-    n = population.count()
+def publish(model: Forest, base: str, spark, built: datetime.date, establishments: int, data: str) -> None:
+    """The model and what says when and from what it was built, as one version that readers see whole or not at all."""
+    version = versions.new_version(spark, base)
+    model.save(spark, version)
+    versions.commit(spark, base, version, {"built": built.isoformat(), "features": model.names, "establishments": establishments, "data": data})
+
+
+def load_or_build(base: str, spark, as_of: datetime.date, build, population: DataFrame, *, least: int = 5) -> tuple[Forest | None, bool]:
+    """The published model if it is usable (S11) and was built from this very population, else a new one,
+    published in turn; whether it is new. None where the population has fewer than least establishments."""
+    data, found = fingerprint(population), versions.current(spark, base)
+    if found is not None:
+        version, about = found
+        row = spark.createDataFrame([(datetime.date.fromisoformat(about["built"]), about["features"])], "built date, features array<string>")
+        if about["data"] == data and not usable(row, as_of, FEATURES).filter("usable").isEmpty():
+            return Forest.load(spark, version), False
+    n = int(data.split(":")[0])
     if n < least:
         return None, False
     model = build(population)
-    publish(model, path, spark, as_of, n)
+    publish(model, base, spark, as_of, n, data)
     return model, True

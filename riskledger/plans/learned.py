@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from riskledger.operators import documented as D
 from riskledger.operators import evaluate as E
 from riskledger.operators import features as X
 from riskledger.operators import models as M
+from riskledger.operators.boosting import Forest
 from riskledger.operators.ranking import written
 from riskledger.plans import oracle_base as O
 from riskledger.plans.bindings import AS_OF, CUTOFF
@@ -22,7 +22,7 @@ from riskledger.plans.reports import average_rank
 from riskledger.sources.bronze import shared_base
 
 #: M3's size is train_scorer's own; M4 is the small model of holdout checks.
-SMALL = {"trees": 100, "depth": 3, "rate": 0.1}
+SMALL = {"trees": 100, "depth": 3, "rate": 0.1, "alpha": None}
 OUTCOME_END = AS_OF.replace(month=7)
 END = "DATE '2001-07-01'"
 
@@ -35,7 +35,7 @@ def frame(t: Tables) -> DataFrame:
     return written(M.hash_split(rows.join(history, "estab").join(later, "estab").fillna(0.0), "estab"), "frame")
 
 
-def scorer(t: Tables, **options) -> tuple[DataFrame, PipelineModel, bool]:
+def scorer(t: Tables, **options) -> tuple[DataFrame, Forest, bool]:
     """The training frame, the model of these options over it (the published one while it is
     fresh, see S11), and whether it was built just now."""
     rows = frame(t)
@@ -134,6 +134,17 @@ def weight_shares(t: Tables) -> DataFrame:
     return M.top_weights(plain_weights(t), most=len(X.FEATURES)).select("feature", "weight", "share")
 
 
+@op("K3_model")
+def model_drivers(t: Tables) -> DataFrame:
+    """The largest importances of the trained model; K3 has the weights that SQL can follow."""
+    return M.top_weights(weights(t))
+
+
+@op("W8_model")
+def model_shares(t: Tables) -> DataFrame:
+    return M.top_weights(weights(t), most=len(X.FEATURES)).select("feature", "weight", "share")
+
+
 # ---- calibration ------------------------------------------------------------------------
 def isotonic(least_pairs: int) -> str:
     """SQL: bins of paired, and the rising function nearest to their means, by its min-max formula."""
@@ -252,7 +263,9 @@ def propensity_weights(t: Tables) -> DataFrame:
 def probability_heads(t: Tables) -> DataFrame:
     """The three heads with their composite, the hurdle model of penalties and that of gravity."""
     rows = frame(t).drop("swr", "train").join(labels(t), "estab").join(t.outcomes.select("estab", F.coalesce("penalty", F.lit(0.0)).alias("next_penalty")), "estab")
-    rows = written(rows.withColumn("next_gravity", F.col("avg_gravity")), "heads")
+    later = t.facts.filter((F.col("open_date") >= F.lit(CUTOFF)) & (F.col("open_date") < F.lit(OUTCOME_END)))
+    gravity = later.groupBy("estab").agg(F.try_divide(F.sum("gravity_sum"), F.sum("gravity_n")).alias("next_gravity"))
+    rows = written(rows.join(gravity, "estab", "left").fillna(0.0, ["next_gravity"]), "heads")
     for target, out in (("swr", "p_swr"), ("injury", "p_injury"), ("large_penalty", "p_penalty")):
         rows = M.probability_head(rows, target, out)
     rows = M.expected_value(rows, "next_penalty", "expected_penalty")
@@ -298,8 +311,8 @@ def weight_search(t: Tables) -> DataFrame:
 
 @op("D15")
 def adversarial_validation(t: Tables) -> DataFrame:
-    """Whether a classifier tells feature rows from before the cutoff from later ones: the area under its curve, on rows that it did not see."""
+    """Whether a classifier tells feature rows from before the cutoff from later ones: the area under its curve, on rows that neither its trees nor its calibration saw."""
     periods = ((F.col("open_date") < F.lit(CUTOFF), CUTOFF, 0), (F.col("open_date") >= F.lit(CUTOFF), AS_OF, 1))
     rows = E.union([X.feature_frame(X.establishment_features(t.facts.filter(test), day)).withColumn("period", F.lit(p)) for test, day, p in periods])
-    told = M.probability_head(written(rows, "periods"), "period").filter("not train")
+    told = M.probability_head(written(rows, "periods"), "period").filter("part = 'test'")
     return E.aurocs(told, {"later": F.col("period") == 1}, score="probability")

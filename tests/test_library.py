@@ -165,16 +165,16 @@ def test_published_models(spark, tmp_path):
     assert [r.usable for r in M.usable(df, day, X.FEATURES).collect()] == [True, False, False, False]
 
 
-@pytest.mark.parametrize("name", ["M3", "M4", "M9", "M10_trained", "M11", "E23"])
+@pytest.mark.parametrize("name", ["M3", "M4", "M9", "M10_trained", "M11", "E23", "K3_model", "W8_model"])
 def test_registered_models_have_full_size(spark, monkeypatch, name):
-    """Queries reach the trainer with its own 500 trees, M4 with 100 of depth 3."""
+    """Queries reach the trainer with its own 500 trees of Huber loss, M4 with 100 of depth 3 and squared loss."""
     seen = {}
 
     class Reached(Exception):
         pass
 
-    def train_scorer(frame, label, *, trees=500, depth=5, rate=0.05):
-        seen.update(trees=trees, depth=depth, rate=rate)
+    def train_scorer(frame, label, *, trees=500, depth=5, rate=0.05, alpha=0.95):
+        seen.update(trees=trees, depth=depth, rate=rate, alpha=alpha)
         raise Reached
 
     monkeypatch.setattr(learned.M, "train_scorer", train_scorer)
@@ -182,7 +182,7 @@ def test_registered_models_have_full_size(spark, monkeypatch, name):
     monkeypatch.setattr(learned, "frame", lambda t: spark.createDataFrame([(True,)], "train boolean"))
     with pytest.raises(Reached):
         catalog.QUERIES[name](spark, "")
-    assert seen == ({"trees": 100, "depth": 3, "rate": 0.1} if name == "M4" else {"trees": 500, "depth": 5, "rate": 0.05})
+    assert seen == ({"trees": 100, "depth": 3, "rate": 0.1, "alpha": None} if name == "M4" else {"trees": 500, "depth": 5, "rate": 0.05, "alpha": 0.95})
 
 
 def test_small_model_is_published_and_used_again(spark, tmp_path):
@@ -197,6 +197,9 @@ def test_small_model_is_published_and_used_again(spark, tmp_path):
     again, anew = M.load_or_build(path, spark, day + datetime.timedelta(days=6), build, rows)
     assert (new, anew, built) == (True, False, [1]) and M.importances(first, spark).collect() == M.importances(again, spark).collect()
     assert M.load_or_build(path, spark, day + datetime.timedelta(days=7), build, rows)[1] and len(built) == 2
+    changed = rows.withColumn("label", F.when(F.col("estab") == "7", 99.0).otherwise(F.col("label")))
+    assert M.load_or_build(path, spark, day + datetime.timedelta(days=8), build, changed)[1] and len(built) == 3  # other data, same place and day
+    assert not M.load_or_build(path, spark, day + datetime.timedelta(days=8), build, changed.repartition(7))[1]
     assert M.load_or_build(f"{path}-few", spark, day, build, rows.limit(4)) == (None, False)
 
 
