@@ -13,6 +13,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,8 @@ READ_SCHEMA = "warc_type string, record_id string, target_uri string, refers_to
 WRITE_COLUMNS = ["warc_type", "record_id", "target_uri", "refers_to", "payload_digest", "http_length", "payload"]
 FIELDS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+#: Each write of an archive leaves one manifest, _manifest-<id>.json: its files, and the manifests that it replaces.
+MANIFEST = "_manifest"
 BATCH_BYTES = 4 << 20
 
 
@@ -38,9 +40,23 @@ def filesystem(path: str):
     """File system and path of a URI or plain path."""
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
+def manifests(files, root: str) -> dict[str, dict]:
+    """The manifests of an archive that no other replaces, by name."""
+    from pyarrow import fs
+
+    found = {}
+    for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(MANIFEST) and info.base_name.endswith(".json"):
+            with files.open_input_stream(info.path) as f:
+                found[info.base_name] = json.loads(f.read())
+    gone = {name for m in found.values() for name in m["replaces"]}
+    return {name: m for name, m in found.items() if name not in gone}
+
+
 def record(row: dict, date: str) -> bytes:
     """One WARC/1.1 record; the block is an HTTP response, for revisits its header alone."""
     payload = row["payload"] or b""
@@ -110,9 +126,8 @@ class WarcReader(DataSourceReader):
         scheme = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
         if files.get_file_info(root).type == fs.FileType.File:
             return [File(self.path)]
-        if files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with files.open_input_stream(f"{root}/{MANIFEST}") as f:
-                return [File(f"{scheme}{root}/{name}") for name in json.loads(f.read())]
+        if found := manifests(files, root):
+            return [File(f"{scheme}{root}/{name}") for _, m in sorted(found.items()) for name in m["files"]]
         found = files.get_file_info(fs.FileSelector(root, recursive=True))
         return [File(scheme + x.path) for x in found if x.path.endswith((".warc", ".warc.gz"))]
 
@@ -180,7 +195,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool):
+        self.overwrite = overwrite
         self.path, self.gzip = options["path"], options.get("gzip", "false").lower() == "true"
         self.date, self.most = options.get("date", "1970-01-01T00:00:00Z"), int(options.get("filebytes", 1 << 30))
 
@@ -206,8 +222,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         files, root = filesystem(self.path)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps(sorted(n for m in messages if m is not None for n in m.files)).encode())
+        old = manifests(files, root) if self.overwrite else {}
+        mine = {"files": sorted(n for m in messages if m is not None for n in m.files), "replaces": sorted(old)}
+        with files.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
+            f.write(json.dumps(mine).encode())
+        for name in [*old, *(n for m in old.values() for n in m["files"])]:  # nobody reads these any more
+            files.delete_file(f"{root}/{name}")
 
     def abort(self, messages) -> None:
         files, root = filesystem(self.path)
@@ -217,7 +237,8 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Options: path; reading: payload; writing: gzip, date, filebytes."""
+    """Options: path; reading: payload; writing: gzip, date, filebytes. Writes append to what the path has, or replace it
+    with mode overwrite; either way readers see a write whole or not at all."""
 
     @classmethod
     def name(cls) -> str:
@@ -230,7 +251,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -238,8 +259,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def archive(pages: DataFrame, path: str, *, least_bytes: int = 100, **options) -> None:
-    """Write one record per row of pages (page_id, url, html; other columns are not read).
+def archive(pages: DataFrame, path: str, *, least_bytes: int = 100, mode: str = "append", **options) -> None:
+    """Write one record per row of pages (page_id, url, html; other columns are not read), beside what
+    the path has or, with mode overwrite, in its place.
 
     Payloads are the html in UTF-8 (null: empty). Among rows with equal payloads of at
     least least_bytes, those with the smallest page_id are responses (so are repeated rows of
@@ -258,7 +280,7 @@ def archive(pages: DataFrame, path: str, *, least_bytes: int = 100, **options) -
     rows.select(
         F.when(F.col("__revisit"), "revisit").otherwise("response").alias("warc_type"), urn("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.when(F.col("__revisit"), urn("first")).alias("refers_to"),
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.length("payload").cast("long").alias("http_length"), F.when(~F.col("__revisit"), F.col("payload")).alias("payload"),
-    ).write.format("warc").mode("append").options(**options).save(path)
+    ).write.format("warc").mode(mode).options(**options).save(path)
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
