@@ -31,12 +31,16 @@ def establishment_features(facts: DataFrame, as_of: datetime.date, *, recency_da
     """A2: the 17 features by establishment, with counts, raw rates and the industry group."""
     group = F.when(F.col("naics_code").rlike(r"^\d{4,}$"), F.substring("naics_code", 1, 4))
     facts = facts.withColumn("__group", group)
-    n, s = F.count(F.lit(1)), lambda c: F.sum(c)
-    out = facts.groupBy(*keys).agg(
-        n.alias("n_inspections"), s("n_violations").alias("n_violations"), s("serious").alias("serious"), s("willful").alias("willful"), s("repeat").alias("repeat"), s("penalty").alias("total_penalty"), F.max("max_penalty").alias("max_penalty"),
+    n, sums = F.count(F.lit(1)), ["n_violations", "serious", "willful", "repeat", "accidents", "fatalities", "injuries"]
+    # first by industry, too, whose counts are the votes: facts are read once
+    parts = facts.groupBy(*keys, "__group").agg(
+        n.alias("n_inspections"), *[F.sum(c).alias(c) for c in sums], F.sum("penalty").alias("total_penalty"), F.max("max_penalty").alias("max_penalty"),
         F.count_if(F.col("open_date") >= F.date_sub(F.lit(as_of), recency_days)).alias("recent"), F.count_if(F.col("accidents") > 0).alias("severe"), F.count_if(F.col("n_violations") == 0).alias("clean"),
-        s("accidents").alias("accidents"), s("fatalities").alias("fatalities"), s("injuries").alias("injuries"), s("gravity_sum").alias("__g"), s("gravity_n").alias("__gn"),
+        F.sum("gravity_sum").alias("__g"), F.sum("gravity_n").alias("__gn"),
     )
+    vote = F.when(F.col("__group").isNotNull(), F.struct(-F.col("n_inspections"), F.col("__group")))
+    added = ["n_inspections", *sums, "total_penalty", "recent", "severe", "clean", "__g", "__gn"]
+    out = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in added], F.max("max_penalty").alias("max_penalty"), F.min_by("__group", vote).alias("industry_group"))
     per = lambda c: F.col(c) / F.col("n_inspections")
     some = F.greatest(F.col("n_violations"), F.lit(1))
     out = out.withColumns({
@@ -44,7 +48,7 @@ def establishment_features(facts: DataFrame, as_of: datetime.date, *, recency_da
         "violations_per_inspection": per("n_violations"), "accident_rate": per("accidents"), "fatality_rate": per("fatalities"), "injury_rate": per("injuries"), "avg_gravity": F.coalesce(F.try_divide("__g", "__gn"), F.lit(0.0)),
         "penalty_per_inspection": per("total_penalty"), "clean_ratio": per("clean"), "raw_serious_rate": F.col("serious") / some, "raw_wr_rate": (F.col("willful") + F.col("repeat")) / some,
     }).withColumns({"raw_vpi": F.col("violations_per_inspection"), "raw_avg_pen": F.col("avg_penalty")}).drop("__g", "__gn")
-    return out.join(majority(facts, list(keys), "__group", "industry_group"), list(keys), "left")
+    return out
 
 
 def industry_statistics(features: DataFrame, *, min_sample: int = 10) -> DataFrame:

@@ -75,6 +75,8 @@ assessed AS (SELECT c.company_key, round_even(weighted_score, 1) AS risk_score,
 
 
 def assessed(t: Tables) -> DataFrame:
+    t.facts = written(t.facts, "facts")  # read for sites, companies and counts
+    t.features = written(t.features, "features")
     sites = written(t.sites, "sites")
     stats = X.industry_statistics(t.features)
     own = X.establishment_features(t.facts, AS_OF, keys=("company_key",))
