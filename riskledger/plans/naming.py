@@ -26,7 +26,7 @@ def swap(c: str, pattern: str, new: str = "") -> str:
 
 
 ASKED = "(VALUES " + ", ".join(f"({sq(q)})" for q in QUERIES) + ") q(query)"
-CLEAN = f"upper(regexp_replace(regexp_replace(translate(raw_name, {sq(N.MARKED + '‘’‚‛′‵`＆')}, {sq(N.PLAIN)} || repeat('''', 7) || '&'), '[‐-―−]', '-', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'))"
+CLEAN = f"upper(regexp_replace(regexp_replace(translate(strip_accents(raw_name), {sq(N.QUOTES + N.AMPERSANDS)}, repeat('''', {len(N.QUOTES)}) || '&'), '[‐-―−]', '-', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'))"
 CLEAN = swap(f"trim({CLEAN})", r"^[A-Z0-9]{5,}\s*-\s+([A-Z])", r"\1")
 CLEAN = swap(swap(f"replace({swap(CLEAN, r'\s*/\s*', ' ')}, '''', '')", r"\s*&\s*", " AND "), r"\s{2,}", " ")
 ONE_UNIT = swap(swap(swap("s", r"\s*#\s*\d+\s*$"), r"\s+\d{4,}\s*$"), r"\s*[-,/]\s*$")
