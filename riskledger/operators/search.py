@@ -50,16 +50,27 @@ def fuzzy_candidates(queries: DataFrame, keys: DataFrame, *, least: float = 0.55
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= best)
 
 
-def grouped_results(candidates: DataFrame, names: DataFrame, *, others: int = 4) -> DataFrame:
-    """R2: parents of each query with their facilities: the top group, the next ones, and
-    unmatched single facilities under 0.65."""
-    members = names.withColumn("company_key", match_key(F.col("raw_name"))).select("company_key", F.struct(F.col("raw_name"), display_name(F.col("raw_name")).alias("parent"), facility_code(F.col("raw_name")).alias("code")).alias("f"))
-    facilities = members.groupBy("company_key").agg(F.array_sort(F.collect_list("f")).alias("facilities"))
-    out = candidates.join(facilities, "company_key").withColumn("confidence", confidence_label(F.col("similarity")))
-    unmatched = (F.size("facilities") == 1) & (F.col("similarity") < 0.65)
-    w = Window.partitionBy("query", "unmatched").orderBy(F.desc("similarity"), F.desc(F.size("facilities")), "company_key")
+def keyed_facilities(names: DataFrame) -> DataFrame:
+    """(company_key, raw_name, parent, code): each name of a company as a facility."""
+    raw = F.col("raw_name")
+    return names.select(match_key(raw).alias("company_key"), "raw_name", display_name(raw).alias("parent"), facility_code(raw).alias("code"))
+
+
+def grouped_results(candidates: DataFrame, facilities: DataFrame, *, others: int = 4, loose: int = 10) -> DataFrame:
+    """R2: parents of each query with how many facilities they have: the top group, the next ones, and unmatched
+    single facilities under 0.65. The facilities themselves, of whatever number, are rows: see group_facilities."""
+    sizes = facilities.groupBy("company_key").agg(F.count(F.lit(1)).alias("facilities"))
+    out = candidates.join(sizes, "company_key").withColumn("confidence", confidence_label(F.col("similarity")))
+    unmatched = (F.col("facilities") == 1) & (F.col("similarity") < 0.65)
+    w = Window.partitionBy("query", "unmatched").orderBy(F.desc("similarity"), F.desc("facilities"), "company_key")
     out = out.withColumn("unmatched", unmatched).withColumn("place", F.row_number().over(w))
-    return out.filter(F.when(F.col("unmatched"), F.col("place") <= 10).otherwise(F.col("place") <= 1 + others)).withColumn("tier", F.when(F.col("unmatched"), "unmatched").when(F.col("place") == 1, "top").otherwise("other"))
+    out = out.filter(F.when(F.col("unmatched"), F.col("place") <= loose).otherwise(F.col("place") <= 1 + others))
+    return out.withColumn("tier", F.when(F.col("unmatched"), "unmatched").when(F.col("place") == 1, "top").otherwise("other"))
+
+
+def group_facilities(groups: DataFrame, facilities: DataFrame) -> DataFrame:
+    """R2: a row for each facility of each group that was found."""
+    return groups.select("query", "tier", "place", "company_key", "confidence").join(facilities, "company_key")
 
 
 def code_evidence(questions: DataFrame, inspections: DataFrame, violations: DataFrame, notes: DataFrame, *, rows: int = 20, most_notes: int = 3, snippet: int = 500) -> DataFrame:

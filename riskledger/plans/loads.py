@@ -36,7 +36,7 @@ def chunks(t: Tables) -> tuple[str, list[str]]:
 def csv_scan(t: Tables) -> DataFrame:
     """Rows with the natural place of their chunk: part2 comes before part10."""
     path, columns = chunks(t)
-    rows = B.read_csv_folder(t.spark, path, columns, chunks=True)
+    rows = B.read_csv_folder(t.spark, path, columns, chunks=True, line_ends=False)
     return rows.select(F.col("p_partkey").cast("long").alias("p_partkey"), "raw_name", F.col("chunk_order").cast("long").alias("chunk_order"))
 
 
@@ -122,7 +122,7 @@ def incremental(t: Tables) -> DataFrame:
     rows = t.violations.select("activity_nr", "citation_id", "viol_type", "issuance_date", "current_penalty", "delete_flag")
     early, again = F.crc32(F.concat("activity_nr", F.lit("-"), "citation_id")) % 3 != 0, F.crc32("activity_nr") % 11 == 0
     schema = "activity_nr string, citation_id string, viol_type string, issuance_date date, current_penalty double, delete_flag string"
-    load = lambda: load_violations(t.spark, land, schema, table, progress)
+    load = lambda: load_violations(t.spark, land, schema, table, progress, buckets=buckets(t))
     rows.filter(early).unionByName(rows.filter(early & again)).write.parquet(land)
     load()
     rows.filter(~early | again).write.mode("append").parquet(land)

@@ -10,6 +10,7 @@ from riskledger.functions import fuzzy as Z
 from riskledger.functions import names as N
 from riskledger.functions import scores as S
 from riskledger.operators import search as Q
+from riskledger.operators.ranking import written
 from riskledger.plans.bindings import with_views
 from riskledger.plans.catalog import I, Tables, address, op
 
@@ -195,16 +196,23 @@ def members(t: Tables) -> DataFrame:
 
 @op("K1", f"{SEARCH} SELECT query, tier, CAST(place AS INT) AS place, company_key FROM grouped")
 def ordered_groups(t: Tables) -> DataFrame:
-    return Q.grouped_results(search(t), t.names).select("query", "tier", "place", "company_key")
+    return Q.grouped_results(search(t), Q.keyed_facilities(t.names)).select("query", "tier", "place", "company_key")
 
 
 @op("R2", f"""{SEARCH}, f AS (SELECT company_key, string_agg(DISTINCT coalesce({CODE_SQL}, '-'), ' ' ORDER BY coalesce({CODE_SQL}, '-')) AS codes FROM keyed GROUP BY 1)
 SELECT query, tier, CAST(place AS INT) AS place, company_key, CASE WHEN similarity >= 0.85 THEN 'High' WHEN similarity >= 0.65 THEN 'Medium' ELSE 'Low' END AS confidence,
   facilities, codes FROM grouped JOIN f USING (company_key)""")
 def company_groups(t: Tables) -> DataFrame:
-    codes = F.array_join(F.array_sort(F.array_distinct(F.transform("facilities", lambda f: F.coalesce(f["code"], F.lit("-"))))), " ")
-    found = Q.grouped_results(search(t), t.names)
-    return found.select("query", "tier", "place", "company_key", "confidence", F.size("facilities").cast("long").alias("facilities"), codes.alias("codes"))
+    facilities = written(Q.keyed_facilities(t.names), "facilities")
+    groups = written(Q.grouped_results(search(t), facilities), "groups")
+    codes = Q.group_facilities(groups, facilities).groupBy("query", "company_key").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("code", F.lit("-")))), " ").alias("codes"))
+    return groups.join(codes, ["query", "company_key"]).select("query", "tier", "place", "company_key", "confidence", "facilities", "codes")
+
+
+@op("R2_facilities", f"{SEARCH} SELECT query, tier, CAST(place AS INT) AS place, company_key, raw_name, {CODE_SQL} AS code FROM grouped JOIN keyed USING (company_key)")
+def facility_rows(t: Tables) -> DataFrame:
+    facilities = Q.keyed_facilities(t.names)
+    return Q.group_facilities(Q.grouped_results(search(t), facilities), facilities).select("query", "tier", "place", "company_key", "raw_name", "code")
 
 
 @op("D13", f"""{NAMES}, v AS (SELECT p_partkey, place_free AS old_key, company_key AS new_key FROM keyed)

@@ -37,11 +37,11 @@ def chunk_order(spark: SparkSession, folder: str) -> DataFrame:
     return names.withColumn("chunk_order", F.row_number().over(Window.orderBy(number(F.col("chunk")), "chunk")))
 
 
-def read_csv_folder(spark: SparkSession, folder: str, columns: list[str], *, chunks: bool = False) -> DataFrame:
-    """All chunks as text columns with lower-case names; texts may hold line ends and be long.
-    With chunks, chunk_order is the natural place of the row's chunk."""
+def read_csv_folder(spark: SparkSession, folder: str, columns: list[str], *, chunks: bool = False, line_ends: bool = True) -> DataFrame:
+    """All chunks as text columns with lower-case names; texts may be long and, with line_ends, hold line ends; a
+    file is then one task, else it is cut into many. With chunks, chunk_order is the natural place of the row's chunk."""
     schema = StructType([StructField(c, StringType()) for c in columns])
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1)
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", line_ends).option("escape", '"').option("maxCharsPerColumn", -1)
     rows = reader.csv(folder)
     if not chunks:
         return rows.select(*columns).toDF(*[c.lower() for c in columns])
