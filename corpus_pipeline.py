@@ -8,10 +8,23 @@ from riskledger.llm import decontaminate, langid, mixing, ngram_join, token_outp
 from riskledger.llm._common import cut, discard, scratch, table
 
 
+#: Most texts of a batch between Spark and Python: each task holds some batches, on both sides.
+BATCH_TEXTS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand on no more than BATCH_TEXTS rows at a time; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_TEXTS:
+        spark.conf.set(name, str(BATCH_TEXTS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no learned language explains go, null and empty texts and those without letters
     among them, and all where no document names its language. Repeated rows share their fate;
     very long texts are read whole; other columns stay, whatever their names; an empty table stays empty."""
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
@@ -19,6 +32,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8) stays, the one with the smallest
     doc_id, all its rows if it has several. Documents without words or without a doc_id stay; other
     columns stay; an empty table stays empty."""
+    small_batches(spark)
     return ngram_join.keep_one_each(docs, k=5, percent=80)
 
 
@@ -39,6 +53,7 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Token ids in ORC, and a digest per row read back from there: (doc_id, start, n_tokens,
     ids_crc32). A null text has the end id alone; null doc_ids come first, repeated rows one after the
     other; an empty table gives no rows."""
+    small_batches(spark)
     path = scratch(spark, "tokens")
     token_output.write_tokens(docs, path, token_output.default_tokenizer())
     return token_output.token_digests(spark, path)
