@@ -19,9 +19,12 @@ def extra_features(facts: DataFrame, as_of: datetime.date, *, tau_years: float =
     out = facts.groupBy("estab").agg(
         F.sum(F.col("penalty") * F.exp(-age / tau_years)).alias("decayed_penalty"), F.sum(F.when(recent, wr).otherwise(0)).alias("__r"), F.sum(wr).alias("__wr"),
         F.avg(F.when(recent, F.col("n_violations"))).alias("__new"), F.avg("n_violations").alias("__all"), F.log1p(F.sum("willful")).alias("log_willful"), F.log1p(F.sum("repeat")).alias("log_repeat"),
-        (F.sum("fatalities") > 0).cast("int").alias("any_fatality"), F.log1p(F.max("penalty")).alias("log_worst_penalty"), F.log1p(F.median("nr_in_estab")).alias("log_median_size"),
+        (F.sum("fatalities") > 0).cast("int").alias("any_fatality"), F.log1p(F.max("penalty")).alias("log_worst_penalty"),
     )
-    return out.withColumns({"recent_wr_share": F.coalesce(F.try_divide("__r", "__wr"), F.lit(0.0)), "trend_delta": F.col("__all") - F.coalesce("__new", F.lit(0.0))}).drop("__r", "__wr", "__new", "__all")
+    # sizes are counted by value first, so that a median holds an establishment's distinct sizes, not its inspections
+    sizes = facts.groupBy("estab", "nr_in_estab").agg(F.count(F.lit(1)).alias("__times"))
+    medians = sizes.groupBy("estab").agg(F.log1p(F.percentile("nr_in_estab", F.lit(0.5), F.col("__times"))).alias("log_median_size"))
+    return out.join(medians, "estab").withColumns({"recent_wr_share": F.coalesce(F.try_divide("__r", "__wr"), F.lit(0.0)), "trend_delta": F.col("__all") - F.coalesce("__new", F.lit(0.0))}).drop("__r", "__wr", "__new", "__all")
 
 
 def penalty_percentiles(facts: DataFrame, before: datetime.date, *, least: int = 50) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskledger.functions.labels import sector_label
 from riskledger.functions.scores import ceiling, heuristic_label, normal_percentile, recommendation
-from riskledger.operators.ranking import running_totals
+from riskledger.operators.ranking import percentiles, running_totals
 
 
 def site_scores(features: DataFrame, *, label: Column | None = None) -> DataFrame:
@@ -21,11 +21,12 @@ def company_rollup(sites: DataFrame, keys: list[str], *, high: float = 60.0, ele
     """A6 + A7 + F5: one row per company; systemic if most sites score high, or if several
     have willful or repeat violations and the mean is elevated."""
     n = F.col("n_inspections")
+    medians = percentiles(sites.select(*keys, "score"), keys, "score", {"median_score": 0.5}).drop("n")  # no company's scores in one task
     out = sites.groupBy(*keys).agg(
-        (F.sum(F.col("score") * n) / F.sum(n)).alias("weighted_score"), F.max("score").alias("max_score"), F.median("score").alias("median_score"), F.count(F.lit(1)).alias("sites"),
+        (F.sum(F.col("score") * n) / F.sum(n)).alias("weighted_score"), F.max("score").alias("max_score"), F.count(F.lit(1)).alias("sites"),
         F.count_if(F.col("score") >= high).alias("high_sites"), F.count_if((F.col("willful") + F.col("repeat")) > 0).alias("wr_sites"), F.sum(n).alias("n_inspections"),
     )
-    out = out.withColumn("concentration", F.col("high_sites") / F.col("sites"))
+    out = out.join(medians, keys, "left").withColumn("concentration", F.col("high_sites") / F.col("sites"))
     systemic = (F.col("concentration") > 0.5) | ((F.col("sites") >= 2) & (F.col("wr_sites") >= 2) & (F.col("weighted_score") >= elevated))
     out = out.withColumn("systemic", systemic)
     return out.withColumn("recommendation", recommendation(F.col("weighted_score"), F.col("sites"), F.col("systemic")))
