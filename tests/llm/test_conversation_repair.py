@@ -84,29 +84,33 @@ def random_rows(seed, conversations, longest):
     return rows + rows[: len(rows) // 20]
 
 
-@pytest.mark.parametrize("segment", [3, C.SEGMENT])
-def test_random_conversations_against_plain_search(spark, monkeypatch, segment):
-    monkeypatch.setattr(C, "SEGMENT", segment)  # the driver's Python workers get their own copy; so the class is tried here
+def test_random_conversations_against_plain_search(spark):
     table = random_rows(5, 120, 12)
-    want = plain(table)
-    if segment == C.SEGMENT and segment != 3:
-        assert found(spark, table) == want
-    for conv in want:
-        talk = C.Conversation(conv)
-        rows = []
-        for c, turn, role, text in table:
-            if c == conv:
-                fate = zlib.crc32(f"{c}:{' ' if turn is None else turn}".encode()) % 20
-                role, text = " " if role is None else role, " " if text is None else text
-                text = "" if fate == 1 else "".join(x for x in text if x not in ".!?") if fate == 2 else text
-                role = "user" if fate == 4 else role
-                rows += [(turn, role, text)] * (0 if fate == 0 else 2 if fate == 3 else 1)
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest()))
-        seen = set()
-        for turn, role, text in rows:
+    assert found(spark, table) == plain(table)
+
+
+def damaged_rows(table, conv):
+    """A conversation's rows after damage, in order: (turn, role, text)."""
+    rows = []
+    for c, turn, role, text in table:
+        if c == conv:
+            fate = zlib.crc32(f"{c}:{' ' if turn is None else turn}".encode()) % 20
+            role, text = " " if role is None else role, " " if text is None else text
+            text = "" if fate == 1 else "".join(x for x in text if x not in ".!?") if fate == 2 else text
+            rows += [(turn, "user" if fate == 4 else role, text)] * (0 if fate == 0 else 2 if fate == 3 else 1)
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest()))
+
+
+@pytest.mark.parametrize("segment", [1, 2, 3, 7])
+def test_segments_of_any_length_give_the_same(monkeypatch, segment):
+    monkeypatch.setattr(C, "SEGMENT", segment)  # here, not in Spark's workers
+    table = random_rows(6, 120, 12)
+    for conv, want in plain(table).items():
+        talk, seen = C.Conversation(conv), set()
+        for turn, role, text in damaged_rows(table, conv):
             talk.add(turn, role, text, (role, text) in seen)
             seen.add((role, text))
-        assert talk.result()[1:] == want[conv]
+        assert talk.result()[1:] == want
 
 
 def test_long_conversations_run_through_segments(spark):
