@@ -147,8 +147,9 @@ def usable(published: DataFrame, as_of: datetime.date, features: list[str], *, m
 
 
 def fingerprint(rows: DataFrame) -> str:
-    """What tells one population from another, whatever the order of its rows: their number and the sum of their hashes."""
-    h = F.xxhash64(*rows.columns)
+    """What tells one population from another, whatever the order of its rows: their number and the sum of their hashes.
+    Sums of doubles end in other bits whenever they are added in another order, so doubles count as single floats."""
+    h = F.xxhash64(*[F.col(c).cast("float") if kind == "double" else F.col(c) for c, kind in rows.dtypes])
     n, one, two = rows.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.sum(F.xxhash64(h, F.lit(1)).cast("decimal(38,0)"))).first()
     return f"{n}:{one}:{two}"
 
