@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from riskledger.sources.bronze import shared_folder
 
 #: Bins of a feature, of residual sizes and of a leaf's residuals; trees until predictions are kept anew.
 BINS, SIZE_BINS, LEAF_BINS, KEPT = 64, 8192, 2048, 25
+#: Histograms of more tasks than these are added up among the tasks first.
+FEW_TASKS = 16
 ALL = 255
 
 
@@ -208,10 +211,11 @@ def fit(frame: DataFrame, names: list[str], label: str, weight: str, key: str, *
     packed = rows.select("y", "w", "k", F.array(*[f"x{i}" for i in range(len(names))]).alias("x")).coalesce(max(1, min(-(-n // rows_per_task), 100_000)))
     packed.mapInArrow(binned(edges), "x binary, y binary, w binary, k binary").write.parquet(path)
     read, context, width = spark.read.parquet(path).rdd, spark.sparkContext, len(names)
-    span = max(high - low, 1e-9)
+    span, tasks = max(high - low, 1e-9), read.getNumPartitions()
 
     def total(blocks, of) -> np.ndarray:
-        return blocks.map(of).treeReduce(np.add)
+        parts = blocks.map(of)
+        return parts.treeReduce(np.add) if tasks > FEW_TASKS else reduce(np.add, parts.collect())
 
     start_bins = total(read, lambda r: np.bincount(np.clip((np.frombuffer(r["y"]) - low) / span * SIZE_BINS, 0, SIZE_BINS - 1).astype(np.int64), np.frombuffer(r["w"]), SIZE_BINS))
     out.start = low + (quantile(start_bins, 0.5) + 0.5) / SIZE_BINS * span if alpha is not None else total(read, lambda r: (np.frombuffer(r["y"]) * np.frombuffer(r["w"])).sum()) / total(read, lambda r: np.frombuffer(r["w"]).sum())

@@ -95,10 +95,12 @@ def test_outliers_pull_huber_less(spark):
 
 def test_predictions_are_kept_and_models_reload(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(B, "KEPT", 3)
+    monkeypatch.setattr(B, "FEW_TASKS", 0)
     rows = spark.range(500).select(F.col("id").cast("string").alias("id"), (F.col("id") % 17).cast("double").alias("a"), F.lit(None).cast("double").alias("b"), (F.col("id") % 17 * 2.0).alias("y"), F.lit(1.0).alias("w"))
     options = {"depth": 2, "rate": 0.3, "subsample": 0.8, "min_leaf": 3, "alpha": 0.9}
     model = B.fit(rows, ["a", "b"], "y", "w", "id", trees=10, **options)
     monkeypatch.setattr(B, "KEPT", 25)
+    monkeypatch.setattr(B, "FEW_TASKS", 16)
     other = B.fit(rows, ["a", "b"], "y", "w", "id", trees=10, **options)
     x = np.stack([np.arange(17.0), np.zeros(17)], axis=1)
     assert np.allclose(model.predict(x), other.predict(x))
