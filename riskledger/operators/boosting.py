@@ -76,7 +76,7 @@ class Forest:
         rows = [(i, f.tolist(), c.tolist(), v.tolist(), g.tolist()) for i, (f, c, v, g) in enumerate(zip(self.feature, self.cut, self.value, self.gain))]
         kinds = "tree int, feature array<int>, cut array<double>, value array<double>, gain array<double>"
         spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{path}/trees")
-        spark.createDataFrame([(self.names, self.depth, self.rate, self.start)], "names array<string>, depth int, rate double, start double").coalesce(1).write.parquet(f"{path}/shape")
+        spark.createDataFrame([(self.names, self.depth, self.rate, float(self.start))], "names array<string>, depth int, rate double, start double").coalesce(1).write.parquet(f"{path}/shape")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Forest:

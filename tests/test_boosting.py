@@ -121,3 +121,11 @@ def test_resampled_sums_against_repeated_rows(spark):
     assert "Generate" not in found._jdf.queryExecution().toString()
     got = {(r.g, r.b): (r.n, r.s) for r in found.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_model_of_squared_loss_reloads(spark, tmp_path):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 * 2.0).alias("y"), F.lit(1.0).alias("w"))
+    model = B.fit(rows, ["a"], "y", "w", "id", trees=2, depth=2, rate=0.3, subsample=0.8, min_leaf=3, alpha=None)
+    model.save(spark, f"file://{tmp_path}/m")
+    x = np.arange(7.0)[:, None]
+    assert np.array_equal(B.Forest.load(spark, f"file://{tmp_path}/m").predict(x), model.predict(x))
