@@ -1,7 +1,7 @@
 """Boosted regression trees with Huber loss (Spark ML has squared and absolute loss only).
 
 Rows are binned once and written in blocks; a tree is grown level by level from histograms that tasks
-sum over their blocks, so only histograms travel. Each tree fits residuals that are clipped at a quantile of their
+sum over their blocks, so only histograms travel. Rows that fill one task only grow all trees in one job. Each tree fits residuals that are clipped at a quantile of their
 size, and each leaf then takes the median of its residuals, moved by the mean of what lies around it, clipped alike.
 Blocks keep predictions up to some tree and add the trees since then; a lost block is read again and takes all trees.
 """
@@ -9,8 +9,8 @@ Blocks keep predictions up to some tree and add the trees since then; a lost blo
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -117,7 +117,7 @@ def binned(edges: list[np.ndarray]):
 
 @dataclass
 class Block:
-    """Binned rows with label, weight, key, and predictions so far."""
+    """A task's binned rows with label, weight, key, and predictions so far."""
 
     x: np.ndarray
     y: np.ndarray
@@ -126,9 +126,20 @@ class Block:
     at: np.ndarray
 
 
-def block(row, width: int, start: float) -> Block:
-    y = np.frombuffer(row["y"])
-    return Block(np.frombuffer(row["x"], np.uint8).reshape(-1, width), y, np.frombuffer(row["w"]), np.frombuffer(row["k"], np.int64), np.full(y.size, start))
+def block_of(found: Iterable, width: int) -> Block:
+    """All blocks of a task as one, ordered by key, so that sums don't hang on the order of arrival; bins lie feature by feature."""
+    kinds = {"x": np.uint8, "y": np.float64, "w": np.float64, "k": np.int64}
+    parts: dict[str, list[np.ndarray]] = {c: [np.zeros(0, kind)] for c, kind in kinds.items()}
+    for row in found:
+        for c, kind in kinds.items():
+            parts[c].append(np.frombuffer(row[c], kind))
+    x, y, w, k = (np.concatenate(parts[c]) for c in kinds)
+    order = np.lexsort((y, k))
+    return Block(np.asfortranarray(x.reshape(-1, width)[order]), y[order], w[order], k[order], np.zeros(y.size))
+
+
+def block(batches: Iterator[pa.RecordBatch], width: int) -> Block:
+    return block_of((row for batch in batches for row in batch.to_pylist()), width)
 
 
 def sampled(k: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
@@ -153,13 +164,6 @@ class Tree:
         return cls(np.zeros(n, np.int64), np.full(n, ALL), np.zeros(n + 1), np.zeros(n))
 
 
-def residuals(b: Block, since: list[Tree], rate: float, depth: int) -> np.ndarray:
-    at = b.at
-    for t in since:
-        at = at + rate * t.value[leaves(b.x, t.feature, t.bin, depth)]
-    return b.y - at
-
-
 # ---- growing -------------------------------------------------------------------------------
 
 
@@ -210,73 +214,180 @@ def fit(frame: DataFrame, names: list[str], label: str, weight: str, key: str, *
     path = shared_folder(spark, f"blocks-{uuid.uuid4().hex}")
     packed = rows.select("y", "w", "k", F.array(*[f"x{i}" for i in range(len(names))]).alias("x")).coalesce(max(1, min(-(-n // rows_per_task), 100_000)))
     packed.mapInArrow(binned(edges), "x binary, y binary, w binary, k binary").write.parquet(path)
-    read, context, width = spark.read.parquet(path).rdd, spark.sparkContext, len(names)
-    span, tasks = max(high - low, 1e-9), read.getNumPartitions()
+    tasks = max(1, -(-n // rows_per_task))
+    shape = Shape(uuid.uuid4().hex, [e.size + 1 for e in edges], float(low), max(float(high - low), 1e-9), trees, depth, rate, subsample, min_leaf, alpha, seed)
+    read = spark.read.parquet(path).repartition(tasks)
+    if tasks == 1:
+        kinds = "start double, feature array<long>, bin array<long>, value array<double>, gain array<double>"
+        grown = [(r["start"], Tree(*map(np.array, r[1:]))) for r in read.mapInArrow(alone(shape), kinds).collect()]
+    else:
+        grown = together(read, shape, tasks)
+    for start, tree in grown:
+        out.start = start
+        out.feature.append(tree.feature)
+        out.cut.append(np.array([edges[f][b] if b < len(edges[f]) else np.inf for f, b in zip(tree.feature, tree.bin)], float))
+        out.value.append(tree.value)
+        out.gain.append(tree.gain)
+    return out
 
-    def total(blocks, of) -> np.ndarray:
-        parts = blocks.map(of)
-        return parts.treeReduce(np.add) if tasks > FEW_TASKS else reduce(np.add, parts.collect())
 
-    start_bins = total(read, lambda r: np.bincount(np.clip((np.frombuffer(r["y"]) - low) / span * SIZE_BINS, 0, SIZE_BINS - 1).astype(np.int64), np.frombuffer(r["w"]), SIZE_BINS))
-    out.start = low + (quantile(start_bins, 0.5) + 0.5) / SIZE_BINS * span if alpha is not None else total(read, lambda r: (np.frombuffer(r["y"]) * np.frombuffer(r["w"])).sum()) / total(read, lambda r: np.frombuffer(r["w"]).sum())
-    blocks = first = read.map(lambda r, s=out.start: block(r, width, s)).persist(StorageLevel.MEMORY_AND_DISK)
-    grown: list[Tree] = []
-    since: list[Tree] = []
-    for i in range(trees):
-        if len(since) == KEPT:
-            every = context.broadcast(list(grown))
-            kept = first.map(lambda b, s=every: Block(b.x, b.y, b.w, b.k, b.y - residuals(b, s.value, rate, depth))).persist(StorageLevel.MEMORY_AND_DISK)
-            kept.count()
-            if blocks is not first:
-                blocks.unpersist()
-            blocks, since = kept, []
-        shape = grow(blocks, since, i, total, span, width, depth=depth, rate=rate, subsample=subsample, min_leaf=min_leaf, alpha=alpha, seed=seed)
-        grown.append(shape)
-        since = [*since, shape]
-        out.feature.append(shape.feature)
-        out.cut.append(np.array([edges[f][b] if b < len(edges[f]) else np.inf for f, b in zip(shape.feature, shape.bin)], float))
-        out.value.append(shape.value)
-        out.gain.append(shape.gain)
-    blocks.unpersist()
-    first.unpersist()
-    return out
+@dataclass
+class Shape:
+    """What holds for all trees of a model."""
+
+    model: str
+    bins: list[int]
+    low: float
+    span: float
+    trees: int
+    depth: int
+    rate: float
+    subsample: float
+    min_leaf: int
+    alpha: float | None
+    seed: int
+
+
+@dataclass
+class Seen:
+    """A block's predictions after so many trees."""
+
+    at: np.ndarray
+    trees: int = 0
+
+
+#: In a worker: by block what it saw last, of one model only. What is missing is computed from the block and the trees.
+_seen: dict[tuple[str, int], Seen] = {}
+
+
+def seen(shape: Shape, number: int, b: Block, trees: int) -> Seen:
+    for key in [k for k in _seen if k[0] != shape.model]:
+        del _seen[key]
+    found = _seen.get((shape.model, number))
+    if found is None or found.trees < trees:
+        found = _seen[shape.model, number] = Seen(b.at, trees)
+    return found
+
+
+def sees(b: Block, state: Seen, tree: int, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins by feature, residuals and weights of the rows that a tree sees."""
+    own = np.flatnonzero(sampled(b.k, tree, shape.subsample, shape.seed))
+    return np.take(b.x.T, own, axis=1), (b.y - state.at)[own], b.w[own]
+
 
+def catch_up(b: Block, state: Seen, trees: list[Tree], shape: Shape) -> None:
+    for t in trees:
+        state.at = state.at + shape.rate * t.value[leaves(b.x, t.feature, t.bin, shape.depth)]
+    state.trees += len(trees)
 
-def grow(blocks, since: list[Tree], number: int, total, span: float, width: int, *, depth: int, rate: float, subsample: float, min_leaf: int, alpha: float | None, seed: int) -> Tree:
-    """The next tree: a job for the clipping point, one a level, one for the leaves."""
 
-    def sizes(b: Block) -> np.ndarray:
-        own = sampled(b.k, number, subsample, seed)
-        size = np.abs(residuals(b, since, rate, depth)[own])
-        return np.bincount(np.clip(size / span * SIZE_BINS, 0, SIZE_BINS - 1).astype(np.int64), b.w[own], SIZE_BINS)
+def starts(b: Block, shape: Shape) -> np.ndarray:
+    """Labels by bin, or their weighted sum and weight."""
+    if shape.alpha is None:
+        return np.array([(b.y * b.w).sum(), b.w.sum()])
+    return np.bincount(np.clip((b.y - shape.low) / shape.span * SIZE_BINS, 0, SIZE_BINS - 1).astype(np.int64), b.w, SIZE_BINS)
 
-    delta = None if alpha is None else (quantile(total(blocks, sizes), alpha) + 1) / SIZE_BINS * span
-    tree = Tree.empty(depth)
-    for level in range(depth):
 
-        def histogram(b: Block, level=level) -> np.ndarray:
-            own = sampled(b.k, number, subsample, seed)
-            r = residuals(b, since, rate, depth)[own]
-            g = r if delta is None else np.clip(r, -delta, delta)
-            node = leaves(b.x[own], tree.feature, tree.bin, level)
-            at = ((node[:, None] * width + np.arange(width)) * BINS + b.x[own]).reshape(-1)
-            w, n = b.w[own], 2**level * width * BINS
-            parts = [np.bincount(at, None if v is None else np.repeat(v, width), n) for v in (g * w, w, None)]
-            return np.stack(parts, axis=-1).reshape(2**level, width, BINS, 3)
+def sizes(rows: tuple, shape: Shape) -> np.ndarray:
+    _, r, w = rows
+    return np.bincount(np.clip(np.abs(r) / shape.span * SIZE_BINS, 0, SIZE_BINS - 1).astype(np.int64), w, SIZE_BINS)
 
-        feature, last, gain = best_splits(total(blocks, histogram), min_leaf)
+
+def histogram(rows: tuple, shape: Shape, tree: Tree, level: int, delta: float | None) -> np.ndarray:
+    """Sums by node and the bins that each feature has: gradients, weights, rows."""
+    x, r, w = rows
+    node, nodes = leaves(x.T, tree.feature, tree.bin, level), 2**level
+    weighed, told = (r if delta is None else np.clip(r, -delta, delta)) * w, []
+    for f, n in enumerate(shape.bins):
+        at = node * n + x[f]
+        told.append(np.stack([np.bincount(at, v, nodes * n) for v in (weighed, w, None)], axis=-1).reshape(nodes, n, 3))
+    return np.concatenate(told, axis=1)
+
+
+def ends(rows: tuple, shape: Shape, tree: Tree) -> np.ndarray:
+    """Residuals by leaf and bin, with their weights."""
+    x, r, w = rows
+    at = leaves(x.T, tree.feature, tree.bin, shape.depth) * LEAF_BINS + np.clip((r / shape.span + 1) / 2 * LEAF_BINS, 0, LEAF_BINS - 1).astype(np.int64)
+    return np.stack([np.bincount(at, v, 2**shape.depth * LEAF_BINS) for v in (r * w, w)], axis=-1).reshape(2**shape.depth, LEAF_BINS, 2)
+
+
+def start_of(told: np.ndarray, shape: Shape) -> float:
+    if shape.alpha is None:
+        return float(told[0] / told[1]) if told[1] > 0 else 0.0
+    return float(shape.low + (quantile(told, 0.5) + 0.5) / SIZE_BINS * shape.span)
+
+
+def grow(total, shape: Shape) -> Tree:
+    """The next tree; total(part, ...) sums a part's arrays over all blocks: one for the clipping point, one a level, one for the leaves."""
+    delta = None if shape.alpha is None else (quantile(total(sizes), shape.alpha) + 1) / SIZE_BINS * shape.span
+    tree = Tree.empty(shape.depth)
+    filled = np.arange(BINS) < np.array(shape.bins)[:, None]
+    for level in range(shape.depth):
+        h = np.zeros((2**level, len(shape.bins), BINS, 3))
+        h[:, filled] = total(histogram, tree, level, delta)
+        feature, last, gain = best_splits(h, shape.min_leaf)
         splits = gain > 1e-12
         inner = slice(2**level - 1, 2 ** (level + 1) - 1)
         tree.feature[inner], tree.bin[inner], tree.gain[inner] = np.where(splits, feature, 0), np.where(splits, last, ALL), np.where(splits, gain, 0.0)
         if not splits.any():
             break
+    mids = ((np.arange(LEAF_BINS) + 0.5) / LEAF_BINS * 2 - 1) * shape.span
+    tree.value = leaf_values(total(ends, tree), mids, delta)
+    return tree
 
-    def ends(b: Block) -> np.ndarray:
-        own = sampled(b.k, number, subsample, seed)
-        r, w = residuals(b, since, rate, depth)[own], b.w[own]
-        at = leaves(b.x[own], tree.feature, tree.bin, depth) * LEAF_BINS + np.clip((r / span + 1) / 2 * LEAF_BINS, 0, LEAF_BINS - 1).astype(np.int64)
-        return np.stack([np.bincount(at, v, 2**depth * LEAF_BINS) for v in (r * w, w)], axis=-1).reshape(2**depth, LEAF_BINS, 2)
 
-    mids = ((np.arange(LEAF_BINS) + 0.5) / LEAF_BINS * 2 - 1) * span
-    tree.value = leaf_values(total(blocks, ends), mids, delta)
-    return tree
+def alone(shape: Shape):
+    """All trees over the rows of one task: no tree costs a job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, found = block(batches, len(shape.bins)), []
+        start = start_of(starts(b, shape), shape)
+        state = Seen(b.at + start)
+        for i in range(shape.trees):
+            rows = sees(b, state, i, shape)
+            tree = grow(lambda part, *rest: part(rows, shape, *rest), shape)
+            catch_up(b, state, [tree], shape)
+            found.append((start, tree.feature.tolist(), tree.bin.tolist(), tree.value.tolist(), tree.gain.tolist()))
+        kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found), kinds)], ["start", "feature", "bin", "value", "gain"])
+
+    return run
+
+
+def together(read: DataFrame, shape: Shape, tasks: int) -> list[tuple[float, Tree]]:
+    """All trees over the blocks of many tasks, each sum a job. Blocks keep predictions up to some tree; workers add the
+    trees since then, and hold on to the result while they live."""
+    context = read.sparkSession.sparkContext
+
+    def summed(rdd) -> np.ndarray:
+        return rdd.treeReduce(np.add) if tasks > FEW_TASKS else reduce(np.add, rdd.collect())
+
+    whole = read.rdd.mapPartitionsWithIndex(lambda i, rows: [(i, block_of(rows, len(shape.bins)))]).persist(StorageLevel.MEMORY_AND_DISK)
+    start = start_of(summed(whole.map(lambda r: starts(r[1], shape))), shape)
+    blocks = first = whole.mapValues(lambda b: replace(b, at=b.at + start))
+    grown: list[Tree] = []
+    base = 0
+    for i in range(shape.trees):
+        if i - base == KEPT:
+            every = context.broadcast(list(grown))
+
+            def kept(r, every=every):
+                state = Seen(r[1].at + start)
+                catch_up(r[1], state, every.value, shape)
+                return r[0], replace(r[1], at=state.at)
+
+            base, older, blocks = i, blocks, whole.map(kept).persist(StorageLevel.MEMORY_AND_DISK)
+            blocks.count()
+            if older is not first:
+                older.unpersist()
+        since, base_now = list(grown[base:]), base
+
+        def rows_of(r, since=since, base=base_now, i=i):
+            state = seen(shape, r[0], r[1], base)
+            catch_up(r[1], state, since[state.trees - base :], shape)
+            return sees(r[1], state, i, shape)
+
+        grown.append(grow(lambda part, *rest: summed(blocks.map(lambda r: part(rows_of(r), shape, *rest))), shape))  # noqa: B023
+    blocks.unpersist()
+    whole.unpersist()
+    return [(start, tree) for tree in grown]

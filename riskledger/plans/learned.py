@@ -35,10 +35,10 @@ def frame(t: Tables) -> DataFrame:
     return written(M.hash_split(rows.join(history, "estab").join(later, "estab").fillna(0.0), "estab"), "frame")
 
 
-def scorer(t: Tables, **options) -> tuple[DataFrame, Forest, bool]:
-    """The training frame, the model of these options over it (the published one while it is
+def scorer(t: Tables, rows: DataFrame | None = None, **options) -> tuple[DataFrame, Forest, bool]:
+    """The training frame (rows, if it is at hand), the model of these options over it (the published one while it is
     fresh, see S11), and whether it was built just now."""
-    rows = frame(t)
+    rows = frame(t) if rows is None else rows
     name = hashlib.md5(repr((t.sf_dir, sorted(options.items()))).encode()).hexdigest()
     build = lambda population: M.train_scorer(population.filter("train"), "label", **options)
     model, new = M.load_or_build(f"{shared_base(t.spark)}/models/{name}", t.spark, AS_OF, build, rows)
@@ -51,8 +51,8 @@ def learned(t: Tables, **options) -> DataFrame:
     return scored.select("estab", F.round("prediction", 6).alias("score"), "label", "train", "swr", F.lit(new).alias("rebuilt"))
 
 
-def weights(t: Tables, **options) -> DataFrame:
-    _, model, _ = scorer(t, **options)
+def weights(t: Tables, rows: DataFrame | None = None, **options) -> DataFrame:
+    _, model, _ = scorer(t, rows, **options)
     return M.importances(model, t.spark)
 
 
@@ -82,7 +82,8 @@ def driver_names(t: Tables) -> DataFrame:
 @op("E23")
 def model_overlap(t: Tables) -> DataFrame:
     """The model and the small one: features among both their ten weightiest, and dominance."""
-    return M.weight_overlap(weights(t), weights(t, **SMALL))
+    rows = frame(t)
+    return M.weight_overlap(weights(t, rows), weights(t, rows, **SMALL))
 
 
 @op("M11")

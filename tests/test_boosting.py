@@ -129,3 +129,23 @@ def test_model_of_squared_loss_reloads(spark, tmp_path):
     model.save(spark, f"file://{tmp_path}/m")
     x = np.arange(7.0)[:, None]
     assert np.array_equal(B.Forest.load(spark, f"file://{tmp_path}/m").predict(x), model.predict(x))
+
+
+def test_jobs_do_not_grow_with_trees(spark):
+    rows = spark.range(400).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 * 2.0).alias("y"), F.lit(1.0).alias("w"))
+    jobs = []
+    for trees in (2, 12):
+        spark.sparkContext.setJobGroup(f"trees-{trees}", "")
+        B.fit(rows, ["a"], "y", "w", "id", trees=trees, depth=2, rate=0.3, subsample=0.8, min_leaf=3, alpha=0.9)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees-{trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_one_task_grows_the_trees_of_many(spark, monkeypatch):
+    monkeypatch.setattr(B, "KEPT", 3)
+    rows = spark.range(900).select(F.col("id").cast("string").alias("id"), (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 17 * 2.0 + F.col("id") % 5).alias("y"), F.lit(1.0).alias("w"))
+    options = {"trees": 10, "depth": 3, "rate": 0.3, "subsample": 0.8, "min_leaf": 3, "alpha": 0.9}
+    one, many = (B.fit(rows, ["a", "b"], "y", "w", "id", rows_per_task=n, **options) for n in (1000, 300))
+    x = np.stack([np.arange(17.0), np.arange(17.0) % 5], axis=1)
+    assert np.allclose(one.predict(x), many.predict(x))
