@@ -229,3 +229,15 @@ def test_latest_rows(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "k long, ts timestamp, v string")
     merged = latest(rows((3, at, "old"), (4, at, "b")), rows((3, at + datetime.timedelta(days=9), "new")), ["k"], ["ts"])
     assert merged.filter("k = 3").first().v == "new" and merged.count() == 2
+
+
+def test_names_are_cleaned_once_and_by_many_tasks(spark, monkeypatch):
+    from riskledger.plans import catalog, naming
+
+    monkeypatch.setattr(Q, "NAMES_A_TASK", 100)
+    t = catalog.Tables(spark, "/root/testdata/sf0.01")
+    n = t.names.count()
+    assert t.names.rdd.getNumPartitions() == n // 100 + 1
+    for frame in (naming.index_staleness(t), Q.key_index(t.keyed_names), Q.keyed_facilities(t.keyed_names)):
+        assert "MANUFACTURING" not in frame._jdf.queryExecution().optimizedPlan().toString()  # no pattern of match keys
+    assert {tuple(r) for r in Q.key_index(t.keyed_names).collect()} == {tuple(r) for r in Q.key_index(t.names).collect()}
