@@ -241,3 +241,18 @@ def test_names_are_cleaned_once_and_by_many_tasks(spark, monkeypatch):
     for frame in (naming.index_staleness(t), Q.key_index(t.keyed_names), Q.keyed_facilities(t.keyed_names)):
         assert "MANUFACTURING" not in frame._jdf.queryExecution().optimizedPlan().toString()  # no pattern of match keys
     assert {tuple(r) for r in Q.key_index(t.keyed_names).collect()} == {tuple(r) for r in Q.key_index(t.names).collect()}
+
+
+def test_cutoffs_write_only_what_they_read(spark, monkeypatch):
+    from riskledger.plans import catalog, reports
+
+    class Enough(Exception):
+        pass
+
+    def written(df, name):
+        raise Enough(name, *df.columns)
+
+    monkeypatch.setattr(reports, "written", written)
+    with pytest.raises(Enough) as e:
+        reports.cutoffs(catalog.Tables(spark, "/root/testdata/sf0.001"))
+    assert e.value.args[0] == "facts" and set(e.value.args[1:]) == set(reports.FACTS)
