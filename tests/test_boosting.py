@@ -149,3 +149,60 @@ def test_one_task_grows_the_trees_of_many(spark, monkeypatch):
     one, many = (B.fit(rows, ["a", "b"], "y", "w", "id", rows_per_task=n, **options) for n in (1000, 300))
     x = np.stack([np.arange(17.0), np.arange(17.0) % 5], axis=1)
     assert np.allclose(one.predict(x), many.predict(x))
+
+
+def test_jobs_of_many_tasks_do_not_grow_with_trees(spark):
+    rows = spark.range(400).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 * 2.0).alias("y"), F.lit(1.0).alias("w"))
+    jobs = []
+    for trees in (2, 12):
+        spark.sparkContext.setJobGroup(f"many-{trees}", "")
+        B.fit(rows, ["a"], "y", "w", "id", trees=trees, depth=2, rate=0.3, subsample=0.8, min_leaf=3, alpha=0.9, rows_per_task=150)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"many-{trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+@pytest.mark.parametrize("alpha", [0.9, None])
+def test_tasks_at_once_and_jobs_agree(spark, monkeypatch, alpha):
+    monkeypatch.setattr(B, "KEPT", 3)
+    rng = np.random.default_rng(8)
+    n, names = 1500, [f"c{i}" for i in range(9)]
+    x = np.stack([rng.normal(size=n), rng.normal(size=n), *(rng.random((5, n)) < 0.3).astype(float), rng.integers(0, 5, n), np.ones(n)], axis=1)
+    y = 10 * x[:, 0] + 4 * x[:, 3] * x[:, 7] + rng.normal(size=n)
+    rows = spark.createDataFrame([(str(i), *map(float, x[i]), float(y[i]), float(1 + i % 3)) for i in range(n)], "id string, " + ", ".join(f"{c} double" for c in names) + ", y double, w double").repartition(3).cache()
+    options = {"trees": 8, "depth": 4, "rate": 0.3, "subsample": 0.8, "min_leaf": 3, "alpha": alpha}
+    found = [B.fit(rows, names, "y", "w", "id", rows_per_task=k, **options) for k in (2000, 400)]
+    monkeypatch.setattr(B, "at_once", lambda *_: 0)
+    found.append(B.fit(rows, names, "y", "w", "id", rows_per_task=400, **options))
+    monkeypatch.setattr(B, "LEAST_CODES", 1)  # a column a feature
+    monkeypatch.setattr(B, "MOST_CODES", 1)
+    found.append(B.fit(rows, names, "y", "w", "id", rows_per_task=2000, **options))
+    want = found[0].predict(x)
+    assert np.abs(want - y).mean() < np.abs(y - y.mean()).mean() / 3
+    for other in found[1:]:
+        assert np.allclose(other.predict(x), want) and np.allclose(other.importances(), found[0].importances())
+
+
+def test_packed_histograms_are_those_of_single_features():
+    rng = np.random.default_rng(2)
+    bins, n = [6, 2, 2, 5, 64, 2, 3], 4000
+    x = np.stack([rng.integers(0, b, n) for b in bins])
+    shape = B.Shape("m", bins, B.packing(bins, 64), 0.0, 1.0, 1, 2, 0.1, 0.8, 3, None, 1)
+    assert sorted(f for fs in shape.columns for f in fs) == list(range(7)) and max(shape.codes) <= 64 and len(shape.columns) < 7
+    block = {"x": x.T.astype(np.uint8).tobytes(), "y": rng.random(n).tobytes(), "w": rng.random(n).tobytes(), "k": np.arange(n).tobytes()}
+    b = B.block_of([block], shape)
+    tree = B.Tree.empty(2)
+    tree.feature[:3], tree.bin[:3] = [4, 0, 3], [30, 2, 1]
+    rows = b.x, b.y, b.w
+    node = np.where(x[4] > 30, 2 + (x[3] > 1), x[0] > 2)
+    assert np.array_equal(B.nodes(b.x, tree, 2, shape), node[np.lexsort((b.y, b.k))])
+    got = B.histogram(rows, shape, tree, 2, 0.5, np.array([1, 2]))
+    g = np.minimum(b.y, 0.5) * b.w
+    for i, wanted in enumerate((1, 2)):
+        own = node == wanted
+        want = np.concatenate([np.stack([np.bincount(x[f][own], v[own], bins[f]) for v in (g, b.w, np.ones(n))], axis=-1) for f in range(7)])
+        assert np.allclose(got[i], want)
+
+
+def test_tasks_for_rows_and_slots():
+    assert [B.tasks_for(n, 100, 12) for n in (1, 100, 101, 1200, 1201, 12000, 12001)] == [1, 1, 2, 12, 12, 12, 13]
