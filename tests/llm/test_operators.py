@@ -617,6 +617,19 @@ def test_pitman_yor(spark, odd, empty):
     assert pitman_yor.score(odd, F.lit(False)).count() == odd.count() and pitman_yor.score(empty, F.lit(False)).count() == 0
 
 
+def test_contexts_grow_with_the_documents(spark, monkeypatch):
+    """A class has a bucket for each DOCS_PER_BUCKET documents, however many, and totals are the same by any ranges."""
+    P, F, found, seen = pitman_yor, pitman_yor.F, [], []
+    passed = P.block_pass
+    monkeypatch.setattr(P, "DOCS_PER_BUCKET", 1)
+    monkeypatch.setattr(P, "block_pass", lambda n, b: (seen.append(b), passed(n, b))[1])
+    rows = spark.range(4500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(c), F.pmod(F.xxhash64("id", F.lit(c)), F.lit(40))) for c in "abc"]).alias("text")).cache()
+    for most in (P.RANGE, 1 << 24):
+        monkeypatch.setattr(P, "RANGE", most)
+        found.append({r.doc_id: r.score for r in P.score(rows, F.lit(False)).collect()})
+    assert seen == [4500, 4500] and len(found[0]) == 4500 and found[0] == found[1]
+
+
 def plain_sampler(word, context, count, buckets, vocabulary, sweeps, averaged, seed):
     """Chinese restaurants with every customer at a table, one removed and reseated at a time: mean
     predictive probability of each (context, word), by dictionaries."""
