@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from riskledger.operators.ranking import written
 from riskledger.plans import oracle_base as O
 from riskledger.plans.bindings import AS_OF, CUTOFF
 from riskledger.plans.catalog import I, Tables, op
-from riskledger.plans.reports import average_rank
+from riskledger.plans.reports import FACTS, average_rank
 from riskledger.sources.bronze import shared_base
 
 #: M3's size is train_scorer's own; M4 is the small model of holdout checks.
@@ -27,12 +28,24 @@ OUTCOME_END = AS_OF.replace(month=7)
 END = "DATE '2001-07-01'"
 
 
+class Written(Tables):
+    """Tables whose facts (the columns that features and outcomes read) and history are written once: a model's rows, labels and outcomes all come from them."""
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return written(Tables.facts.func(self).select(*FACTS), "facts")
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return written(Tables.history.func(self), "history")
+
+
 def frame(t: Tables) -> DataFrame:
     """Model columns of the training history with its label and whether trouble followed, written."""
-    history = t.history.select("estab", F.col("raw_score").alias("label"))
-    rows = X.feature_frame(X.establishment_features(t.facts.filter(F.col("open_date") < F.lit(CUTOFF)), CUTOFF))
+    t = t if isinstance(t, Written) else Written(t.spark, t.sf_dir)
+    rows = X.feature_frame(t.history, keys=("estab", "raw_score")).withColumnRenamed("raw_score", "label").select("estab", *X.FEATURES, "label")
     later = t.outcomes.select("estab", F.coalesce("swr", F.lit(0)).alias("swr"), F.col("has_future_data").cast("int").alias("again"))
-    return written(M.hash_split(rows.join(history, "estab").join(later, "estab").fillna(0.0), "estab"), "frame")
+    return written(M.hash_split(rows.join(later, "estab").fillna(0.0), "estab"), "frame")
 
 
 def scorer(t: Tables, rows: DataFrame | None = None, **options) -> tuple[DataFrame, Forest, bool]:
@@ -208,6 +221,7 @@ def scored_establishments(t: Tables) -> DataFrame:
 
 @op("M10_trained")
 def trained_establishments(t: Tables) -> DataFrame:
+    t = Written(t.spark, t.sf_dir)
     pairs = written(learned(t).drop("train").withColumnRenamed("score", "raw_score").join(t.history.select("estab", "ceiling", "n_inspections", "recent", "industry_group"), "estab").withColumn("score", F.greatest(F.lit(0.0), F.least("raw_score", "ceiling"))), "scored")
     calibrator = M.fit_calibrator(E.paired(pairs, t.outcomes), least_pairs=100)
     return M.calibrate(pairs, calibrator).select("estab", F.bround("calibrated", 1).alias("score"), (F.col("raw_score") > F.col("ceiling")).alias("capped"))

@@ -206,3 +206,21 @@ def test_packed_histograms_are_those_of_single_features():
 
 def test_tasks_for_rows_and_slots():
     assert [B.tasks_for(n, 100, 12) for n in (1, 100, 101, 1200, 1201, 12000, 12001)] == [1, 1, 2, 12, 12, 12, 13]
+
+
+def test_frames_read_facts_once(spark):
+    from riskledger.operators import features as X
+    from riskledger.plans import catalog, learned
+    from riskledger.plans.bindings import CUTOFF
+
+    plain = catalog.Tables(spark, "/root/testdata/sf0.001")
+    once = learned.Written(spark, "/root/testdata/sf0.001")
+    got = {r.estab: r for r in learned.frame(once).collect()}
+    for df in (once.history, once.outcomes):  # what a frame is made of comes from written tables, not from lines and events once more
+        assert not [f for f in df.inputFiles() if "testdata" in f]
+    want = X.feature_frame(X.establishment_features(plain.facts.filter(F.col("open_date") < F.lit(CUTOFF)), CUTOFF)).join(plain.history.select("estab", F.col("raw_score").alias("label")), "estab")
+    later = plain.outcomes.select("estab", F.coalesce("swr", F.lit(0)).alias("swr"), F.col("has_future_data").cast("int").alias("again"))
+    rows = want.join(later, "estab").fillna(0.0).collect()
+    assert len(rows) == len(got) > 100
+    for r in rows:
+        assert all(got[r.estab][c] == pytest.approx(r[c]) for c in r.asDict() if c != "estab")
